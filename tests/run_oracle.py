@@ -16,6 +16,7 @@ def main() -> int:
     parts = sys.argv[2:]
     spark = build_session("oracle", "local[8]", **{
         "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "12g",
+        "spark.ui.showConsoleProgress": "false",
     })
     spark.sparkContext.setLogLevel("ERROR")
     con, sql, bad = duck(folder), entry.oracle_sql(), 0
