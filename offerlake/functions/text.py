@@ -36,8 +36,8 @@ def normalize_line(text: Column) -> Column:
     return strip(F.regexp_replace(normalize_text(text), "[ \t]+", " "))
 
 
-def strip(text: Column, chars: str = BLANKS) -> Column:
-    return F.btrim(text, F.lit(chars))
+def strip(text: Column) -> Column:
+    return F.btrim(text, F.lit(BLANKS))
 
 
 def collapse(text: Column) -> Column:

@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from offerlake.functions import text as X
+from offerlake.operators.windows import per_document
 from offerlake.functions.keys import ascii_key
 from offerlake.functions.numbers import eu_decimal, eu_format
 
-DOCUMENT = Window.partitionBy("document_id")
 
 # Words that make a line an amount line.
 TRIGGER_WORDS = (
@@ -160,7 +160,7 @@ def first_of_equal(rows: DataFrame) -> DataFrame:
 
 def resequence(rows: DataFrame, order: list[str], name: str = "sort_order") -> DataFrame:
     """Dense numbers from 0 per document in the given order."""
-    ranked = F.row_number().over(DOCUMENT.orderBy(*order)) - 1
+    ranked = F.row_number().over(per_document(*order)) - 1
     return rows.withColumn(name, ranked.cast("int"))
 
 

@@ -10,12 +10,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from offerlake.operators.windows import per_document
 from offerlake.functions.keys import ascii_key, pricing_enabled
 from offerlake.functions.numbers import eu_decimal, money, unit_from_total
 from offerlake.functions.text import contains_any
 from offerlake.rules.suppliers import CHAIN_SUPPLIERS
 
-DOCUMENT = Window.partitionBy("document_id")
 CHAIN_VALUE = "decimal(30,16)"
 FACTOR = "decimal(7,6)"
 DELTA_LIMIT = "0.10"
@@ -70,11 +70,11 @@ def _with_result(items: DataFrame, applied: Column, total: Column, unit: Column,
 
 def _settle_delta(priced: DataFrame, target: Column, in_sum: Column, candidate: Column, limit: str) -> DataFrame:
     """Puts the cent difference between printed and computed sum on the last candidate."""
-    current = F.coalesce(F.sum(F.when(in_sum, F.col("line_total"))).over(DOCUMENT), F.lit(0))
+    current = F.coalesce(F.sum(F.when(in_sum, F.col("line_total"))).over(per_document()), F.lit(0))
     delta = money(target - current)
     last = F.coalesce(
-        F.max(F.when(candidate, F.col("item_seq"))).over(DOCUMENT),
-        F.max(F.when(in_sum, F.col("item_seq"))).over(DOCUMENT),
+        F.max(F.when(candidate, F.col("item_seq"))).over(per_document()),
+        F.max(F.when(in_sum, F.col("item_seq"))).over(per_document()),
     )
     settled = priced.withColumns({"_delta": delta, "_last": last})
     hit = F.coalesce(
@@ -240,10 +240,10 @@ def price_by_groups(items: DataFrame, profile: DataFrame, groups: DataFrame) ->
         F.col("_group").isNotNull() & ((F.col("_motor") > 0) | (F.col("_rest") > 0)), F.lit(False)
     )
     joined = joined.withColumn("_applied", applied)
-    changed_main = F.max(F.when(~F.col("is_alternative"), F.col("_applied")).otherwise(F.lit(False))).over(DOCUMENT)
+    changed_main = F.max(F.when(~F.col("is_alternative"), F.col("_applied")).otherwise(F.lit(False))).over(per_document())
     new_total = F.when(F.col("_applied"), money(motor_leg + own_leg)).otherwise(F.col("line_total"))
     joined = joined.withColumns({"_new": new_total, "_changed": changed_main})
-    new_sum = F.sum(F.when(~F.col("is_alternative"), F.col("_new"))).over(DOCUMENT)
+    new_sum = F.sum(F.when(~F.col("is_alternative"), F.col("_new"))).over(per_document())
     delta = money(F.col("net_total") - new_sum)
     accept = F.col("_changed") & (
         F.col("net_total").isNull() | (F.abs(delta) <= F.lit(GROUP_DELTA_LIMIT).cast("decimal(14,2)"))
@@ -271,8 +271,8 @@ def price_by_effective_discount(items: DataFrame, profile: DataFrame) -> DataFra
     joined = items.join(profile.select("document_id", "net_total"), "document_id", "left")
     joined = joined.withColumn("_open", F.col("line_total").isNotNull() & ~is_unrebated(items))
     main = ~F.col("is_alternative")
-    eligible = F.coalesce(F.sum(F.when(F.col("_open") & main, F.col("line_total"))).over(DOCUMENT), F.lit(0))
-    exempt = F.coalesce(F.sum(F.when(~F.col("_open") & main, F.col("line_total"))).over(DOCUMENT), F.lit(0))
+    eligible = F.coalesce(F.sum(F.when(F.col("_open") & main, F.col("line_total"))).over(per_document()), F.lit(0))
+    exempt = F.coalesce(F.sum(F.when(~F.col("_open") & main, F.col("line_total"))).over(per_document()), F.lit(0))
     joined = joined.withColumns({
         "_eligible": eligible.cast("decimal(14,2)"), "_exempt": exempt.cast("decimal(14,2)"),
     })
