@@ -54,14 +54,18 @@ def strip_price_tokens(text: Column) -> Column:
 
 def strip_head_price_pair(text: Column) -> Column:
     """Quantity head without its two unlabelled prices."""
-    raw = X.clean_optional(text)
-    head = X.blank_to_null(F.btrim(tighten(X.group(raw, HEAD_PRICE_PAIR)), F.lit(" :,-\t")))
-    return F.when(F.regexp_like(raw, F.lit(HEAD_PRICE_PAIR)), head).otherwise(raw)
+    def cut(raw: Column) -> Column:
+        head = X.blank_to_null(F.btrim(tighten(F.regexp_extract(raw, HEAD_PRICE_PAIR, 1)), F.lit(" :,-\t")))
+        return F.when(F.regexp_like(raw, F.lit(HEAD_PRICE_PAIR)), head).otherwise(raw)
+
+    return X.let(X.clean_optional(text), cut)
 
 
 def is_noise(line: Column) -> Column:
-    low = X.strip(F.lower(line))
-    return (low == "") | X.starts_with_any(low, NOISE_STARTS) | X.contains_any(low, NOISE_WORDS)
+    return X.let(
+        X.strip(F.lower(line)),
+        lambda low: (low == "") | X.starts_with_any(low, NOISE_STARTS) | X.contains_any(low, NOISE_WORDS),
+    )
 
 
 def is_number_row(line: Column) -> Column:
@@ -70,7 +74,10 @@ def is_number_row(line: Column) -> Column:
 
 def without_quantity(lines: Column, quantity: Column, unit: Column) -> Column:
     """Drops a leading quantity from the first line when it repeats the position's own."""
-    head = F.get(lines, F.lit(0))
+    return X.let(lines, lambda bound: X.let(F.get(bound, F.lit(0)), lambda head: _drop_quantity(bound, head, quantity, unit)))
+
+
+def _drop_quantity(lines: Column, head: Column, quantity: Column, unit: Column) -> Column:
     printed = lenient_decimal(X.group(head, QUANTITY_PREFIX, 1), "export")
     rest = tighten(X.group(head, QUANTITY_PREFIX, 3))
     same_quantity = quantity.isNull() | printed.isNull() | (F.abs(quantity - printed) <= F.lit(0.001))

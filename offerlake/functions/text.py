@@ -26,6 +26,15 @@ BLANKS = (
 )
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluates ``value`` once and hands it to ``body``.
+
+    Expressions that use an expensive value several times would otherwise carry one
+    copy per use; a lambda variable is computed once per row.
+    """
+    return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
+
+
 def normalize_text(text: Column) -> Column:
     """Non-breaking blanks become plain blanks, carriage returns go."""
     return F.translate(F.translate(text, "\u00a0\u2007\u202f", "   "), "\r", "")
@@ -64,8 +73,10 @@ def comparison_text(text: Column) -> Column:
 
 def split_lines(text: Column) -> Column:
     """Lines of a text; a final line break opens no further line."""
-    parts = F.split(text, LINE_BREAK, -1)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    return let(
+        F.split(text, LINE_BREAK, -1),
+        lambda parts: F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts),
+    )
 
 
 def split_pages(text: Column) -> Column:
@@ -130,15 +141,22 @@ def first_true(flags: Column) -> Column:
 
 def lines_before(lines: Column, stop: Callable[[Column], Column]) -> Column:
     """The leading lines up to, not including, the first one that stops."""
-    cut = first_true(F.transform(lines, stop))
-    return F.when(cut > 0, F.slice(lines, F.lit(1), cut - 1)).otherwise(lines)
+    def cut(bound: Column) -> Column:
+        return let(
+            first_true(F.transform(bound, stop)),
+            lambda at: F.when(at > 0, F.slice(bound, F.lit(1), at - 1)).otherwise(bound),
+        )
+
+    return let(lines, cut)
 
 
 def drop_repeats(lines: Column) -> Column:
     """Removes a line that equals, ignoring case, the line right before it."""
-    return F.filter(
+    return let(
         lines,
-        lambda line, i: (i == 0) | (F.lower(line) != F.lower(F.get(lines, i - 1))),
+        lambda bound: F.filter(
+            bound, lambda line, i: (i == 0) | (F.lower(line) != F.lower(F.get(bound, i - 1)))
+        ),
     )
 
 
@@ -161,7 +179,10 @@ FOOTER_WITH_PAGE = ("angebotsnummer:", "angebot n", "angebot :", "angebot")
 
 def is_page_furniture(line: Column) -> Column:
     """Rules, footers, bank lines and repeated page heads."""
-    low = strip(F.lower(line))
+    return let(strip(F.lower(line)), _furniture)
+
+
+def _furniture(low: Column) -> Column:
     return (
         (low == "")
         | F.regexp_like(low, F.lit("^[-_= ]+$"))
@@ -211,8 +232,13 @@ def first_description(
     )
     if not preferred:
         return F.get(candidates, F.lit(0))
-    best = F.filter(candidates, lambda line: contains_any(F.lower(line), preferred))
-    return F.coalesce(F.get(best, F.lit(0)), F.get(candidates, F.lit(0)))
+    return let(
+        candidates,
+        lambda found: F.coalesce(
+            F.get(F.filter(found, lambda line: contains_any(F.lower(line), preferred)), F.lit(0)),
+            F.get(found, F.lit(0)),
+        ),
+    )
 
 
 def structure_code(text: Column) -> Column:

@@ -47,7 +47,10 @@ def is_amount_head(line: Column) -> Column:
 
 
 def is_amount_trigger(line: Column) -> Column:
-    low = F.lower(line)
+    return X.let(F.lower(line), lambda low: _triggers(line, low))
+
+
+def _triggers(line: Column, low: Column) -> Column:
     item_discount = F.regexp_like(line, F.lit(ITEM_DISCOUNT)) & ~X.starts_with_any(
         low, ("abzüglich", "zuzüglich", "rabatt", "zuschlag")
     )
@@ -93,8 +96,7 @@ def extract_amount_lines(doc_text: DataFrame) -> DataFrame:
     def ahead(all_lines: Column, i: Column, count: int) -> Column:
         """Following lines up to the next amount line."""
         window = F.slice(all_lines, i + 2, F.lit(count))
-        cut = X.first_true(F.transform(window, lambda w: (w["line"] != "") & w["trigger"]))
-        open_part = F.when(cut > 0, F.slice(window, F.lit(1), cut - 1)).otherwise(window)
+        open_part = X.lines_before(window, lambda w: (w["line"] != "") & w["trigger"])
         return F.filter(F.transform(open_part, lambda w: w["line"]), lambda text: text != "")
 
     marked = F.transform(

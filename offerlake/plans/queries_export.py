@@ -94,13 +94,13 @@ PREPARED_SQL = PROFILE_SQL + NUMBER_SQL + """
 ), inline AS (
   SELECT s.* FROM stored s LEFT JOIN targets t USING (document_id, item_seq) WHERE NOT to_tail AND target_no IS NULL
 ), dgroup AS (
-  SELECT document_id, target_no, lower(label) AS gkey, lower(unit) AS gunit, COUNT(*) AS n, MIN(item_seq) AS at, MAX(target_seq) AS target_seq,
+  SELECT document_id, target_no, lower(label) AS gkey, lower(unit) AS gunit, COUNT(*) AS n, MIN(item_seq) AS first_at, MAX(target_seq) AS target_seq,
          SUM(unit_price) AS unit_price, arg_min(quantity, item_seq) AS quantity, arg_min(line_total, item_seq) AS first_total,
          arg_min(label, item_seq) AS label, arg_min(line_item_id, item_seq) AS first_id, arg_min(target_id, item_seq) AS target_id,
          arg_min(description_short, item_seq) AS first_short
   FROM deferred GROUP BY document_id, target_no, lower(label), lower(unit)
 ), dnum AS (
-  SELECT *, ROW_NUMBER() OVER (PARTITION BY document_id, target_no ORDER BY at) AS list_idx FROM dgroup
+  SELECT *, ROW_NUMBER() OVER (PARTITION BY document_id, target_no ORDER BY first_at) AS list_idx FROM dgroup
 ), nested AS (
   SELECT document_id, CAST(parent_no AS VARCHAR) AS counter, parent_label, seq AS event_seq, 1 AS list_idx, parent_seq AS major, 2 AS minor,
          quantity, CASE WHEN on_flag THEN purchase ELSE printed END AS unit_price, CAST(NULL AS DECIMAL(14,2)) AS line_total, label AS short_text, source_id, source_id AS export_id, 1 AS sources, seq AS tie
@@ -113,7 +113,7 @@ PREPARED_SQL = PROFILE_SQL + NUMBER_SQL + """
          CASE WHEN n > 1 THEN CAST(ROUND(quantity * unit_price, 2) AS DECIMAL(14,2)) ELSE first_total END,
          CASE WHEN n > 1 THEN label ELSE first_short END,
          CASE WHEN n > 1 THEN 'aggregate:nested:' || target_no || ':' || list_idx || ':' || lower(label) ELSE CAST(first_id AS VARCHAR) END,
-         CASE WHEN n > 1 THEN target_id || ':aggregate:nested:' || target_no || ':' || list_idx || ':' || lower(label) ELSE CAST(first_id AS VARCHAR) END, n, at
+         CASE WHEN n > 1 THEN target_id || ':aggregate:nested:' || target_no || ':' || list_idx || ':' || lower(label) ELSE CAST(first_id AS VARCHAR) END, n, first_at
   FROM dnum
 ), nested_numbered AS (
   SELECT *, parent_label || '.' || ROW_NUMBER() OVER (PARTITION BY document_id, counter ORDER BY event_seq, list_idx, tie) AS position_no FROM nested
@@ -125,12 +125,12 @@ PREPARED_SQL = PROFILE_SQL + NUMBER_SQL + """
 ), tail_keyed AS (
   SELECT *, CASE WHEN no_group THEN '~' || seq ELSE regexp_replace(regexp_replace(lower(label), '[^a-z0-9]', ' ', 'g'), ' +', ' ', 'g') || '|' || lower(unit) END AS gkey FROM tail_rows
 ), tail_grouped AS (
-  SELECT document_id, gkey, MAX(no_group) AS alone, COUNT(*) AS n, MIN((seq, idx)) AS at, CAST(SUM(quantity) AS DECIMAL(14,4)) AS quantity, CAST(ROUND(SUM(exp_unit * quantity), 2) AS DECIMAL(14,2)) AS total,
+  SELECT document_id, gkey, MAX(no_group) AS alone, COUNT(*) AS n, MIN((seq, idx)) AS first_at, CAST(SUM(quantity) AS DECIMAL(14,4)) AS quantity, CAST(ROUND(SUM(exp_unit * quantity), 2) AS DECIMAL(14,2)) AS total,
          arg_min(unit_price, (seq, idx)) AS first_unit, arg_min(line_total, (seq, idx)) AS first_total, arg_min(label, (seq, idx)) AS label, arg_min(source_id, (seq, idx)) AS first_id,
          arg_min(parent_id, (seq, idx)) AS parent_id, arg_min(short_text, (seq, idx)) AS first_short, MAX(main_count) AS main_count
   FROM tail_keyed GROUP BY document_id, gkey
 ), tail_numbered AS (
-  SELECT *, ROW_NUMBER() OVER (PARTITION BY document_id ORDER BY alone, at) AS list_idx,
+  SELECT *, ROW_NUMBER() OVER (PARTITION BY document_id ORDER BY alone, first_at) AS list_idx,
          trim(regexp_replace(regexp_replace(lower(label), '[^a-z0-9]', ' ', 'g'), ' +', ' ', 'g')) AS lkey FROM tail_grouped
 ), prepared AS (
   SELECT document_id, item_seq AS major, 0 AS minor, 0 AS list_idx, CAST(main_no AS VARCHAR) AS position_no, is_alternative, quantity, unit_price, line_total,
