@@ -183,6 +183,20 @@ def multiline_value(lines: Column, label: str, max_lines: int = 2, separator: st
     return X.let(lines, search)
 
 
+def building_site(lines: Column) -> Column:
+    """Building site named on its label line, else by up to four lines below it."""
+    def search(bound: Column) -> Column:
+        def named(line: Column, i: Column) -> Column:
+            own = X.strip(F.regexp_replace(line, "^[^:]*:", ""))
+            more = X.lines_before(F.slice(bound, i + 2, F.lit(4)), lambda probe: ~looks_like_project_part(probe))
+            below = X.blank_to_null(F.array_join(more, " "))
+            return F.when(F.lower(line).contains("bauvorhaben:"), F.when(looks_like_project(own), own).otherwise(below))
+
+        return F.get(F.filter(F.transform(bound, named), lambda v: v.isNotNull()), F.lit(0))
+
+    return X.let(lines, search)
+
+
 def _tidy_reference(value: Column) -> Column:
     return X.blank_to_null(F.btrim(X.collapse(value), F.lit(" \t\r\n,;:.")))
 
@@ -238,7 +252,7 @@ def _refined(base: DataFrame) -> DataFrame:
     many_wins = many.isNotNull() & (~project_ok | (many == project) | many.startswith(F.concat(project, F.lit("\n"))) | project.endswith("+"))
     order = X.group(text, r"(?i)\bAuftrag\s*:\s*([A-Za-z0-9.-]+)")
     title = X.group(text, r"(?im)^\s*(Visualisierung[^\n]*|Systemdetails[^\n]*|SYSTEM\s+[^\n]*)\s*$")
-    building = multiline_value(lines, "Bauvorhaben", max_lines=4)
+    building = building_site(lines)
     return base.withColumns({
         "document_number":
             F.when(template == "alu_one", F.when(number_ok, number).otherwise(nearby_value(lines, "Nummer:", looks_like_number)))

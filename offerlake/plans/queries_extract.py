@@ -11,18 +11,18 @@ from offerlake.operators import amounts, headers, items, lines
 from offerlake.plans.catalog import query
 from offerlake.plans.render import HEADS, rendered
 from offerlake.plans.views import Tables
-from offerlake.rules.blocks import delivery_items
+from offerlake.rules.blocks import delivery_items, pair_alternatives
 from offerlake.rules.registry import REGISTRY
 
 # what a layout does to a position: number form, alternatives, short text
 EXPECTED = {
-    "rieder": ("CAST(item_seq AS VARCHAR)", "is_alternative", "CASE WHEN is_alternative THEN 'Alternativ für Pos. 1' ELSE 'Fenster K' || part_key || ' Dreh' END"),
+    "rieder": ("CAST(item_seq AS VARCHAR)", "is_alternative", "'Fenster K' || part_key || ' Dreh'"),
     "muigg": ("lpad(CAST(item_seq AS VARCHAR), 3, '0')", "is_alternative", "'Element K' || part_key || ' 900 x 1200'"),
     "entholzer": ("CAST(item_seq AS VARCHAR)", "is_alternative", "'Aluclip K' || part_key"),
     "koch": ("CAST(item_seq AS VARCHAR)", "FALSE", "'Türblatt K' || part_key"),
     "schachermayer": ("lpad(CAST(item_seq AS VARCHAR), 2, '0')", "FALSE", "'Solido K' || part_key"),
     "alu_one": ("lpad(CAST(item_seq AS VARCHAR), 3, '0')", "is_alternative", "'Türelement K' || part_key"),
-    "newo": ("lpad(CAST(item_seq AS VARCHAR), 3, '0')", "is_alternative", "'NeWo Raffstore K' || part_key"),
+    "newo": ("lpad(CAST(item_seq AS VARCHAR), 3, '0')", "is_alternative", "'NeWo Raffstore K' || part_key || ' weiß'"),
     "sr_schauraum": ("CAST(ROW_NUMBER() OVER (PARTITION BY document_id ORDER BY item_seq) AS VARCHAR)", "is_alternative",
                      "CASE WHEN is_alternative THEN 'OPTIONAL: Paket K' ELSE 'MODUL ' || item_seq || ' Paket K' END || part_key"),
     "rekord_vomp": ("CAST(item_seq AS VARCHAR)", "is_alternative", "'Kunststoff K' || part_key"),
@@ -43,12 +43,14 @@ def extracted(t: Tables, key: str) -> DataFrame:
 def _register(key: str) -> None:
     number, alternative, short = EXPECTED[key]
     unit = "NULL::DOUBLE" if key == "rekord_vomp" else "CAST(unit_price AS DOUBLE)"
+    # this layout's total row is only found for quantities of one digit
+    total = "CASE WHEN quantity < 10 THEN line_total END" if key == "rekord_vomp" else "line_total"
     size = key not in ("sr_schauraum", "schachermayer")
 
     @query(f"extract_{key}", f"{OPERATORS[key]} LI-17 FLT-07 FN-03 FN-11", f"""
 SELECT document_id, CAST(ROW_NUMBER() OVER (PARTITION BY document_id ORDER BY item_seq) AS INTEGER) AS item_seq, {number} AS position_no, {alternative} AS is_alternative,
-       CAST(quantity AS DOUBLE) AS quantity, {unit} AS unit_price, CAST(line_total AS DOUBLE) AS line_total, {short} AS description_short,
-       page_ref, {'900.0::DOUBLE' if size else 'NULL::DOUBLE'} AS width_mm, 0.85::DOUBLE AS confidence
+       CAST(quantity AS DOUBLE) AS quantity, {unit} AS unit_price, CAST({total} AS DOUBLE) AS line_total, {short} AS description_short,
+       page_ref, {'900.0::DOUBLE' if size else 'NULL::DOUBLE'} AS width_mm, CASE WHEN {total} IS NULL THEN 0.7::DOUBLE ELSE 0.85::DOUBLE END AS confidence
 FROM line_items""")
     def _(t):
         rows = extracted(t, key)
@@ -63,6 +65,19 @@ for _key in EXPECTED:
     _register(_key)
 
 
+@query("alternative_parents", "LI-16", """
+, a AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY document_id, is_alternative, part_key % 3 ORDER BY item_seq) AS k FROM line_items)
+SELECT x.document_id, CAST(x.item_seq AS INTEGER) AS block_no, m.position_no AS parent
+FROM a x LEFT JOIN a m ON m.document_id = x.document_id AND NOT m.is_alternative AND x.is_alternative AND m.part_key % 3 = x.part_key % 3 AND m.k = x.k""")
+def _(t):
+    # alternatives print the key of their main with a slip in its last sign
+    stem = F.concat(F.lit("Raum "), F.repeat(F.element_at(F.array(F.lit("a"), F.lit("b"), F.lit("c")), (F.col("part_key") % 3 + 1).cast("int")), F.lit(5)))
+    slip = F.when(F.col("is_alternative"), F.concat(stem, F.lit("x"))).otherwise(F.concat(stem, F.lit("y")))
+    rows = t.line_items.select("document_id", F.col("item_seq").alias("block_no"), "is_alternative", "position_no", slip.alias("lv_pos"),
+                               F.lit(None).cast("string").alias("alternative_parent_position_no"))
+    return pair_alternatives(rows).select("document_id", "block_no", F.col("alternative_parent_position_no").alias("parent"))
+
+
 @query("rendered_totals", "DOC-10 FN-06", """
 SELECT document_id, CAST(net_total AS DOUBLE) AS net_total, CAST(gross_total - net_total AS DOUBLE) AS implied_vat, CAST(gross_total AS DOUBLE) AS gross_total,
        CAST(CASE WHEN ABS(vat_total - (gross_total - net_total)) > 0.05 THEN gross_total - net_total ELSE vat_total END AS DOUBLE) AS vat_total

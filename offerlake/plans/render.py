@@ -59,7 +59,7 @@ def _block(key: str) -> Column:
         total = F.when(c["alt"], F.concat(F.lit("("), c["total"], F.lit(")"))).otherwise(c["total"])
         return _text(c["nnn"], " ", c["q"], ",00 Stk. Element ", c["code"], " 900 x 1200 ", c["unit"], " ", total, "\nLV-Pos: 01.02\nRahmen verzinkt")
     if key == "entholzer":
-        return _text("Pos.: ", c["n"], "\n1750 875 Aluclip ", c["code"], "\n", c["q"], " Stk. Element", _if(c["alt"], "\nAlternativ zur Vorposition"),
+        return _text("Pos.: ", c["n"], "\n1750 875 Aluclip ", c["code"], "\nMenge: ", c["q"], " Stk. Element", _if(c["alt"], "\nAlternativ zur Vorposition"),
                      "\nB/H: 900 x 1200\n", c["unit"], " ", c["total"])
     if key == "koch":
         return _text(c["n"], " ", c["q"], "Stk. DIN-L 100mm 900mm 1200mm PZ Zimmertür\nObjektposition: Top 7\n1 Türblatt ", c["code"],
@@ -70,7 +70,7 @@ def _block(key: str) -> Column:
         return _text(_if(c["alt"], "Alternativ:\n"), c["nnn"], " ", c["q"], " Stk Türelement ", c["code"], " ", c["unit"], " EUR ", c["total"],
                      " EUR\n900 mm x 1200 mm\nRahmen: pulverbeschichtet")
     if key == "newo":
-        return _text(c["nnn"], " ", c["q"], ",00 Stk NeWo Raffstore ", c["code"], " ", c["unit"], " ", c["total"], _if(c["alt"], "\nAlternativ"),
+        return _text(c["nnn"], " ", c["q"], ",00 Stk NeWo Raffstore ", c["code"], " weiß ", c["unit"], " ", c["total"], _if(c["alt"], "\nAlternativ"),
                      "\nElementbreite: 900 mm, Elementhöhe: 1200 mm")
     if key == "sr_schauraum":
         return _text(F.when(c["alt"], "OPTIONAL: Paket ").otherwise(F.concat(F.lit("MODUL "), c["n"], F.lit(" Paket "))), c["code"], "\n- mit Einschulung\n",

@@ -113,7 +113,7 @@ def delivery_items(doc_text: DataFrame, items: DataFrame) -> DataFrame:
     found = found.withColumn("first_sum", first_sum)
     near = F.filter(F.flatten("values"), lambda v: F.abs(v - F.col("first_sum")) <= F.lit("0.02").cast(amount))
     printed = F.when(F.col("first_sum") > 0, F.coalesce(F.get(near, F.lit(0)), F.col("first_sum")))
-    head_text = F.substring_index("text", F.get("lines", F.lit(0)), 1)
+    head_text = F.expr("substring_index(text, lines[0], 1)")
     numbers = items.groupBy("document_id").agg(
         F.max(F.when(F.regexp_like("position_no", F.lit("^[0-9]+$")), F.col("position_no").try_cast("int"))).alias("top"),
         F.count("*").alias("items"), F.max("block_no").alias("last_block"),
@@ -491,25 +491,25 @@ def near_key(left: Column, right: Column) -> Column:
 
 
 def pair_alternatives(rows: DataFrame) -> DataFrame:
-    """k-th alternative of a customer position to the k-th main of the same or the one near position."""
-    keyed = rows.select("document_id", "block_no", "is_alternative", "position_no", "lv_pos", customer_position_key(F.col("lv_pos")).alias("key")).where("key <> ''")
-    mains, others = keyed.where("not is_alternative"), keyed.where("is_alternative")
-    main_keys = mains.select("document_id", F.col("key").alias("main_key")).distinct()
-    exact = others.join(main_keys, (others["document_id"] == main_keys["document_id"]) & (others["key"] == main_keys["main_key"]), "left_semi").withColumn("target", F.col("key"))
-    loose = others.join(main_keys, (others["document_id"] == main_keys["document_id"]) & (others["key"] == main_keys["main_key"]), "left_anti")
-    # only keys of the same document that are near at all survive; one survivor is a partner
-    near = loose.join(main_keys, "document_id").where(near_key(F.col("key"), F.col("main_key"))).groupBy(*loose.columns).agg(
-        F.count("*").alias("n"), F.min("main_key").alias("target")
-    ).where("n = 1").drop("n")
-    place = F.row_number().over(Window.partitionBy("document_id", "target").orderBy("block_no"))
-    wanted = exact.unionByName(near).withColumn("k", place).select("document_id", "block_no", "target", "k")
-    offered = mains.withColumn("k", F.row_number().over(Window.partitionBy("document_id", "key").orderBy("block_no"))).select(
-        "document_id", F.col("key").alias("target"), "k", F.col("position_no").alias("parent")
-    )
-    pairs = wanted.join(offered, ["document_id", "target", "k"]).select("document_id", "block_no", "parent")
-    return rows.join(pairs, ["document_id", "block_no"], "left").withColumn(
-        "alternative_parent_position_no", F.coalesce(X.clean_optional(F.col("parent")), "alternative_parent_position_no")
-    ).drop("parent")
+    """k-th alternative of a customer position to the k-th main of the same or the one near position.
+
+    The mains of a document travel along as one list, so the texts are read once and
+    one exchange on the document serves both windows.
+    """
+    keyed = rows.withColumn("_key", customer_position_key(F.col("lv_pos")))
+    main = F.when(~F.col("is_alternative") & (F.col("_key") != ""), F.struct(
+        F.col("block_no").alias("no"), F.col("_key").alias("key"), F.col("position_no").alias("position")
+    ))
+    keyed = keyed.withColumn("_mains", F.array_sort(F.collect_list(main).over(per_document())))
+    keys = F.array_distinct(F.transform("_mains", lambda m: m["key"]))
+    near = F.filter(keys, lambda key: near_key(F.col("_key"), key))
+    target = F.when(F.array_contains(keys, F.col("_key")), F.col("_key")).when(F.size(near) == 1, F.get(near, F.lit(0)))
+    keyed = keyed.withColumn("_target", F.when(F.col("is_alternative") & (F.col("_key") != ""), target))
+    place = F.row_number().over(Window.partitionBy("document_id", "_target").orderBy("block_no"))
+    keyed = keyed.withColumn("_place", place)
+    partners = F.filter("_mains", lambda m: m["key"] == F.col("_target"))
+    parent = F.when(F.col("_target").isNotNull(), X.clean_optional(F.get(partners, F.col("_place") - 1)["position"]))
+    return keyed.withColumn("alternative_parent_position_no", F.coalesce(parent, "alternative_parent_position_no")).select(*rows.columns)
 
 
 SCHLOTTERER = RuleSet(
