@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-QUERY_MODULES = ("queries_pricing", "queries_validation", "queries_links", "queries_export", "queries_extract", "queries_images")
+QUERY_MODULES = ("queries_pricing", "queries_validation", "queries_links", "queries_export", "queries_extract", "queries_images", "queries_tables")
 
 
 def load_queries() -> None:

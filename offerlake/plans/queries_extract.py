@@ -95,7 +95,7 @@ def _(t):
 , k AS (SELECT unnest([
   {'key': 'rieder', 'number': '20260001', 'day': NULL, 'project': 'Haus am Hang'},
   {'key': 'muigg', 'number': '260001', 'day': '03.03.2026', 'project': 'BV Haus am Hang'},
-  {'key': 'entholzer', 'number': '26.0001', 'day': NULL, 'project': 'Haus am Hang'},
+  {'key': 'entholzer', 'number': NULL, 'day': NULL, 'project': 'Haus am Hang'},
   {'key': 'koch', 'number': '260001', 'day': '03.03.2026', 'project': 'Haus am Hang'},
   {'key': 'alu_one', 'number': '260001', 'day': '03.03.2026', 'project': 'Haus am Hang'},
   {'key': 'rekord_vomp', 'number': 'AB260001', 'day': '03.03.2026', 'project': 'Haus am Hang'},
@@ -107,7 +107,7 @@ def _(t):
     # one source row per order and layout; the head and the totals make the text
     heads = F.array(*[F.lit(HEADS[k]) for k in keys])
     sums = t.order_sums.select("document_id", F.explode(heads).alias("head"), "net_total")
-    text = F.concat("head", F.lit("\nGesamt Nettosumme EUR "), N.eu_format(F.col("net_total")))
+    text = F.concat("head", F.lit("\nZahlung: 30 Tage\nGesamt Nettosumme EUR "), N.eu_format(F.col("net_total")))
     return headers.document_headers(sums.select("document_id", text.alias("text"))).drop("offer_reference")
 
 

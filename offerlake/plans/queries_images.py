@@ -113,8 +113,7 @@ def image_matches(t):
 
 @query("unique_image_matches", "IMG-15 IMG-16")
 def unique_image_matches(t):
-    matches = _matches(t)
-    out = I.written_assignments(I.resolve_conflicts(matches), matches)
+    out = I.written_assignments(I.resolve_conflicts(_matches(t)))
     return out.withColumn("image_ids", F.array_join(F.col("image_ids").cast("array<string>"), ","))
 
 
