@@ -41,8 +41,9 @@ class Tables:
             self.read("lineitem")
             .groupBy("l_orderkey", "l_linenumber")
             .agg(
-                F.sum(F.col("l_quantity").cast("decimal(14,4)")).cast("decimal(14,4)").alias("quantity"),
-                F.sum(F.col("l_extendedprice").cast("decimal(14,2)")).cast("decimal(14,2)").alias("line_total"),
+                # short decimals keep the sums in 64 bits
+                F.sum(F.col("l_quantity").cast("decimal(8,4)")).cast("decimal(14,4)").alias("quantity"),
+                F.sum(F.col("l_extendedprice").cast("decimal(8,2)")).cast("decimal(14,2)").alias("line_total"),
                 F.min("l_partkey").alias("part_key"),
                 F.min("l_suppkey").alias("supp_key"),
                 (F.max("l_returnflag") == "R").alias("is_alternative"),
@@ -113,8 +114,11 @@ class Tables:
     def order_sums(self) -> DataFrame:
         """One row per order: conditions, subtotals and printed totals."""
         sums = self.positions.groupBy("document_id").agg(
-            F.coalesce(F.sum(F.when(~F.col("is_alternative"), F.col("line_total"))), F.lit(0))
-            .cast("decimal(14,2)").alias("subtotal"),
+            F.coalesce(
+                (F.sum(F.when(~F.col("is_alternative"), (F.col("line_total") * 100).cast("long"))).cast("decimal(18,0)")
+                 * F.lit("0.01").cast("decimal(3,2)")).cast("decimal(14,2)"),
+                F.lit(0).cast("decimal(14,2)"),
+            ).alias("subtotal"),
             F.round(F.max("discount") * 100).cast("int").alias("discount_pct"),
             F.round(F.max("tax") * 100).cast("int").alias("surcharge_pct"),
             F.min("supp_key").alias("supp_key"),
