@@ -92,7 +92,10 @@ def rendered(t: Tables, key: str) -> DataFrame:
     rows = t.line_items.select(
         "document_id", F.struct("item_seq", "page_ref", _block(key).alias("block")).alias("row")
     )
-    listed = rows.groupBy("document_id").agg(F.array_sort(F.collect_list("row")).alias("rows"))
+    # a fixed partition count: the texts are small but costly to read, and adaptive merging by
+    # size would put them all into one task; the grouping reuses this exchange
+    spread = rows.repartition(int(t.spark.conf.get("spark.sql.shuffle.partitions")), "document_id")
+    listed = spread.groupBy("document_id").agg(F.array_sort(F.collect_list("row")).alias("rows"))
 
     def place(bound: Column) -> Column:
         def with_break(row: Column, i: Column) -> Column:
