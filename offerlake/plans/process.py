@@ -12,7 +12,7 @@ from offerlake.operators.lines import text_rejects
 from offerlake.rules.base import Registry
 from offerlake.rules.blocks import delivery_items
 from offerlake.rules.registry import REGISTRY
-from offerlake.session import checkpoint_dir
+from offerlake.session import checkpoint_dir, cut_lineage
 
 
 def stage_by_template(doc_text: DataFrame, registry: Registry = REGISTRY) -> DataFrame:
@@ -53,10 +53,11 @@ def process_texts(doc_text: DataFrame, registry: Registry = REGISTRY) -> dict[st
     groups = groups.withColumn("key", pricing.group_key(F.col("label")))
     raw_amounts = amounts.amount_rows(amounts.extract_amount_lines(staged), templates)
     expanded = amounts.expand_group_discounts(raw_amounts, groups)
-    amount_lines = amounts.upsert_totals(expanded, totals)
+    # written once: pricing, counting and the tables read these several times
+    amount_lines = cut_lineage(amounts.upsert_totals(expanded, totals))
     profile = amounts.condition_profile(amount_lines)
 
-    typed = items.typed_items(items.numbered(extract_items(staged, registry)))
+    typed = cut_lineage(items.typed_items(items.numbered(extract_items(staged, registry))))
     # the supplier of a position is known from its rule set; pricing branches read their own rows only
     suppliers = templates.select("document_id", F.col("template").alias("provider_key"))
     chain = pricing.price_by_chain(typed.where(~F.col("template").isin("schachermayer", "schlotterer")), profile, suppliers)
