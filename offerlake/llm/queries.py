@@ -66,15 +66,15 @@ WITH RECURSIVE own AS (
   SELECT doc_id, text, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM own
 ), grams AS MATERIALIZED (
   SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) = 0 THEN ['=' || text] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
-    ELSE list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' ')) END)) AS g FROM cut
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END)) AS g FROM cut
 ), sizes AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id
 ), pairs AS MATERIALIZED (
   SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL
 ), links AS MATERIALIZED (
   SELECT a, b FROM pairs JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE common >= 0.8 * (x.n + y.n - common)
-), both AS MATERIALIZED (SELECT a, b FROM links UNION ALL SELECT b, a FROM links
-), reach AS (SELECT doc_id AS a, doc_id AS b FROM own UNION SELECT r.a, l.b FROM reach r JOIN both l ON l.a = r.b
-), degree AS (SELECT a, count(*) AS n_links FROM both GROUP BY a)
+), ends AS MATERIALIZED (SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reach AS (SELECT doc_id AS a, doc_id AS b FROM own UNION SELECT r.a, l.b FROM reach r JOIN ends l ON l.a = r.b
+), degree AS (SELECT a, count(*) AS n_links FROM ends GROUP BY a)
 SELECT r.a AS doc_id, min(r.b) AS class_id, coalesce(any_value(n_links), 0) AS n_links FROM reach r LEFT JOIN degree d ON d.a = r.a GROUP BY r.a
 """
 
@@ -105,7 +105,7 @@ def op7_warc(spark: SparkSession, folder: str) -> DataFrame:
 NEIGHBOURS_SQL = """
 WITH sound AS (
   SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
-  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, x -> x <> 0)) > 0
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
 ), scored AS (
   SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_inner_product(q.v, c.v) AS score FROM sound q JOIN sound c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0
 )
