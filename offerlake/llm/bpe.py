@@ -17,9 +17,7 @@ empty; other columns are not read.
 from __future__ import annotations
 
 import base64
-import re
-import sys
-import unicodedata
+import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -30,14 +28,13 @@ import pandas as pd
 import pyarrow as pa
 import regex
 import tiktoken
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from offerlake.llm.common import empty_text, packed, stage, text_buffers, with_fields
+from offerlake.llm.common import BYTE_VALUES, STEP_BYTES, empty_text, packed, span_hashes, stage_folder, steps, text_buffers, with_fields
 
-BLOCK_BYTES = 12_000_000
+BLOCK_BYTES = 6_000_000
 
 
 @dataclass(frozen=True)
@@ -68,39 +65,80 @@ def _token_bytes(ranks: Ranks) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(by_id.values()), np.uint8), offsets
 
 
-@lru_cache(maxsize=1)
-def _odd_characters() -> re.Pattern:
-    """Characters that the two regular expression libraries class differently."""
-    spans, start = [], None
-    for code in range(sys.maxunicode + 2):
-        kind = unicodedata.category(chr(code)) if code <= sys.maxunicode else "Lu"
-        if kind in ("Nl", "No", "Cn") or 0x1C <= code <= 0x1F:
-            start = code if start is None else start
-        elif start is not None:
-            spans.append(f"\\U{start:08x}-\\U{code - 1:08x}")
-            start = None
-    return re.compile("[" + "".join(spans) + "]")
-
-
-@lru_cache(maxsize=2)
-def _cutters(pattern: str) -> tuple[re.Pattern | None, regex.Pattern]:
-    """A faster equal of ``pattern`` for texts without odd characters, and the pattern itself."""
-    plain = pattern.replace(r"[^\s\p{L}\p{N}]", r"(?:[^\s\w]|_)").replace(r"\p{L}", r"[^\W\d_]").replace(r"\p{N}", r"\d")
-    return (None if r"\p" in plain else re.compile(plain)), regex.compile(pattern)
+#: Classes of characters; the rest is 0.
+LETTER, NUMBER, SPACE = 1, 2, 3
+#: The pattern whose matches ``pieces`` finds, as public tokenizers of this kind use it.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
-def cut(text: str, pattern: str) -> list[str]:
-    plain, full = _cutters(pattern)
-    if plain is None or _odd_characters().search(text):
-        return [m.group() for m in full.finditer(text)]
-    return plain.findall(text)
-
-
-def _bytes_of(strings: list[str]) -> bytes:
-    """Byte lengths and bytes of many strings, compressed."""
-    raw = pa.array(strings, pa.string())
-    data, offsets = text_buffers(raw)
-    return zlib.compress(np.diff(offsets).astype(np.uint32).tobytes() + data.tobytes(), 1)
+@lru_cache(maxsize=1)
+def classes() -> np.ndarray:
+    """The class of every code point."""
+    out = np.zeros(0x110000, np.uint8)
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    every = "".join(map(chr, points))
+    codes = np.array(points)
+    for kind, name in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (SPACE, r"\s+")):
+        for m in regex.finditer(name, every):
+            out[codes[m.start() : m.end()]] = kind
+    return out
+
+
+def byte_classes(data: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """The class of the character of every byte of UTF-8."""
+    out = table[np.minimum(data, 127)]
+    leads = np.flatnonzero(data >= 0xC0)
+    if len(leads):
+        size = 2 + (data[leads] >= 0xE0) + (data[leads] >= 0xF0)
+        code = (data[leads] & (0x7F >> size)).astype(np.int32)
+        for k in (1, 2, 3):
+            more = size > k
+            code[more] = code[more] << 6 | (data[leads[more] + k] & 0x3F)
+        kind = table[code]
+        out[leads] = kind
+        for k in (1, 2, 3):
+            more = size > k
+            out[leads[more] + k] = kind[more]
+    return out
+
+
+def pieces(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First bytes of all matches of ``PATTERN`` (they follow without gaps), and the rows' match offsets."""
+    n = len(data)
+    kind = byte_classes(data, table)
+    begins = np.zeros(n + 1, bool)
+    begins[offsets] = True
+    edge = begins[:n].copy()
+    edge[1:] |= kind[1:] != kind[:-1]
+    first = np.flatnonzero(edge)
+    last = np.append(first[1:], n)
+    run = kind[first]
+    ends_row = begins[last]
+    cuts = edge.copy()
+    # a run of spaces before something else gives its last space away
+    spaces = np.flatnonzero((run == SPACE) & ~ends_row)
+    tail = last[spaces] - 1
+    while len(tail) and ((data[tail] & 0xC0) == 0x80).any():  # to the first byte of that character
+        tail = np.where((data[tail] & 0xC0) == 0x80, tail - 1, tail)
+    cuts[tail] = True
+    blank = data[tail] == 32
+    cuts[last[spaces][blank]] = False
+    # a lone apostrophe that no blank precedes takes the letters of a contraction
+    quote = np.flatnonzero((run == 0) & (last - first == 1) & ~ends_row & (data[first] == 39) & cuts[first])
+    if len(quote):
+        quote = quote[run[quote + 1] == LETTER]
+        at = first[quote] + 1
+        room = last[quote + 1] - at
+        one, two = data[at], data[np.minimum(at + 1, n - 1)]
+        single = np.isin(one, np.frombuffer(b"stmd", np.uint8))
+        double = (room > 1) & (((one == 114) & (two == 101)) | ((one == 118) & (two == 101)) | ((one == 108) & (two == 108)))
+        taken = np.where(single, 1, np.where(double, 2, 0))
+        hit = taken > 0
+        cuts[at[hit]] = False
+        after = (at + taken)[hit]
+        cuts[after[(taken < room)[hit]]] = True
+    starts = np.flatnonzero(cuts)
+    return starts, np.searchsorted(starts, offsets)
 
 
 def _strings_of(blob: bytes, count: int) -> list[str]:
@@ -114,38 +152,58 @@ BLOCKS = "block string, doc_ids array<long>, counts array<long>, bucket_of binar
 _ASKED = pa.list_(pa.struct([("bucket", pa.int32()), ("size", pa.int32()), ("words", pa.binary())]))
 
 
-def _blocks(pattern: str, buckets: int):
-    def block(name: str, ids: list, counts: list, numbers: list[int], words: dict[str, int]) -> pa.RecordBatch:
-        strings = list(words)
-        bucket_of = np.fromiter((zlib.crc32(w.encode()) % buckets for w in strings), np.uint16, len(strings))
-        order = np.argsort(bucket_of, kind="stable")
-        edges = np.flatnonzero(np.diff(bucket_of[order].astype(np.int64), prepend=-1))
+def _blocks(buckets: int, table: np.ndarray):
+    def block(ids: list[pa.Array], texts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        # step by step, since the hashes take eight bytes for each byte of text
+        found, sizes, counts, hashes, base = [], [], [], [], 0
+        for part, offsets in texts:
+            starts, at = pieces(part, offsets, table)
+            ends = np.append(starts[1:], len(part))
+            hashes.append(span_hashes(BYTE_VALUES[part], starts, ends))
+            found.append(starts + base)
+            sizes.append((ends - starts).astype(np.uint32))
+            counts.append(np.diff(at))
+            base += len(part)
+        data, starts, lengths = np.concatenate([d for d, _ in texts]), np.concatenate(found), np.concatenate(sizes)
+        _, index, number, count = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True, return_counts=True)
+        del hashes, found, sizes
+        # words by falling frequency, so that the high bytes of the positions are nearly empty
+        order = np.argsort(-count, kind="stable")
+        rank = np.empty(len(order), np.uint32)
+        rank[order] = np.arange(len(order), dtype=np.uint32)
+        first, size = starts[index[order]], lengths[index[order]].astype(np.int64)
+        spread = data[_spread(first, size)]
+        edges = np.concatenate([[0], np.cumsum(size)])
+        raw = spread.tobytes()
+        bucket_of = np.fromiter((zlib.crc32(raw[a:b]) % buckets for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)), np.uint16, len(size))
+        by_bucket = np.argsort(bucket_of, kind="stable")
+        cut = np.flatnonzero(np.diff(bucket_of[by_bucket].astype(np.int64), prepend=-1))
         asked = []
-        for a, b in zip(edges, np.append(edges, len(order))[1:], strict=True):
-            asked.append({"bucket": int(bucket_of[order[a]]), "size": int(b - a), "words": _bytes_of([strings[i] for i in order[a:b]])})
-        positions = np.array(numbers, np.uint32)
-        # byte planes: the high ones are nearly empty, as frequent words come first
-        planes = positions.view(np.uint8).reshape(-1, 4).T.tobytes()
-        row = ([name], [ids], [counts], [bucket_of.tobytes()], [zlib.compress(planes, 1)], [asked])
+        for a, b in zip(cut, np.append(cut, len(by_bucket))[1:], strict=True):
+            these = by_bucket[a:b]
+            words = size[these].astype(np.uint32).tobytes() + spread[_spread(edges[these], size[these])].tobytes()
+            asked.append({"bucket": int(bucket_of[these[0]]), "size": int(b - a), "words": zlib.compress(words, 1)})
+        planes = rank[number].view(np.uint8).reshape(-1, 4).T.tobytes()
+        doc_ids = pa.chunked_array(ids).combine_chunks().to_pylist()
+        row = ([uuid.uuid4().hex], [doc_ids], [np.concatenate(counts).tolist()], [bucket_of.tobytes()], [zlib.compress(planes, 2)], [asked])
         kinds = (pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary(), _ASKED)
         return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds, strict=True)], names=["block", "doc_ids", "counts", "bucket_of", "positions", "asked"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, turn = TaskContext.get().partitionId(), 0
-        ids, counts, numbers, words, size = [], [], [], {}, 0
+        ids, texts, size = [], [], 0
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if ids and size + len(text) > BLOCK_BYTES:
-                    yield block(f"{part}-{turn}", ids, counts, numbers, words)
-                    turn, ids, counts, numbers, words, size = turn + 1, [], [], [], {}, 0
-                found = cut(text, pattern)
-                number = words.setdefault
-                numbers += [number(w, len(words)) for w in found]
-                ids.append(doc_id)
-                counts.append(len(found))
-                size += len(text)
+            data, offsets = text_buffers(batch.column(1))
+            for first, last in steps(offsets, STEP_BYTES // 2):
+                part = data[offsets[first] : offsets[last]]
+                if ids and size + len(part) > BLOCK_BYTES:
+                    yield block(ids, texts)
+                    pa.default_memory_pool().release_unused()
+                    ids, texts, size = [], [], 0
+                ids.append(batch.column(0).slice(first, last - first))
+                texts.append((part, offsets[first : last + 1] - offsets[first]))
+                size += len(part)
         if ids:
-            yield block(f"{part}-{turn}", ids, counts, numbers, words)
+            yield block(ids, texts)
 
     return run
 
@@ -205,9 +263,16 @@ def _reassemble(blocks: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
 
 def encode(docs: DataFrame, ranks: Ranks, text: str = "text") -> DataFrame:
     """doc_id, n_tokens and ids (little-endian unsigned 32-bit integers) of every row."""
-    buckets = min(65535, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    if ranks.pattern != PATTERN:
+        raise ValueError("the cutter is made for one pattern")
+    spark = docs.sparkSession
+    buckets = min(65535, int(spark.conf.get("spark.sql.shuffle.partitions")))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), empty_text(text).alias("text"))
-    blocks = stage(texts.mapInArrow(_blocks(ranks.pattern, buckets), BLOCKS), "bpe-blocks")
+    # bucketed by block, so that the positions meet their answers without being shuffled
+    name = f"bpe_blocks_{uuid.uuid4().hex}"
+    made = texts.mapInArrow(_blocks(buckets, classes()), BLOCKS).write.option("path", f"{stage_folder(spark, 'bpe-blocks')}/rows")
+    made.bucketBy(buckets, "block").saveAsTable(name)
+    blocks = spark.table(name)
     asked = blocks.select("block", F.inline("asked"))
     answers = asked.groupBy("bucket").applyInPandas(_answer(ranks), ANSWERS)
     held = blocks.select("block", "doc_ids", "counts", "bucket_of", "positions")
