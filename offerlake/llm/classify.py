@@ -5,8 +5,8 @@ from __future__ import annotations
 import numpy as np
 
 #: Bounds of the labelled sample that a model is fitted on.
-SAMPLE_PER_CLASS = 2000
-SAMPLE_MAX_CHARS = 20_000
+SAMPLE_PER_CLASS = 1600
+SAMPLE_MAX_CHARS = 12_000
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:

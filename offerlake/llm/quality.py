@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from offerlake.llm.classify import SAMPLE_MAX_CHARS, SAMPLE_PER_CLASS, Adam, sigmoid
-from offerlake.llm.common import free_name, labelled_sample, text_buffers, text_steps, with_fields, word_hashes, word_spans
+from offerlake.llm.common import free_name, labelled_sample, text_steps, with_fields, word_hashes, word_spans
 
 PASSAGE_WORDS = 60
 HIDDEN, GATES, ROUNDS, RATE = 24, 12, 300, 0.02
@@ -124,8 +124,8 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", per_class: int =
     rows = labelled_sample(docs, labels, "quality", per_class, max_chars, text).orderBy("text", "label").collect()
     if not rows:
         return Model(np.zeros(1), np.ones(1), None, 0.5)
-    data, offsets = text_buffers(pa.array([r["text"] for r in rows], pa.string()))
-    x, bag = passages(data, offsets)
+    parts = [passages(data, offsets) for _, _, data, offsets in text_steps(pa.array([r["text"] for r in rows], pa.string()))]
+    x, bag = np.concatenate([x for x, _ in parts]), np.concatenate([[0], *(np.diff(b) for _, b in parts)]).cumsum()
     return fit_bags(x, bag, np.array([float(r["label"]) for r in rows]), np.array([r["weight"] for r in rows]))
 
 

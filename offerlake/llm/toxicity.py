@@ -29,11 +29,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from offerlake.llm.classify import SAMPLE_MAX_CHARS, SAMPLE_PER_CLASS, Adam, logistic_fit, sigmoid
-from offerlake.llm.common import BYTE_VALUES, LOWER, free_name, labelled_sample, mixed, text_buffers, text_steps, with_fields, word_hashes, word_spans
+from offerlake.llm.common import BYTE_VALUES, LOWER, free_name, labelled_sample, mixed, steps, text_steps, with_fields, word_hashes, word_spans
 
 TABLE_BITS = 20
 PREFIXES = range(3, 9)
 ROUNDS, RATE, RIDGE = 25, 0.15, 1e-5
+CHUNK_WORDS = 200_000
 #: A form is bound to the toxic class from this likelihood-ratio statistic (about one chance in a
 #: million, as hundreds of thousands of forms are tried) and class-balanced share.
 LEAST_G2, LEAST_SHARE, LEAST_PLACES = 25.0, 0.95, 4
@@ -162,8 +163,9 @@ def word_labels(slots: np.ndarray, none: int, which: np.ndarray, hashes: np.ndar
     doc = np.repeat(np.arange(len(y)), np.diff(at))
     toxic, size = y[doc] > 0, int(slots.max()) + 1
     value = hashes[which]
-    around = mixed(np.roll(value, 1) ^ mixed(np.roll(value, -1) + np.uint64(1)))
-    places = np.unique(np.stack([value, around, toxic.astype(np.uint64)]), axis=1, return_index=True)[1]
+    around = np.roll(value, 1) ^ mixed(np.roll(value, -1) + np.uint64(1))
+    places = np.unique(mixed(value ^ mixed(around + toxic.astype(np.uint64))), return_index=True)[1]
+    del value, around
     totals = np.maximum(np.bincount(toxic[places].astype(int), minlength=2), 1).astype(float)
     seen = np.zeros((2, size))
     for j in range(slots.shape[1]):
@@ -180,27 +182,36 @@ def word_labels(slots: np.ndarray, none: int, which: np.ndarray, hashes: np.ndar
 
 
 def fit_tagger(slots: np.ndarray, none: int, which: np.ndarray, at: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Maximises the conditional likelihood of ``target``; (weights, transition scores)."""
-    size = int(slots.max()) + 1
+    """Maximises the conditional likelihood of ``target``, in chunks of documents; (weights, transition scores)."""
+    size, n = int(slots.max()) + 1, max(len(which), 1)
     params = {"w": np.zeros(size), "move": np.array([0.0, -3.0, 0.0, -2.0, -4.0])}
-    adam, n = Adam(params, RATE), max(len(which), 1)
-    first = at[:-1][np.diff(at) > 0]
-    inner = np.ones(len(which), bool)
-    inner[first] = False
-    rows = np.flatnonzero(inner)
-    before, now = target[rows - 1], target[rows]
-    observed = np.array([(~before & ~now).sum(), (~before & now).sum(), (before & ~now).sum(), (before & now).sum(), target[first].sum()], float)
+    adam = Adam(params, RATE)
+    chunks = []
+    for low, high in steps(at, CHUNK_WORDS):
+        places = at[low : high + 1] - at[low]
+        part = slice(at[low], at[high])
+        first = places[:-1][np.diff(places) > 0]
+        inner = np.ones(at[high] - at[low], bool)
+        inner[first] = False
+        rows, goal = np.flatnonzero(inner), target[part]
+        before, now = goal[rows - 1], goal[rows]
+        observed = np.array([(~before & ~now).sum(), (~before & now).sum(), (before & ~now).sum(), (before & now).sum(), goal[first].sum()], float)
+        chunks.append((part, places, first, rows, observed))
     for _ in range(ROUNDS):
-        emit = params["w"][slots].sum(1)[which]
-        p, fore, back = forward_backward(emit, at, params["move"])
-        error = np.bincount(which, weights=p - target, minlength=len(slots))
-        grad = np.bincount(slots.ravel(), weights=np.repeat(error, slots.shape[1]), minlength=size)
+        error, change = np.zeros(len(slots)), np.zeros(5)
+        score, t = params["w"][slots].sum(1), np.exp(params["move"])
+        for part, places, first, rows, observed in chunks:
+            emit = score[which[part]]
+            p, fore, back = forward_backward(emit, places, params["move"])
+            error += np.bincount(which[part], weights=p - target[part], minlength=len(slots))
+            e, f, b = np.exp(np.clip(emit[rows], -30, 30)), fore[rows - 1], back[rows]
+            joint = np.stack([np.full(len(rows), t[0]), t[1] * e * b, t[2] * f, t[3] * f * e * b])
+            change += np.append((joint / joint.sum(0)).sum(1), p[first].sum()) - observed
+        grad = np.zeros(size)
+        for j in range(slots.shape[1]):
+            grad += np.bincount(slots[:, j], weights=error, minlength=size)
         grad[none] = 0.0
-        t, e = np.exp(params["move"]), np.exp(np.clip(emit[rows], -30, 30))
-        f, b = fore[rows - 1], back[rows]
-        joint = np.stack([np.full(len(rows), t[0]), t[1] * e * b, t[2] * f, t[3] * f * e * b])
-        expected = np.append((joint / joint.sum(0)).sum(1), p[first].sum())
-        adam.step({"w": grad / n * 1e3 + RIDGE * params["w"], "move": (expected - observed) / n * 10 + 1e-4 * params["move"]})
+        adam.step({"w": grad / n * 1e3 + RIDGE * params["w"], "move": change / n * 10 + 1e-4 * params["move"]})
     return params["w"], params["move"]
 
 
@@ -215,17 +226,25 @@ def fit_texts(texts: list[str], y: np.ndarray, weight: np.ndarray) -> Model:
     later = turn % 4 == 3
 
     def tokens(mask: np.ndarray):
-        data, offsets = text_buffers(pa.array([t for t, m in zip(texts, mask, strict=True) if m], pa.string()))
-        starts, ends, at = word_spans(data, offsets)
-        unique, index, which = np.unique(word_hashes(data, starts, ends), return_index=True, return_inverse=True)
-        return forms(data, starts[index], ends[index]), which, unique, at
+        found, kinds, counts = [], [], []
+        for _, _, data, offsets in text_steps(pa.array([t for t, m in zip(texts, mask, strict=True) if m], pa.string())):
+            starts, ends, at = word_spans(data, offsets)
+            hashes = word_hashes(data, starts, ends)
+            index = np.unique(hashes, return_index=True)[1]
+            found.append(hashes)
+            kinds.append(forms(data, starts[index], ends[index]))
+            counts.append(np.diff(at))
+        kinds = np.concatenate(kinds)
+        kinds = kinds[np.unique(kinds[:, 0], return_index=True)[1]]  # by the word's hash
+        unique, which = np.unique(np.concatenate(found), return_inverse=True)
+        return kinds, which.astype(np.int32), unique, np.concatenate([[0], np.cumsum(np.concatenate(counts))])
 
     form, which, hashes, at = tokens(~later)
     y1 = y[~later]
     if not len(which):
         return Model(None, np.zeros(5), np.zeros(4), 0.0, prior)
     names, slots = np.unique(np.append(form.ravel(), np.uint64(0)), return_inverse=True)
-    slots, none = slots[:-1].reshape(form.shape), int(slots[-1])
+    slots, none = slots[:-1].reshape(form.shape).astype(np.int32), int(slots[-1])
     target = word_labels(slots, none, which, hashes, at, y1)
     found = np.add.reduceat(np.append(target, False).astype(int), at[:-1]) * (np.diff(at) > 0) if len(at) > 1 else np.zeros(0)
     use = (y1 == 0) | (found > 0)
