@@ -172,16 +172,16 @@ def _blocks(buckets: int, table: np.ndarray):
         rank = np.empty(len(order), np.uint32)
         rank[order] = np.arange(len(order), dtype=np.uint32)
         first, size = starts[index[order]], lengths[index[order]].astype(np.int64)
-        spread = data[_spread(first, size)]
+        letters = data[spread(first, size)]
         edges = np.concatenate([[0], np.cumsum(size)])
-        raw = spread.tobytes()
+        raw = letters.tobytes()
         bucket_of = np.fromiter((zlib.crc32(raw[a:b]) % buckets for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)), np.uint16, len(size))
         by_bucket = np.argsort(bucket_of, kind="stable")
         cut = np.flatnonzero(np.diff(bucket_of[by_bucket].astype(np.int64), prepend=-1))
         asked = []
         for a, b in zip(cut, np.append(cut, len(by_bucket))[1:], strict=True):
             these = by_bucket[a:b]
-            words = size[these].astype(np.uint32).tobytes() + spread[_spread(edges[these], size[these])].tobytes()
+            words = size[these].astype(np.uint32).tobytes() + letters[spread(edges[these], size[these])].tobytes()
             asked.append({"bucket": int(bucket_of[these[0]]), "size": int(b - a), "words": zlib.compress(words, 1)})
         planes = rank[number].view(np.uint8).reshape(-1, 4).T.tobytes()
         doc_ids = pa.chunked_array(ids).combine_chunks().to_pylist()
@@ -193,7 +193,7 @@ def _blocks(buckets: int, table: np.ndarray):
         ids, texts, size = [], [], 0
         for batch in batches:
             data, offsets = text_buffers(batch.column(1))
-            for first, last in steps(offsets, STEP_BYTES // 2):
+            for first, last in steps(offsets, STEP_BYTES):
                 part = data[offsets[first] : offsets[last]]
                 if ids and size + len(part) > BLOCK_BYTES:
                     yield block(ids, texts)
@@ -222,14 +222,14 @@ def _answer(ranks: Ranks):
         starts = np.concatenate([[0], np.cumsum(lengths)])[:-1]
         rows = []
         for block, bucket, which in zip(asked["block"], asked["bucket"], wanted, strict=True):
-            ids = flat[_spread(starts[which], lengths[which])]
+            ids = flat[spread(starts[which], lengths[which])]
             rows.append((block, bucket, zlib.compress(lengths[which].astype(np.uint32).tobytes(), 1), zlib.compress(ids.view(np.uint8).reshape(-1, 4).T.tobytes(), 1)))
         return pd.DataFrame(rows, columns=["block", "bucket", "lengths", "ids"])
 
     return run
 
 
-def _spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The numbers start, start + 1, ... of every run, end to end."""
     before = np.cumsum(lengths) - lengths
     return np.repeat(starts - before, lengths) + np.arange(int(lengths.sum()))
@@ -255,7 +255,7 @@ def _reassemble(blocks: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         which = place[_planes(row.positions)]
         edges = np.concatenate([[0], np.cumsum(counts)])
         sums = np.concatenate([[0], np.cumsum(lengths[which])])
-        ids = flat[_spread(starts[which], lengths[which])].tobytes()
+        ids = flat[spread(starts[which], lengths[which])].tobytes()
         at = sums[edges]
         out.append(pd.DataFrame({"doc_id": pd.array(row.doc_ids, "Int64"), "n_tokens": np.diff(at), "ids": [ids[4 * a : 4 * b] for a, b in zip(at[:-1], at[1:], strict=True)]}))
     return pd.concat(out) if out else pd.DataFrame({"doc_id": pd.array([], "Int64"), "n_tokens": pd.array([], "Int64"), "ids": []})
@@ -293,7 +293,7 @@ def decode(encoded: DataFrame, ranks: Ranks, ids: str = "ids", out: str = "decod
                 numbers = np.frombuffer(data[edges[first] : edges[last]].tobytes(), np.uint32)
                 lengths = sizes[numbers]
                 sums = np.concatenate([[0], np.cumsum(lengths)])
-                bytes_ = table[_spread(offsets[numbers], lengths)]
+                bytes_ = table[spread(offsets[numbers], lengths)]
                 part = batch.slice(first, last - first)
                 yield pa.RecordBatch.from_arrays([*part.columns, packed(bytes_, sums[(edges[first : last + 1] - edges[first]) // 4])], names=[*batch.schema.names, out])
 

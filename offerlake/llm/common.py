@@ -6,6 +6,7 @@ lower-casing A-Z. Texts that are null count as empty.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 import zipfile
@@ -21,7 +22,9 @@ from pyspark.sql import types as T
 from offerlake.session import checkpoint_dir
 
 #: Bytes of text that one numpy step works on; a longer document is a step of its own.
-STEP_BYTES = 2_000_000
+STEP_BYTES = 500_000
+#: Rows of an Arrow batch where the session keeps Spark's default of 10,000: texts are long rows.
+BATCH_ROWS = "1000"
 
 _CODES = np.arange(256)
 LOWER = np.where((_CODES >= 65) & (_CODES <= 90), _CODES + 32, _CODES).astype(np.uint8)
@@ -29,8 +32,10 @@ IS_WORD = (_CODES >= 128) | ((_CODES >= 48) & (_CODES <= 57)) | ((_CODES >= 65)
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the Python workers, once per Spark context."""
+    """Sends this package to the Python workers, once per Spark context, and makes Arrow batches short."""
     context = spark.sparkContext
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     if getattr(context, "_offerlake_sent", False):
         return
     package = Path(__file__).resolve().parents[1]
@@ -42,11 +47,20 @@ def ship(spark: SparkSession) -> None:
     context._offerlake_sent = True
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` to the shared checkpoint folder and reads it back; the files go when the JVM ends."""
-    path = f"{stage_folder(df.sparkSession, name)}/rows"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def stage(df: DataFrame, name: str, tidy: bool = False) -> DataFrame:
+    """Writes ``df`` to the shared checkpoint folder and reads it back; the files go when the JVM ends.
+
+    ``tidy`` asks the driver's JVM to collect its garbage, so that Spark's cleaner drops the shuffle
+    files of the finished job before the next one writes its own.
+    """
+    spark, schema = df.sparkSession, df.schema
+    path = f"{stage_folder(spark, name)}/rows"
+    df.write.option("compression", "zstd").parquet(path)
+    if tidy:
+        del df
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(schema).parquet(path)
 
 
 def stage_folder(spark: SparkSession, name: str) -> str:
@@ -110,6 +124,7 @@ def text_steps(column: pa.Array, size: int = STEP_BYTES) -> Iterator[tuple[int,
     data, offsets = text_buffers(column)
     for first, last in steps(offsets, size):
         yield first, last, data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first]
+    pa.default_memory_pool().release_unused()
 
 
 def packed(data: np.ndarray, offsets: np.ndarray) -> pa.Array:

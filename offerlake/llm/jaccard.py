@@ -302,18 +302,18 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, tole
     ``n_links`` counts the other documents of a similarity of at least ``threshold``, copies included.
     """
     texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), empty_text(text).alias("text"))
-    sets = stage(texts.mapInArrow(_sets(words), "doc_id long, set_a long, set_b long, grams long, signature binary"), "jaccard-sets")
+    sets = stage(texts.mapInArrow(_sets(words), "doc_id long, set_a long, set_b long, grams long, signature binary"), "jaccard-sets", tidy=True)
     named = sets.groupBy("doc_id").agg(F.min(F.struct("set_a", "set_b")).alias("s")).select("doc_id", "s.set_a", "s.set_b")
     groups = stage(named.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("head"), F.count("*").alias("copies")), "jaccard-groups")
     of_heads = sets.join(groups.withColumnRenamed("head", "doc_id"), ["doc_id", "set_a", "set_b"]).withColumnRenamed("doc_id", "head")
-    heads = stage(of_heads.groupBy("head", "set_a", "set_b", "grams", "copies").agg(F.first("signature").alias("signature")), "jaccard-heads")
+    heads = stage(of_heads.groupBy("head", "set_a", "set_b", "grams", "copies").agg(F.first("signature").alias("signature")), "jaccard-heads", tidy=True)
 
     dealt = heads.select("head", "signature").mapInArrow(_bands, "head long, bucket long")
     full = dealt.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket", F.ceil(F.col("n") / BLOCK).alias("blocks"))
     members = dealt.join(full, "bucket").join(heads.select("head", "signature"), "head")
     dealt_tiles = tiles(members, "bucket", "head", "blocks").select("bucket", "low", "high", "side", "head", "signature").repartition("bucket", "low", "high")
     pairs = dealt_tiles.sortWithinPartitions("bucket", "low", "high", "side", "head").mapInArrow(_prune(threshold, tolerance), "a long, b long")
-    classes = components(pairs, "jaccard-candidates")
+    classes = components(stage(pairs, "jaccard-pairs", tidy=True), "jaccard-candidates")
 
     inside = classes.unionByName(classes.select(F.col("root").alias("member"), "root").distinct()).withColumnRenamed("member", "head")
     about = inside.join(heads.select("head", "set_a", "grams", "copies"), "head")
@@ -321,7 +321,7 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, tole
     placed = about.join(sizes, "root").select(F.col("head").alias("doc_id"), "set_a", F.col("head"), "root", "copies", "blocks")
     with_sets = texts.join(placed, "doc_id").select("text", "set_a", "head", "root", "copies", "blocks").mapInArrow(_grams(words), "head long, root long, copies long, blocks long, set binary")
     verified = tiles(with_sets, "root", "head", "blocks").groupBy("root", "low", "high").applyInPandas(_verify(threshold), "head long, links long, root long")
-    found = stage(verified, "jaccard-links")
+    found = stage(verified, "jaccard-links", tidy=True)
 
     links = found.groupBy("head").agg(F.sum("links").alias("links"))
     tied = components(found.select(F.col("head").alias("a"), F.col("root").alias("b")), "jaccard-classes").withColumnRenamed("member", "head")

@@ -2,7 +2,8 @@
 
 A file holds a run of documents in ascending order of doc_id:
 
-    magic "OLTB", version, number of documents, number of ids    (4 bytes, then 3 unsigned 64-bit)
+    magic "OLTB", version, number of documents, number of ids,
+    ids of all documents before the first                        (4 bytes, then 4 unsigned 64-bit)
     doc_id and id count of every document                        (signed / unsigned 64-bit arrays)
     control bytes                                                (two bits an id: its byte length - 1)
     data bytes                                                   (the id's rank, little-endian)
@@ -11,7 +12,8 @@ Ranks order all ids by how often the whole corpus has them, so frequent ids take
 holds the ids by rank, in the same folder. A control byte is decoded by one lookup in a table of 256
 rows of four lengths.
 
-Texts are dealt into ranges of doc_id and encoded once; counts of all ids give the ranks. Documents
+Texts are dealt into ranges of doc_id and encoded once, each distinct word of a block by one call of
+the tokenizer; counts of all ids give the ranks. Documents
 with the same doc_id stand in the order of their text. Null ids come first, null texts count as empty
 (one end id); an empty table gives no files and no rows; other columns are not read. Files are
 written under a temporary name and renamed, so a task that runs again leaves the same files.
@@ -19,6 +21,7 @@ written under a temporary name and renamed, so a task that runs again leaves the
 
 from __future__ import annotations
 
+import itertools
 import struct
 import uuid
 from collections.abc import Iterator
@@ -28,17 +31,19 @@ import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from offerlake.llm.common import empty_text, packed, stage, text_buffers
+from offerlake.llm.bpe import classes, pieces, spread
+from offerlake.llm.common import BYTE_VALUES, empty_text, packed, span_hashes, stage, text_buffers, text_steps
 
 MAGIC = b"OLTB"
 VERSION = 1
 #: Ids in a file; a longer document has a file of its own.
-FILE_IDS = 4_000_000
-BATCH_CHARS = 500_000
+FILE_IDS = 2_000_000
+BLOCK_BYTES = 6_000_000
+CALL_WORDS = 4000
 NULL_ID = -(1 << 63)
 
 #: Lengths of the four ids of every control byte.
@@ -68,21 +73,21 @@ def unpack_ranks(blob: np.ndarray, count: int) -> np.ndarray:
     return wide & _MASKS[size]
 
 
-def file_bytes(doc_ids: np.ndarray, counts: np.ndarray, ranks: np.ndarray) -> bytes:
-    head = MAGIC + struct.pack("<QQQ", VERSION, len(doc_ids), len(ranks))
+def file_bytes(doc_ids: np.ndarray, counts: np.ndarray, ranks: np.ndarray, start: int = 0) -> bytes:
+    head = MAGIC + struct.pack("<QQQQ", VERSION, len(doc_ids), len(ranks), start)
     return head + np.asarray(doc_ids, "<i8").tobytes() + np.asarray(counts, "<u8").tobytes() + pack_ranks(ranks)
 
 
-def read_file(content: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """doc_ids, counts and ranks of a file."""
+def read_file(content: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """doc_ids, counts and ranks of a file, and how many ids stand before it."""
     if content[:4] != MAGIC:
         raise ValueError("not a token-id file")
-    version, docs, ids = struct.unpack_from("<QQQ", content, 4)
+    version, docs, ids, start = struct.unpack_from("<QQQQ", content, 4)
     if version != VERSION:
         raise ValueError(f"version {version} of the token-id file is unknown")
-    doc_ids = np.frombuffer(content, "<i8", docs, 28)
-    counts = np.frombuffer(content, "<u8", docs, 28 + 8 * docs).astype(np.int64)
-    return doc_ids, counts, unpack_ranks(np.frombuffer(content, np.uint8, offset=28 + 16 * docs), ids)
+    doc_ids = np.frombuffer(content, "<i8", docs, 36)
+    counts = np.frombuffer(content, "<u8", docs, 36 + 8 * docs).astype(np.int64)
+    return doc_ids, counts, unpack_ranks(np.frombuffer(content, np.uint8, offset=36 + 16 * docs), ids), start
 
 
 @lru_cache(maxsize=2)
@@ -92,25 +97,53 @@ def _tokenizer(definition: str) -> Tokenizer:
     return tokenizer
 
 
-def _encode(definition: str, end_id: int):
+def encode_words(tokenizer: Tokenizer, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all words end to end, and how many each word has."""
+    ids, lengths = [np.empty(0, np.uint32)], np.zeros(len(words), np.int64)
+    for first in range(0, len(words), CALL_WORDS):
+        found = tokenizer.encode(words[first : first + CALL_WORDS], is_pretokenized=True, add_special_tokens=False)
+        ids.append(np.array(found.ids, np.uint32))
+        lengths[first : first + CALL_WORDS] = np.bincount(np.array(found.word_ids, np.int64), minlength=len(words[first : first + CALL_WORDS]))
+    return np.concatenate(ids), lengths
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches joined to about ``BLOCK_BYTES``, as a longer block repeats more of its words."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= BLOCK_BYTES:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size = [], 0
+    if size:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
+def _encode(definition: str, end_id: int, table: np.ndarray):
+    names = ["part", "turn", "before", "doc_id", "n_tokens", "ids"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, part, turn = _tokenizer(definition), TaskContext.get().partitionId(), 0
-        for batch in batches:
-            texts, first = batch.column(1).to_pylist(), 0
-            while first < len(texts):
-                last, size = first, 0
-                while last < len(texts) and (last == first or size + len(texts[last]) <= BATCH_CHARS):
-                    size += len(texts[last])
-                    last += 1
-                found = [np.array([*e.ids, end_id], np.uint32) for e in tokenizer.encode_batch(texts[first:last], add_special_tokens=False)]
-                counts = np.array([len(x) for x in found], np.int64)
-                n = last - first
-                ids = packed(np.concatenate(found).view(np.uint8), np.concatenate([[0], 4 * np.cumsum(counts)]))
+        tokenizer, part, turn, before = _tokenizer(definition), TaskContext.get().partitionId(), 0, 0
+        for batch in _gathered(batches):
+            for low, high, data, offsets in text_steps(batch.column(1), 2 * BLOCK_BYTES):
+                starts, at = pieces(data, offsets, table)
+                ends = np.append(starts[1:], len(data))
+                _, index, number = np.unique(span_hashes(BYTE_VALUES[data], starts, ends), return_index=True, return_inverse=True)
+                raw = data.tobytes()
+                # one more word stands for the end of a document
+                flat, lengths = encode_words(tokenizer, [raw[a:b].decode() for a, b in zip(starts[index].tolist(), ends[index].tolist(), strict=True)])
+                flat, lengths = np.append(flat, np.uint32(end_id)), np.append(lengths, 1)
+                first = np.cumsum(lengths) - lengths
+                which = np.insert(number, at[1:], len(lengths) - 1)
+                sums = np.concatenate([[0], np.cumsum(lengths[which])])
+                edges = sums[at + np.arange(len(at))]
+                ids, n, counts = flat[spread(first[which], lengths[which])], high - low, np.diff(edges)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([part] * n, pa.int32()), pa.array(range(turn, turn + n), pa.int64()), batch.column(0).slice(first, n), pa.array(counts), ids],
-                    names=["part", "turn", "doc_id", "n_tokens", "ids"],
+                    [pa.array([part] * n, pa.int32()), pa.array(range(turn, turn + n), pa.int64()), pa.array(before + edges[:-1]), batch.column(0).slice(low, n), pa.array(counts), packed(ids.view(np.uint8), 4 * edges)],
+                    names=names,
                 )
-                turn, first = turn + n, last
+                turn, before = turn + n, before + int(edges[-1])
 
     return run
 
@@ -120,7 +153,7 @@ def encode_in_order(docs: DataFrame, definition: str, end_id: int = 0, text: str
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), empty_text(text).alias("text"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = rows.repartitionByRange(parts, F.asc_nulls_first("doc_id"), F.xxhash64("text")).sortWithinPartitions(F.asc_nulls_first("doc_id"), F.xxhash64("text"), "text")
-    return stage(ranged.mapInArrow(_encode(definition, end_id), "part int, turn long, doc_id long, n_tokens long, ids binary"), "token-ids")
+    return stage(ranged.mapInArrow(_encode(definition, end_id, classes()), "part int, turn long, before long, doc_id long, n_tokens long, ids binary"), "token-ids", tidy=True)
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,22 +182,22 @@ def _put(store: fs.FileSystem, path: str, content: bytes) -> None:
     store.move(draft, path)
 
 
-def _write(folder: str, rank_of: np.ndarray):
+def _write(folder: str, rank_of: np.ndarray, base_of: dict[int, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = fs.FileSystem.from_uri(folder)
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        key, size = None, 0
+        key, size, start = None, 0, 0
 
         def flush() -> pa.RecordBatch:
             ids, counts, ranks = (np.concatenate(x) for x in zip(*held, strict=True))
             name = f"{key[0]:08d}-{key[1]:012d}.tok"
-            _put(store, f"{base}/{name}", file_bytes(ids, counts, ranks))
+            _put(store, f"{base}/{name}", file_bytes(ids, counts, ranks, start))
             return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(ids)]), pa.array([len(ranks)])], names=["file", "docs", "ids"])
 
         for batch in batches:
             part, turn = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            doc_ids = batch.column(2).fill_null(NULL_ID).to_numpy()
-            counts, (data, edges) = batch.column(3).to_numpy(), text_buffers(batch.column(4))
+            before, doc_ids = batch.column(2).to_numpy(), batch.column(3).fill_null(NULL_ID).to_numpy()
+            counts, (data, edges) = batch.column(4).to_numpy(), text_buffers(batch.column(5))
             first = 0
             while first < len(part):
                 # a run of one part without gaps, up to the size of a file
@@ -175,6 +208,7 @@ def _write(folder: str, rank_of: np.ndarray):
                 if held and (not follows or size + int(counts[first:end].sum()) > FILE_IDS):
                     yield flush()
                     held, key, size = [], None, 0
+                start = start if held else base_of[int(part[first])] + int(before[first])
                 key = (int(part[first]), int(turn[first]) if key is None else key[1], int(turn[end - 1]) + 1)
                 numbers = np.frombuffer(data[edges[first] : edges[end]].tobytes(), np.uint32)
                 held.append((doc_ids[first:end], counts[first:end], rank_of[numbers]))
@@ -193,15 +227,18 @@ def write_files(encoded: DataFrame, folder: str) -> DataFrame:
     rank_of[order] = np.arange(len(order), dtype=np.uint32)
     store, base = fs.FileSystem.from_uri(folder)
     _put(store, f"{base}/ranks", file_bytes(np.empty(0), np.empty(0), order))
-    rows = encoded.sortWithinPartitions("part", "turn").mapInArrow(_write(folder, rank_of), "file string, docs long, ids long")
+    # one row per range, of which there are as many as shuffle partitions
+    totals = sorted((r["part"], r["n"]) for r in encoded.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect())
+    base_of = dict(zip((p for p, _ in totals), itertools.accumulate((n for _, n in totals), initial=0), strict=False))
+    rows = encoded.sortWithinPartitions("part", "turn").mapInArrow(_write(folder, rank_of, base_of), "file string, docs long, ids long")
     return stage(rows, "token-files")
 
 
 def _read(order: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                doc_ids, counts, ranks = read_file(content.as_buffer().to_pybytes())
+            for content in batch.column(0):
+                doc_ids, counts, ranks, start = read_file(content.as_buffer().to_pybytes())
                 ids = order[ranks].astype("<u4")
                 ends = np.cumsum(counts)
                 for a in range(0, len(doc_ids), 1000):
@@ -209,20 +246,13 @@ def _read(order: np.ndarray):
                     low = int(ends[a] - counts[a])
                     edges = np.concatenate([[0], 4 * (ends[a:b] - low)])
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([path.rsplit("/", 1)[-1]] * (b - a)), pa.array(doc_ids[a:b], pa.int64(), mask=doc_ids[a:b] == NULL_ID), pa.array(ends[a:b] - counts[a:b]), pa.array(counts[a:b]), packed(ids[low : int(ends[b - 1])].view(np.uint8), edges)],
-                        names=["file", "doc_id", "in_file", "n_tokens", "ids"],
+                        [pa.array(doc_ids[a:b], pa.int64(), mask=doc_ids[a:b] == NULL_ID), pa.array(start + ends[a:b] - counts[a:b]), pa.array(counts[a:b]), packed(ids[low : int(ends[b - 1])].view(np.uint8), edges)],
+                        names=["doc_id", "start", "n_tokens", "ids"],
                     )
 
     return run
 
 
-def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        held = [struct.unpack_from("<Q", head.as_buffer().to_pybytes(), 20)[0] for head in batch.column(1)]
-        names = [path.rsplit("/", 1)[-1] for path in batch.column(0).to_pylist()]
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(held, pa.int64())], names=["file", "held"])
-
-
 def read_files(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens and ids, from the files alone."""
     def found(pattern: str) -> DataFrame:
@@ -232,8 +262,4 @@ def read_files(spark: SparkSession, folder: str) -> DataFrame:
     if head is None:
         raise FileNotFoundError(f"no token-id files in {folder}")
     order = read_file(bytes(head["content"]))[2]
-    rows = found("*.tok").select("path", "content").mapInArrow(_read(order), "file string, doc_id long, in_file long, n_tokens long, ids binary")
-    heads = found("*.tok").select("path", F.substring("content", 1, 28).alias("head")).mapInArrow(_heads, "file string, held long")
-    # one row per file, so the running sum is small
-    before = heads.select("file", (F.sum("held").over(Window.orderBy("file")) - F.col("held")).alias("before"))
-    return rows.join(before, "file").select("doc_id", (F.col("before") + F.col("in_file")).alias("start"), "n_tokens", "ids")
+    return found("*.tok").select("content").mapInArrow(_read(order), "doc_id long, start long, n_tokens long, ids binary")
