@@ -42,22 +42,23 @@ def extracted(t: Tables, key: str) -> DataFrame:
 
 def _register(key: str) -> None:
     number, alternative, short = EXPECTED[key]
-    unit = "NULL::DOUBLE" if key == "rekord_vomp" else "CAST(unit_price AS DOUBLE)"
-    # this layout's total row is only found for quantities of one digit
-    total = "CASE WHEN quantity < 10 THEN line_total END" if key == "rekord_vomp" else "line_total"
+    # this layout prints the total only; the price of one is derived from it
+    cents, pieces = "CAST(line_total * 100 AS BIGINT)", "CAST(quantity AS BIGINT)"
+    half_even = f"""(({cents} // {pieces} + CASE WHEN 2 * ({cents} % {pieces}) > {pieces}
+       OR (2 * ({cents} % {pieces}) = {pieces} AND ({cents} // {pieces}) % 2 = 1) THEN 1 ELSE 0 END) / 100.0::DOUBLE)"""
+    unit = half_even if key == "rekord_vomp" else "CAST(unit_price AS DOUBLE)"
     size = key not in ("sr_schauraum", "schachermayer")
 
     @query(f"extract_{key}", f"{OPERATORS[key]} LI-17 FLT-07 FN-03 FN-11", f"""
 SELECT document_id, CAST(ROW_NUMBER() OVER (PARTITION BY document_id ORDER BY item_seq) AS INTEGER) AS item_seq, {number} AS position_no, {alternative} AS is_alternative,
-       CAST(quantity AS DOUBLE) AS quantity, {unit} AS unit_price, CAST({total} AS DOUBLE) AS line_total, {short} AS description_short,
-       page_ref, {'900.0::DOUBLE' if size else 'NULL::DOUBLE'} AS width_mm, CASE WHEN {total} IS NULL THEN 0.7::DOUBLE ELSE 0.85::DOUBLE END AS confidence
+       CAST(quantity AS DOUBLE) AS quantity, {unit} AS unit_price, CAST(line_total AS DOUBLE) AS line_total, {short} AS description_short,
+       page_ref, {'900.0::DOUBLE' if size else 'NULL::DOUBLE'} AS width_mm, 0.85::DOUBLE AS confidence
 FROM line_items""")
     def _(t):
         rows = extracted(t, key)
-        unit_price = F.lit(None).cast("double") if key == "rekord_vomp" else F.col("unit_price").cast("double")
         return rows.select(
-            "document_id", "item_seq", "position_no", "is_alternative", "description_short", "page_ref", unit_price.alias("unit_price"),
-            *[F.col(c).cast("double").alias(c) for c in ("quantity", "line_total", "width_mm", "confidence")],
+            "document_id", "item_seq", "position_no", "is_alternative", "description_short", "page_ref",
+            *[F.col(c).cast("double").alias(c) for c in ("quantity", "unit_price", "line_total", "width_mm", "confidence")],
         )
 
 

@@ -266,7 +266,7 @@ def _(t):
     cell = lambda x, dy, text: F.struct(F.lit(x).alias("x0"), (y + dy).alias("y0"), text.alias("text"))
     cells = F.array(
         cell(30.0, 0.0, F.lit("Pos.")), cell(60.0, 0.5, F.col("position_no")), cell(200.0, 1.0, F.lit("Fenster")),
-        cell(240.0, 1.5, F.concat(F.lit("K"), F.col("part_key").cast("string"))), cell(420.0, 1.0, F.lit("1.265,40")), cell(150.0, 12.0, F.lit("2300")), cell(205.0, 12.0, F.lit("weiß")),
+        cell(240.0, 1.5, F.concat(F.lit("K"), F.col("part_key").cast("string"))), cell(420.0, 1.0, F.lit("1.265,40")), cell(150.0, 12.0, F.lit("2300")), cell(205.0, 4.2, F.lit("weiß")),
     )
     body = t.line_items.select("document_id", "page_ref", F.inline(cells))
     pages = t.line_items.select("document_id", "page_ref").distinct()

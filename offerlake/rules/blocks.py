@@ -193,7 +193,8 @@ REKORD_CODE = r"^\s*([A-Z0-9]{2,}(?:-[A-Z0-9]+)+)\s{3,}(\S.*?)\s*$"
 def _rekord_prepare(text: Column) -> Column:
     marker = (r"(?i)(?<!\n)(Alternative:|Arch\.-Pos\.:|Pos\.\s*[0-9]+(?:\.[0-9]+)?\s+[0-9]+(?:[.,][0-9]+)?\s+St[üu]ck|Summe der Positionen)")
     lined = F.regexp_replace(text, marker, "\n$1")
-    spaced = F.regexp_replace(lined, r"(Gesamt\s+[0-9]+(?:[.,][0-9]+)?\s*(?:St[üu]ck|PA|lfm|m²)?)(?=[0-9(])", "$1 ")
+    # possessive, so that the blank never splits the digits of a quantity
+    spaced = F.regexp_replace(lined, r"(Gesamt\s+[0-9]++(?:[.,][0-9]++)?+\s*(?:St[üu]ck|PA|lfm|m²)?)(?=[0-9(])", "$1 ")
     return F.regexp_replace(spaced, r"([0-9]{2}\.[0-9]{2}\.[0-9]{4})Seite", "$1\nSeite")
 
 
