@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from offerlake.llm.common import empty_text, free_name, stage
+from offerlake.llm.common import empty_text, stage
 
 ROUNDS = 8
 CALIBRATIONS = 12
@@ -119,9 +119,9 @@ def with_probabilities(docs: DataFrame, cells: DataFrame, text: str = "text") ->
 
 
 def sample(docs: DataFrame, share: float = SHARE) -> DataFrame:
-    """The sampled rows of ``docs``, with their columns."""
-    assert free_name(docs, "_mix") == "_mix" and free_name(docs, "_cell") == "_cell" and free_name(docs, "_own") == "_own", "columns _mix, _cell and _own are reserved"
-    return with_probabilities(docs, probabilities(docs, share)).where("_mix.sampled").drop("_mix")
+    """The sampled rows of ``docs``, with their columns, whatever those are called."""
+    whole = docs.select(F.struct("*").alias("row"), "doc_id", "text", "source", "lang")
+    return with_probabilities(whole, probabilities(docs, share)).where("_mix.sampled").select("row.*")
 
 
 def oracle(table: str = "documents", share: float = SHARE) -> str:
