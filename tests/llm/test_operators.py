@@ -116,6 +116,13 @@ def test_jaccard_join(llm, odd_docs, no_docs, monkeypatch):
     assert jaccard.join(no_docs).count() == 0
 
 
+def test_components_of_hubs_chains_and_repeats(llm):
+    hub, chain = [(5, i) for i in range(6, 300)], [(i, i + 1) for i in range(1000, 1060)]
+    found = jaccard.components(llm.createDataFrame([*hub, *chain, *hub[:9], (7, 7), (300, 5)], "a long, b long"), "test-components")
+    assert {tuple(r) for r in found.collect()} == {(i, 5) for i in range(6, 301)} | {(i, 1000) for i in range(1001, 1061)}
+    assert jaccard.components(llm.createDataFrame([], "a long, b long"), "test-components").count() == 0
+
+
 def test_pruning_keeps_pairs_at_the_threshold():
     fewest = jaccard.least_matches(0.8, 1e-6)
     rng = np.random.default_rng(1)
@@ -245,6 +252,8 @@ def test_mixing_meets_its_targets(llm, odd_docs, no_docs):
     assert abs((cells["tokens"] * cells["probability"]).sum() / cells["tokens"].sum() - 0.3) < 1e-6
     kept = mixing.sample(odd_docs, 1.0)
     assert kept.columns == odd_docs.columns and kept.count() == odd_docs.count() and mixing.sample(no_docs).count() == 0
+    clashing = odd_docs.selectExpr("*", "1 AS _mix", "2 AS _cell", "3 AS _own", "4 AS topic", "5 AS weight", "6 AS row")
+    assert mixing.sample(clashing, 1.0).columns == clashing.columns and mixing.sample(clashing, 1.0).count() == odd_docs.count()
 
 
 def test_pipeline_stages_take_effect(llm):
