@@ -43,7 +43,8 @@ VERSION = 1
 #: Ids in a file; a longer document has a file of its own.
 FILE_IDS = 2_000_000
 BLOCK_BYTES = 6_000_000
-CALL_WORDS = 4000
+#: Words of one call of the tokenizer; the cost of a word grows with the words of its call.
+CALL_WORDS = 200
 NULL_ID = -(1 << 63)
 
 #: Lengths of the four ids of every control byte.
