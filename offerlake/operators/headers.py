@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from offerlake.functions import text as X
 from offerlake.functions.keys import position_numbers
 from offerlake.functions.numbers import currency_code, eu_decimal, textual_date
+from offerlake.rules.base import Registry
 from offerlake.rules.suppliers import SUPPLIER_NAMES
 
 
@@ -25,16 +26,18 @@ def provider_key(supplier_name: Column) -> Column:
 
 # --- classification -----------------------------------------------------------------------------
 
-def detect_template(text: Column) -> Column:
-    """Key of the first rule set whose predicate holds, else generic."""
+def detect_template(text: Column, registry: Registry | None = None) -> Column:
+    """Key of the first rule set of ``registry`` (the package's own by default) whose predicate holds, else generic."""
     from offerlake.rules.registry import REGISTRY
 
+    rules = (registry or REGISTRY).rules
+
     def pick(low: Column) -> Column:
         key = None
-        for rule in REGISTRY.rules:
+        for rule in rules:
             hit = rule.detect(low)
             key = F.when(hit, rule.key) if key is None else key.when(hit, rule.key)
-        return key.otherwise("generic")
+        return F.lit("generic") if key is None else key.otherwise("generic")
 
     return X.let(F.lower(X.normalize_text(text)), pick)
 
@@ -214,9 +217,10 @@ def overlay_free(value: Column) -> Column:
 
 
 def document_headers(doc_text: DataFrame) -> DataFrame:
-    """Template, type, number, date, project and reference per document text."""
+    """Template, type, number, date, project and reference per document text; a known template is taken as it is."""
     text = X.normalize_text(F.col("text"))
-    base = doc_text.select("document_id", text.alias("text"), detect_template(F.col("text")).alias("template"))
+    template = F.col("template") if "template" in doc_text.columns else detect_template(F.col("text"))
+    base = doc_text.select("document_id", text.alias("text"), template.alias("template"))
     base = base.withColumns({
         "document_type": document_type(F.col("text"), F.col("template")),
         "lines": X.filled_lines(F.col("text")),
@@ -351,13 +355,13 @@ NOTE_END = r"(?iu)^\s*(?:Position\s+St[üu]ck|Angebotsnummer\s*:|Gesamtpreis|Zah
 
 
 def document_notes(text: Column) -> Column:
-    """Lines from the notes heading up to the next known heading, 12,000 characters at most."""
+    """Lines from the notes heading up to the next known heading."""
     def cut(bound: Column) -> Column:
         start = X.first_true(F.transform(bound, lambda line: F.regexp_like(line, F.lit(NOTE_START))))
         tail = F.when(start > 0, F.slice(bound, start, F.size(bound)))
         kept = X.lines_before(tail, lambda line: F.regexp_like(line, F.lit(NOTE_END)))
         notes = F.filter(kept, lambda line: (line != "") & ~X.starts_with_any(F.lower(line), ("tel ", "uid-nr.", "angebotsnummer:")))
-        return X.blank_to_null(F.substring(X.join_lines(notes), 1, 12000))
+        return X.blank_to_null(X.join_lines(notes))
 
     return X.let(X.normal_lines(text), cut)
 

@@ -26,7 +26,6 @@ RAW_ITEM = {
     "alternative_parent_position_no": "string", "sequential_alternative": "boolean",
     "components": "array<struct<label:string,amount_raw:string>>",
 }
-LONG_TEXT_CAP = 8000
 
 
 def _marked_page(rule: RuleSet, page: Column, page_ref: Column) -> Column:
@@ -53,8 +52,8 @@ def _marked_page(rule: RuleSet, page: Column, page_ref: Column) -> Column:
 def blocks(doc_text: DataFrame, rule: RuleSet) -> DataFrame:
     """Blocks of a rule set: one row per position start, plus page heads where blocks end at pages.
 
-    block: text from the start to the next one; before: up to six blocks before it,
-    joined (for headings that precede a position).
+    block: text from the start to the next one; before, where the rule set asks for it: up to
+    six blocks before it, joined (for headings that precede a position).
     """
     text = X.normalize_text(F.col("text"))
     if rule.prepare is not None:
@@ -64,19 +63,21 @@ def blocks(doc_text: DataFrame, rule: RuleSet) -> DataFrame:
 
     def entry(part: Column, i: Column) -> Column:
         cells = F.split(part, SEP, 4)
-        return F.struct(
+        fields = [
             i.alias("block_no"),
             F.get(cells, F.lit(0)).try_cast("int").alias("page_ref"),
             F.get(cells, F.lit(1)).try_cast("int").alias("line_index"),
             F.get(cells, F.lit(2)).try_cast("int").alias("line_count"),
             F.get(cells, F.lit(3)).alias("block"),
-            F.array_join(
+        ]
+        if rule.headings:
+            fields.append(F.array_join(
                 F.transform(
                     F.slice(F.col("parts"), F.greatest(i - 5, F.lit(1)), F.least(i, F.lit(6))),
                     lambda p: F.regexp_replace(p, f"^[^{SEP}]*{SEP}[^{SEP}]*{SEP}[^{SEP}]*{SEP}", ""),
                 ), "",
-            ).alias("before"),
-        )
+            ).alias("before"))
+        return F.struct(*fields)
 
     listed = cut.select("document_id", F.inline(F.slice(F.transform("parts", entry), F.lit(2), F.greatest(F.size("parts") - 1, F.lit(0)))))
     return listed.withColumn("page_end_ref", F.col("page_ref") + F.regexp_count(F.expr("left(block, greatest(length(block) - 1, 0))"), F.lit("\f")))
@@ -94,8 +95,7 @@ def raw_items(doc_text: DataFrame, rule: RuleSet) -> DataFrame:
     shaped = shaped.withColumns(missing) if missing else shaped
     rows = shaped.select(
         "document_id", "block_no",
-        *[F.col(c).cast(t).alias(c) for c, t in RAW_ITEM.items() if c not in ("description_long", "is_alternative")],
-        F.substring("description_long", 1, LONG_TEXT_CAP).alias("description_long"),
+        *[F.col(c).cast(t).alias(c) for c, t in RAW_ITEM.items() if c != "is_alternative"],
         F.coalesce("is_alternative", F.lit(False)).alias("is_alternative"),
     )
     return rule.after(rows) if rule.after is not None else rows
@@ -135,7 +135,7 @@ def with_room_label(items: DataFrame) -> DataFrame:
     joined = F.when(long_text == "", label).otherwise(F.concat_ws("\n", label, long_text))
     return items.withColumn(
         "description_long",
-        F.when((label == "") | leads, F.col("description_long")).otherwise(F.substring(joined, 1, LONG_TEXT_CAP)),
+        F.when((label == "") | leads, F.col("description_long")).otherwise(joined),
     )
 
 

@@ -12,7 +12,7 @@ from offerlake.operators.lines import text_rejects
 from offerlake.rules.base import Registry
 from offerlake.rules.blocks import delivery_items
 from offerlake.rules.registry import REGISTRY
-from offerlake.session import checkpoint_dir, cut_lineage
+from offerlake.session import cut_lineage, shared_folder
 
 
 def stage_by_template(doc_text: DataFrame, registry: Registry = REGISTRY) -> DataFrame:
@@ -20,11 +20,9 @@ def stage_by_template(doc_text: DataFrame, registry: Registry = REGISTRY) -> Dat
 
     Without it every rule set would scan the whole corpus.
     """
-    import uuid
-
     spark = doc_text.sparkSession
-    path = f"{checkpoint_dir(spark)}/texts-{uuid.uuid4().hex}"
-    doc_text.withColumn("template", headers.detect_template(F.col("text"))).write.partitionBy("template").parquet(path)
+    path = shared_folder(spark, "texts")
+    doc_text.withColumn("template", headers.detect_template(F.col("text"), registry)).write.partitionBy("template").parquet(path)
     return spark.read.parquet(path)
 
 

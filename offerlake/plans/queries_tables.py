@@ -11,6 +11,7 @@ from offerlake.operators import amounts, changes, headers, pricing, quality, sto
 from offerlake.plans.catalog import query
 from offerlake.plans.queries_links import LINKS_SQL, _links
 from offerlake.plans.views import Tables
+from offerlake.session import shared_folder
 from offerlake.sources import layout
 
 NEWEST_SQL = """
@@ -127,7 +128,10 @@ UNION ALL SELECT document_id, item_seq, CAST(line_total + 1 AS DOUBLE) FROM line
 def _(t):
     rows = t.line_items.select("document_id", "item_seq", "line_total")
     fresh = rows.where("document_id % 2 = 1").withColumn("line_total", (F.col("line_total") + 1).cast("decimal(14,2)"))
-    return store.merged_rows(rows, fresh).withColumn("line_total", F.col("line_total").cast("double"))
+    folder = shared_folder(rows.sparkSession, "replaced")
+    store.replace_documents(rows, rows.select("document_id"), folder)
+    store.replace_documents(fresh, fresh.select("document_id"), folder)
+    return rows.sparkSession.read.parquet(folder).select("document_id", "item_seq", F.col("line_total").cast("double").alias("line_total"))
 
 
 @query("audit_rows", "SNK-11", """

@@ -263,7 +263,7 @@ REKORD = RuleSet(
     "rekord_vomp", SUPPLIER_NAMES["rekord_vomp"],
     lambda low: low.contains("rekord vomp gmbh") & (low.contains("angebot :") | low.contains("angebot:"))
     & low.contains("belegdatum") & low.contains("bauvorhaben"),
-    like(REKORD_START), _rekord, prepare=_rekord_prepare, count=lambda text: F.regexp_count(text, F.lit("(?m)" + REKORD_START)),
+    like(REKORD_START), _rekord, prepare=_rekord_prepare, headings=True, count=lambda text: F.regexp_count(text, F.lit("(?m)" + REKORD_START)),
 )
 
 # --- sr_schauraum: label rows per page, amount from the bottom ----------------------------------

@@ -191,7 +191,7 @@ def _schachermayer(blocks: DataFrame) -> DataFrame:
 SCHACHERMAYER = RuleSet(
     "schachermayer", SUPPLIER_NAMES["schachermayer"],
     lambda low: low.contains("schachermayer gmbh") & (low.contains("angebots-nr.") | low.contains("auftragsnummer")),
-    like(SCHACHERMAYER_ROW), _schachermayer,
+    like(SCHACHERMAYER_ROW), _schachermayer, headings=True,
 )
 
 # --- alu_one: one header row, alternative heading before it -------------------------------------
@@ -271,7 +271,7 @@ def _alu(blocks: DataFrame) -> DataFrame:
 ALU_ONE = RuleSet(
     "alu_one", SUPPLIER_NAMES["alu_one"],
     lambda low: low.contains("alu-one metallbaupartner gmbh") & low.contains("angebot") & low.contains("nummer:") & low.contains("kommission:"),
-    like(ALU_ROW), _alu, prepare=_alu_prepare,
+    like(ALU_ROW), _alu, prepare=_alu_prepare, headings=True,
 )
 
 # --- newo: rows per page, price pair in the row or below ----------------------------------------

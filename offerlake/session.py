@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,6 +36,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return configured
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new path under the checkpoint folder; what is written there goes when the JVM ends."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(path)  # a path that does not exist yet cannot be marked
+    files.deleteOnExit(path)
+    return f"{path.toString()}/rows"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read on from there."""
     spark = df.sparkSession

@@ -3,6 +3,7 @@ from decimal import Decimal as D
 from pyspark.sql import functions as F
 
 from offerlake.operators import headers, items
+from offerlake.plans import process
 from offerlake.rules.base import Registry, RuleSet
 from offerlake.rules.registry import REGISTRY
 
@@ -54,6 +55,19 @@ def test_a_new_rule_set_plugs_in(spark):
     assert [(r.position_no, r.page_ref) for r in got] == [("1", 1), ("2", 2)]
 
 
+def test_a_plugged_in_rule_set_is_detected_and_extracted(spark):
+    rule = RuleSet("acme", "Acme", lambda low: low.contains("acme"), lambda line, following: line.startswith("#"),
+                   lambda blocks: blocks.select("document_id", "block_no", "page_ref", F.regexp_extract("block", r"^#(\d+)", 1).alias("position_no"),
+                                                F.col("block").alias("description_long")))
+    long = "x" * 20_000
+    staged = process.stage_by_template(spark.createDataFrame([(1, f"Acme\n#1 {long}"), (2, "nothing")], TEXT), Registry([rule]))
+    assert {(r.document_id, r.template) for r in staged.collect()} == {(1, "acme"), (2, "generic")}
+    assert headers.document_headers(staged).where("document_id = 1").first().template == "acme"
+    got = process.extract_items(staged, Registry([rule])).collect()
+    # long texts stay whole
+    assert [(r.document_id, r.position_no, len(r.description_long) > 20_000) for r in got] == [(1, "1", True)]
+
+
 def test_extraction_needs_no_exchange(spark):
     df = items.raw_items(spark.createDataFrame([(1, "x")], TEXT), REGISTRY.get("muigg"))
     assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
