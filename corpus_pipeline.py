@@ -17,6 +17,10 @@ from offerlake.llm.common import ship, stage
 from offerlake.llm.queries import QUALITY_THRESHOLD, RANKS_FILE, TOXIC_THRESHOLD, table
 
 
+#: The pipeline's workers carry what four stages imported, so the last one works in shorter blocks.
+TOKEN_BLOCK_BYTES = 2_000_000
+
+
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity tagger rejects go."""
     ship(spark)
@@ -45,7 +49,7 @@ def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Token ids of every document, with the digest of what they decode to."""
     ship(spark)
     ranks = bpe.Ranks.load(RANKS_FILE, public_tokenizers.PATTERN)
-    decoded = bpe.decode(bpe.encode(docs, ranks), ranks)
+    decoded = bpe.decode(bpe.encode(docs, ranks, block_bytes=TOKEN_BLOCK_BYTES), ranks)
     return decoded.select("doc_id", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from offerlake.llm.common import BYTE_VALUES, STEP_BYTES, empty_text, packed, span_hashes, stage_folder, steps, text_buffers, with_fields
+from offerlake.llm.common import BYTE_VALUES, STEP_BYTES, empty_text, packed, release_memory, span_hashes, stage_folder, steps, text_buffers, with_fields
 
 BLOCK_BYTES = 6_000_000
 
@@ -152,7 +152,7 @@ BLOCKS = "block string, doc_ids array<long>, counts array<long>, bucket_of binar
 _ASKED = pa.list_(pa.struct([("bucket", pa.int32()), ("size", pa.int32()), ("words", pa.binary())]))
 
 
-def _blocks(buckets: int, table: np.ndarray):
+def _blocks(buckets: int, table: np.ndarray, block_bytes: int):
     def block(ids: list[pa.Array], texts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
         # step by step, since the hashes take eight bytes for each byte of text
         found, sizes, counts, hashes, base = [], [], [], [], 0
@@ -195,15 +195,17 @@ def _blocks(buckets: int, table: np.ndarray):
             data, offsets = text_buffers(batch.column(1))
             for first, last in steps(offsets, STEP_BYTES):
                 part = data[offsets[first] : offsets[last]]
-                if ids and size + len(part) > BLOCK_BYTES:
+                if ids and size + len(part) > block_bytes:
                     yield block(ids, texts)
-                    pa.default_memory_pool().release_unused()
+                    release_memory()
                     ids, texts, size = [], [], 0
                 ids.append(batch.column(0).slice(first, last - first))
                 texts.append((part, offsets[first : last + 1] - offsets[first]))
                 size += len(part)
         if ids:
             yield block(ids, texts)
+        ids, texts = [], []
+        release_memory()
 
     return run
 
@@ -224,6 +226,8 @@ def _answer(ranks: Ranks):
         for block, bucket, which in zip(asked["block"], asked["bucket"], wanted, strict=True):
             ids = flat[spread(starts[which], lengths[which])]
             rows.append((block, bucket, zlib.compress(lengths[which].astype(np.uint32).tobytes(), 1), zlib.compress(ids.view(np.uint8).reshape(-1, 4).T.tobytes(), 1)))
+        del number, wanted, encoded, flat
+        release_memory()
         return pd.DataFrame(rows, columns=["block", "bucket", "lengths", "ids"])
 
     return run
@@ -261,8 +265,11 @@ def _reassemble(blocks: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
     return pd.concat(out) if out else pd.DataFrame({"doc_id": pd.array([], "Int64"), "n_tokens": pd.array([], "Int64"), "ids": []})
 
 
-def encode(docs: DataFrame, ranks: Ranks, text: str = "text") -> DataFrame:
-    """doc_id, n_tokens and ids (little-endian unsigned 32-bit integers) of every row."""
+def encode(docs: DataFrame, ranks: Ranks, text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """doc_id, n_tokens and ids (little-endian unsigned 32-bit integers) of every row.
+
+    Shorter blocks take less memory and ask for more words twice.
+    """
     if ranks.pattern != PATTERN:
         raise ValueError("the cutter is made for one pattern")
     spark = docs.sparkSession
@@ -270,7 +277,7 @@ def encode(docs: DataFrame, ranks: Ranks, text: str = "text") -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), empty_text(text).alias("text"))
     # bucketed by block, so that the positions meet their answers without being shuffled
     name = f"bpe_blocks_{uuid.uuid4().hex}"
-    made = texts.mapInArrow(_blocks(buckets, classes()), BLOCKS).write.option("path", f"{stage_folder(spark, 'bpe-blocks')}/rows")
+    made = texts.mapInArrow(_blocks(buckets, classes(), block_bytes), BLOCKS).write.option("path", f"{stage_folder(spark, 'bpe-blocks')}/rows")
     made.bucketBy(buckets, "block").saveAsTable(name)
     blocks = spark.table(name)
     asked = blocks.select("block", F.inline("asked"))

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from offerlake.llm.common import empty_text, free_name, mixed, packed, span_hashes, stage, text_steps, word_hashes, word_spans
+from offerlake.llm.common import empty_text, free_name, mixed, packed, release_memory, span_hashes, stage, text_steps, word_hashes, word_spans
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -189,6 +189,8 @@ def _prune(threshold: float, tolerance: float):
             change[1:] = np.logical_or.reduce([x[1:] != x[:-1] for x in names])
             signature = np.frombuffer(b"".join(rows.column("signature").to_pylist()), np.uint32).reshape(-1, _SIZE)
             a, b = links(rows.column("head").to_numpy(), np.cumsum(change) - 1, rows.column("side").to_numpy(), signature)
+            del signature
+            release_memory()
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
         for batch in batches:
@@ -291,6 +293,8 @@ def _verify(threshold: float):
             linked &= side[:, None] != side[None, :]
         a, b = np.nonzero(np.triu(linked))
         root = _roots(len(ids), a, b)
+        del sets, common
+        release_memory()
         return pd.DataFrame({"head": ids, "links": linked @ copies, "root": ids[root]})
 
     return run
