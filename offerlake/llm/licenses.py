@@ -1,7 +1,8 @@
 """License scan: ordered signature rules with a keyword gate, priorities and containment.
 
 The text is lower-cased (A-Z) and cut into words; rules are regular expressions over the words
-joined by one blank. A rule runs only where its keyword stands in the text. Of the places found, one
+joined by one blank. A rule runs only where one of its keywords stands in the text; each of its
+alternatives contains one of them. Of the places found, one
 that lies inside a place of higher priority (or inside a longer one of the same priority) goes.
 Base phrases are found by themselves, at every place, and are never suppressed.
 
@@ -32,7 +33,7 @@ BASE_PHRASES = (
     ("mit license", "mit"),
 )
 
-# (identifier, keyword of the gate, names as word patterns, versions)
+# (identifier, keywords of the gate, names as word patterns, versions)
 FAMILIES = (
     ("gpl", "gnu", "gnu general public licen[cs]e|gnu gpl", ("1", "2", "3")),
     ("lgpl", "gnu", "gnu (?:lesser|library) general public licen[cs]e|gnu lgpl", ("2", "2 1", "3")),
@@ -42,7 +43,7 @@ FAMILIES = (
     ("mit", "mit", "(?:the )?mit licen[cs]e|mit licensed", ()),
     ("x11", "x11", "x11 licen[cs]e", ()),
     ("isc", "isc", "isc licen[cs]e", ()),
-    ("0bsd", "0bsd", "0bsd|zero clause bsd(?: licen[cs]e)?", ()),
+    ("0bsd", "0bsd zero", "0bsd|zero clause bsd(?: licen[cs]e)?", ()),
     ("bsd-2-clause", "bsd", "(?:simplified bsd|freebsd|2 clause bsd|bsd 2 clause)(?: licen[cs]e)?", ()),
     ("bsd-3-clause", "bsd", "(?:new bsd|modified bsd|revised bsd|3 clause bsd|bsd 3 clause)(?: licen[cs]e)?", ()),
     ("bsd-4-clause", "bsd", "(?:original bsd|4 clause bsd|bsd 4 clause)(?: licen[cs]e)?", ()),
@@ -62,19 +63,19 @@ FAMILIES = (
     ("busl", "business", "business source licen[cs]e", ("1 1",)),
     ("sspl", "server", "server side public licen[cs]e", ("1",)),
     ("elastic", "elastic", "elastic licen[cs]e", ("1", "2", "2 0")),
-    ("psf", "python", "(?:python software foundation|psf) licen[cs]e", ("2",)),
+    ("psf", "python psf", "(?:python software foundation|psf) licen[cs]e", ("2",)),
     ("php", "php", "php licen[cs]e", ("3 0", "3 01")),
     ("ruby", "ruby", "ruby licen[cs]e", ()),
     ("unlicense", "unlicense", "(?:the )?unlicense", ()),
-    ("wtfpl", "wtfpl", "wtfpl|do what the fuck you want to public licen[cs]e", ("1", "2")),
+    ("wtfpl", "wtfpl fuck", "wtfpl|do what the fuck you want to public licen[cs]e", ("1", "2")),
     ("ms-pl", "microsoft", "microsoft public licen[cs]e", ()),
     ("ms-rl", "microsoft", "microsoft reciprocal licen[cs]e", ()),
     ("osl", "open", "open software licen[cs]e", ("1 0", "2 0", "2 1", "3 0")),
     ("afl", "academic", "academic free licen[cs]e", ("1 1", "2 0", "2 1", "3 0")),
     ("ofl", "font", "(?:sil )?open font licen[cs]e", ("1 0", "1 1")),
-    ("odbl", "database", "open (?:data commons open )?database licen[cs]e|odbl", ("1 0",)),
+    ("odbl", "database odbl", "open (?:data commons open )?database licen[cs]e|odbl", ("1 0",)),
     ("odc-by", "commons", "open data commons attribution licen[cs]e", ("1 0",)),
-    ("pddl", "commons", "public domain dedication and licen[cs]e", ("1 0",)),
+    ("pddl", "dedication", "public domain dedication and licen[cs]e", ("1 0",)),
     ("cdla-permissive", "community", "community data licen[cs]e agreement permissive", ("1 0", "2 0")),
     ("cdla-sharing", "community", "community data licen[cs]e agreement sharing", ("1 0",)),
     ("ogl", "government", "open government licen[cs]e", ("1 0", "2 0", "3 0")),
@@ -111,7 +112,7 @@ NOTICES = (
     ("copyright-notice", "copyright", "copyright (?:c )?(?:19|20)[0-9]{2}(?: (?:19|20)[0-9]{2})?"),
     ("public-domain", "domain", "(?:in|into|to) the public domain|public domain dedication"),
     ("proprietary", "proprietary", "proprietary and confidential|proprietary licen[cs]e"),
-    ("no-warranty", "warrant", "without warranty of any kind|provided as is without"),
+    ("no-warranty", "warrant provided", "without warranty of any kind|provided as is without"),
     ("permissive-grant", "permission", "permission is hereby granted free of charge"),
     ("redistribution", "redistribution", "redistribution and use in source and binary forms"),
 )
@@ -124,7 +125,7 @@ class Rule:
     label: str
     priority: int
     weight: float
-    keyword: str
+    keywords: tuple[str, ...]
     pattern: str
 
 
@@ -137,24 +138,24 @@ def rules() -> tuple[Rule, ...]:
         used = [e for i, e in enumerate(CC_ELEMENTS) if bits >> i & 1]
         long_name = " ".join(["creative commons attribution", *(name for name, _ in used)])
         families.append(("-".join(["cc-by", *(short for _, short in used)]), "commons", long_name, ("2 0", "2 5", "3 0", "4 0")))
-    for label, keyword, names, versions in families:
-        plain = label.replace("-", " ")
-        found.append(Rule(label, 1, 0.99, "spdx", rf"spdx license identifier {plain}(?: [0-9]+(?: [0-9]+)?)?(?: only| or later)?"))
-        found.append(Rule(label, 2, 0.97, keyword, rf"{GRANT}(?:{names})(?: (?:version|v)? ?[0-9]+(?: [0-9]+)?)?"))
+    for label, gate, names, versions in families:
+        plain, keywords = label.replace("-", " "), tuple(gate.split())
+        found.append(Rule(label, 1, 0.99, ("spdx",), rf"spdx license identifier {plain}(?: [0-9]+(?: [0-9]+)?)?(?: only| or later)?"))
+        found.append(Rule(label, 2, 0.97, keywords, rf"{GRANT}(?:{names})(?: (?:version|v)? ?[0-9]+(?: [0-9]+)?)?"))
         for version in versions:
-            found.append(Rule(f"{label}-{version.replace(' ', '.')}", 3, 0.95, keyword, rf"(?:{names}) (?:international )?(?:(?:version|v) ?)?{version}(?: or (?:any )?later(?: version)?)?"))
-        found.append(Rule(label, 4, 0.8, keyword, f"(?:{names})"))
-    for label, keyword, pattern in NOTICES:
-        found.append(Rule(label, 5, 0.4, keyword, pattern))
+            found.append(Rule(f"{label}-{version.replace(' ', '.')}", 3, 0.95, keywords, rf"(?:{names}) (?:international )?(?:(?:version|v) ?)?{version}(?: or (?:any )?later(?: version)?)?"))
+        found.append(Rule(label, 4, 0.8, keywords, f"(?:{names})"))
+    for label, gate, pattern in NOTICES:
+        found.append(Rule(label, 5, 0.4, tuple(gate.split()), pattern))
     return tuple(found)
 
 
 @lru_cache(maxsize=1)
-def _compiled() -> list[tuple[bytes, list[tuple[Rule, re.Pattern]]]]:
-    by_keyword: dict[str, list[tuple[Rule, re.Pattern]]] = {}
+def _compiled() -> list[tuple[tuple[bytes, ...], list[tuple[Rule, re.Pattern]]]]:
+    by_keywords: dict[tuple[str, ...], list[tuple[Rule, re.Pattern]]] = {}
     for rule in rules():
-        by_keyword.setdefault(rule.keyword, []).append((rule, re.compile(rf"(?<![^ ]){rule.pattern}(?![^ ])".encode())))
-    return [(k.encode(), v) for k, v in by_keyword.items()]
+        by_keywords.setdefault(rule.keywords, []).append((rule, re.compile(rf"(?<![^ ]){rule.pattern}(?![^ ])".encode())))
+    return [(tuple(k.encode() for k in keywords), v) for keywords, v in by_keywords.items()]
 
 
 _BREAK = rb"[^0-9a-z\x80-\xff]"
@@ -163,8 +164,8 @@ _BASE = [
     for phrase, label in BASE_PHRASES
 ]
 _RUN = re.compile(_BREAK + b"+")
-#: A text without any of these has no place of a rule that grants or names a license.
-_ROOTS = tuple(sorted({k.encode() for k in ("licen", "gnu", "spdx", "copyright", "rights reserved", "cc", "commons", "public domain", "warrant", "permission", "redistribution", "proprietary", "openrail", "cecill", "etalab", "bsd", "odbl", "wtfpl", "ncsa", "mulan", "apache")}))
+#: A text without any of these has no place of any rule. Each is part of one word, as the raw text is searched.
+_ROOTS = tuple(sorted({k.encode() for k in ("licen", "gnu", "spdx", "copyright", "reserved", "cc", "commons", "domain", "warrant", "provided", "permission", "redistribution", "proprietary", "openrail", "cecill", "etalab", "bsd", "odbl", "wtfpl", "ncsa", "mulan", "apache")}))
 
 
 def _spaced(text: bytes) -> bytes:
@@ -175,7 +176,7 @@ def detections(words: bytes) -> list[tuple[int, int, Rule]]:
     """Places (first byte, end byte, rule) in words joined by blanks, after suppression."""
     places = [
         (m.start(), m.end(), rule)
-        for keyword, group in _compiled() if keyword in words
+        for keywords, group in _compiled() if any(k in words for k in keywords)
         for rule, pattern in group for m in pattern.finditer(words)
     ]
     # highest priority first, then the longest, then the leftmost, then by label

@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import regex
 import tiktoken
@@ -195,6 +196,47 @@ def test_licenses(llm, odd_docs, no_docs):
     assert len(licenses.rules()) > 300 and licenses.scan_licenses(no_docs).count() == 0
 
 
+def samples(tree, rng, every):
+    """Texts that a parsed pattern matches: each choice of each alternative, or one random text."""
+    found = [""]
+    for kind, value in tree:
+        name = str(kind)
+        if name == "BRANCH":
+            parts = [t for branch in value[1] for t in samples(branch, rng, every)]
+        elif name == "SUBPATTERN":
+            parts = samples(value[3], rng, every)
+        elif name == "MAX_REPEAT":
+            least, _, inner = value
+            parts = [*([""] if least == 0 else []), *(t * max(least, 1) for t in samples(inner, rng, every))]
+        elif name == "IN":
+            parts = [chr(value[0][1] if str(value[0][0]) == "LITERAL" else value[0][1][0])]
+        elif name == "LITERAL":
+            parts = [chr(value)]
+        else:
+            parts = [""]  # looks around
+        found = [a + b for a in found for b in (parts if every else [rng.choice(parts)])]
+    return found
+
+
+def scanned(texts):
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string())], names=["doc_id", "text"])
+    return [row for out in licenses._scan(iter([batch])) for row in out.to_pylist()]
+
+
+def test_license_gates_lose_no_place(monkeypatch):
+    rng, texts = random.Random(6), []
+    for rule in licenses.rules():
+        tree = re._parser.parse(rule.pattern)
+        texts += samples(tree, rng, True) if rule.priority in (4, 5) else [samples(tree, rng, False)[0] for _ in range(3)]
+    texts = sorted({separated for t in texts for separated in (t, t.replace(" ", "\n "), t.replace(" ", "--"))})
+    gated = scanned(texts)
+    everything = [pair for _, group in licenses._compiled() for pair in group]
+    monkeypatch.setattr(licenses, "_compiled", lambda: [((b"",), everything)])
+    monkeypatch.setattr(licenses, "_ROOTS", (b"",))
+    lost = [a["labels"] + " | " + t for t, a, b in zip(texts, gated, scanned(texts)) if a != b]
+    assert not lost and all(row["spans"] for row in gated), lost
+
+
 def test_longer_license_place_wins():
     found = licenses.detections(b"licensed under the apache license version 2 0 and the mit license")
     assert [rule.label for _, _, rule in found] == ["apache", "mit"] and found[0][:2] == (0, 45)
