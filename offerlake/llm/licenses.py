@@ -4,6 +4,7 @@ The text is lower-cased (A-Z) and cut into words; rules are regular expressions
 joined by one blank. A rule runs only where one of its keywords stands in the text; each of its
 alternatives contains one of them. Of the places found, one
 that lies inside a place of higher priority (or inside a longer one of the same priority) goes.
+A grant or an SPDX tag that names a version of its license carries the versioned label.
 Base phrases are found by themselves, at every place, and are never suppressed.
 
 Null and empty texts have no words, no labels (empty strings), null positions and score 0. Equal
@@ -109,7 +110,7 @@ CC_ELEMENTS = (("noncommercial", "nc"), ("noderivatives", "nd"), ("sharealike",
 
 NOTICES = (
     ("all-rights-reserved", "reserved", "all rights reserved"),
-    ("copyright-notice", "copyright", "copyright (?:c )?(?:19|20)[0-9]{2}(?: (?:19|20)[0-9]{2})?"),
+    ("copyright-notice", "copyright", "copyright (?:c |© ?)?(?:19|20)[0-9]{2}(?: (?:19|20)[0-9]{2})?"),
     ("public-domain", "domain", "(?:in|into|to) the public domain|public domain dedication"),
     ("proprietary", "proprietary", "proprietary and confidential|proprietary licen[cs]e"),
     ("no-warranty", "warrant provided", "without warranty of any kind|provided as is without"),
@@ -129,6 +130,12 @@ class Rule:
     pattern: str
 
 
+def _number(versions: tuple[str, ...]) -> str:
+    """A pattern of version numbers; its group ``version`` has the longest of ``versions`` that the number begins with."""
+    known = "|".join(sorted(versions, key=len, reverse=True))
+    return rf"(?:(?P<version>{known})(?: 0)?(?![^ ])|[0-9]+(?: [0-9]+)?)" if known else "[0-9]+(?: [0-9]+)?"
+
+
 @lru_cache(maxsize=1)
 def rules() -> tuple[Rule, ...]:
     """All rules in order: tags, grants, named versions, bare names, notices."""
@@ -140,8 +147,9 @@ def rules() -> tuple[Rule, ...]:
         families.append(("-".join(["cc-by", *(short for _, short in used)]), "commons", long_name, ("2 0", "2 5", "3 0", "4 0")))
     for label, gate, names, versions in families:
         plain, keywords = label.replace("-", " "), tuple(gate.split())
-        found.append(Rule(label, 1, 0.99, ("spdx",), rf"spdx license identifier {plain}(?: [0-9]+(?: [0-9]+)?)?(?: only| or later)?"))
-        found.append(Rule(label, 2, 0.97, keywords, rf"{GRANT}(?:{names})(?: (?:version|v)? ?[0-9]+(?: [0-9]+)?)?"))
+        number = _number(versions)
+        found.append(Rule(label, 1, 0.99, ("spdx",), rf"spdx license identifier {plain}(?: {number})?(?: only| or later)?"))
+        found.append(Rule(label, 2, 0.97, keywords, rf"{GRANT}(?:{names})(?: (?:international )?(?:(?:version|v) ?)?{number}(?: or (?:any )?later(?: version)?)?)?"))
         for version in versions:
             found.append(Rule(f"{label}-{version.replace(' ', '.')}", 3, 0.95, keywords, rf"(?:{names}) (?:international )?(?:(?:version|v) ?)?{version}(?: or (?:any )?later(?: version)?)?"))
         found.append(Rule(label, 4, 0.8, keywords, f"(?:{names})"))
@@ -150,11 +158,16 @@ def rules() -> tuple[Rule, ...]:
     return tuple(found)
 
 
+@lru_cache(maxsize=None)
+def _whole_words(pattern: str) -> re.Pattern:
+    return re.compile(rf"(?<![^ ]){pattern}(?![^ ])".encode())
+
+
 @lru_cache(maxsize=1)
 def _compiled() -> list[tuple[tuple[bytes, ...], list[tuple[Rule, re.Pattern]]]]:
     by_keywords: dict[tuple[str, ...], list[tuple[Rule, re.Pattern]]] = {}
     for rule in rules():
-        by_keywords.setdefault(rule.keywords, []).append((rule, re.compile(rf"(?<![^ ]){rule.pattern}(?![^ ])".encode())))
+        by_keywords.setdefault(rule.keywords, []).append((rule, _whole_words(rule.pattern)))
     return [(tuple(k.encode() for k in keywords), v) for keywords, v in by_keywords.items()]
 
 
@@ -188,6 +201,13 @@ def detections(words: bytes) -> list[tuple[int, int, Rule]]:
     return sorted(kept, key=lambda p: (p[0], p[1]))
 
 
+def label_of(words: bytes, first: int, end: int, rule: Rule) -> str:
+    """The label of a place that ``rule`` has found, with the version that a grant or a tag names."""
+    place = _whole_words(rule.pattern).match(words, first, end)
+    version = place.groupdict().get("version") if place else None
+    return f"{rule.label}-{version.decode().replace(' ', '.')}" if version else rule.label
+
+
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, texts = batch.column(0), batch.column(1)
@@ -209,7 +229,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     words = _spaced(text)
                     for a, b, rule in detections(words):
                         begin = words.count(b" ", 0, a)
-                        spans.append({"label": rule.label, "first_word": begin, "last_word": begin + words.count(b" ", a, b), "priority": rule.priority})
+                        spans.append({"label": label_of(words, a, b, rule), "first_word": begin, "last_word": begin + words.count(b" ", a, b), "priority": rule.priority})
                         chance *= 1.0 - rule.weight
                 if firsts:
                     chance *= 0.1

@@ -242,6 +242,28 @@ def test_longer_license_place_wins():
     assert [rule.label for _, _, rule in found] == ["apache", "mit"] and found[0][:2] == (0, 45)
 
 
+@pytest.mark.parametrize(("text", "labels"), [
+    ("licensed under the Apache License, Version 2.0", "apache,apache-2.0"), ("licensed under cc by nc 4.0", "cc-by,cc-by-nc-4.0"),
+    ("released under the GNU GPL v3 or later", "gpl-3"), ("distributed under the GNU GPL 3.0", "gpl-3"), ("licensed under the MIT License 2020", "mit"),
+    ("licensed under the Apache License 2019", "apache"), ("available under the Blue Oak Model License 1.0.0", "blueoak-1.0.0"),
+    ("licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", "cc-by-sa-4.0"),
+    ("SPDX-License-Identifier: Apache-2.0", "apache-2.0"), ("SPDX-License-Identifier: GPL-2.0-only", "gpl-2"), ("SPDX-License-Identifier: LGPL-2.1-or-later", "lgpl-2.1"),
+    ("SPDX-License-Identifier: LPPL-1.3c", "lppl-1.3c"), ("SPDX-License-Identifier: BSD-3-Clause", "bsd-3-clause"), ("SPDX-License-Identifier: MIT", "mit"),
+    ("Copyright © 2020 A", "copyright-notice"), ("Copyright ©2020-2021 A", "copyright-notice"), ("Copyright (c) 2020 A", "copyright-notice"),
+])
+def test_license_versions_and_copyright_sign(text, labels):
+    row, = scanned([text])
+    assert row["labels"] == labels and len(row["spans"]) == 1
+
+
+def test_license_grants_name_the_version_of_the_bare_name():
+    for rule in licenses.rules():
+        if rule.priority == 3:
+            for name in samples(re._parser.parse(rule.pattern), random.Random(1), True):
+                bare, grant = scanned([name, f"licensed under the {name}"])
+                assert grant["labels"] == bare["labels"] and len(grant["spans"]) == len(bare["spans"]), name
+
+
 @pytest.mark.parametrize(("module", "label", "threshold", "least"), [(quality, "quality", 0.7, 0.97), (toxicity, "toxic", 0.3, 0.9)])
 def test_held_out_accuracy(llm, module, label, threshold, least):
     docs, labels = (llm.read.parquet(f"{FOLDER}/{t}.parquet") for t in ("documents", "labels"))
