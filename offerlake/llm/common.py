@@ -200,15 +200,19 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, max_chars: int, text: str = "text") -> DataFrame:
     """At most ``per_class`` labelled training texts of either class, in a fixed pseudo-random order.
 
-    Held-out documents, null labels and texts over ``max_chars`` characters are left out; each class
-    carries its weight (labelled rows per sampled row). Rows: label, weight, text.
+    Held-out documents, null labels, ids without a row in ``docs`` and texts over ``max_chars``
+    characters are left out before the sample is drawn; each class carries its weight (labelled ids
+    that could be drawn per drawn id). Rows: label, weight, text.
     """
+    short = docs.select("doc_id", empty_text(text).alias("text")).where(F.length("text") <= max_chars)
     known = (
         labels.select("doc_id", F.col(label).cast("int").alias("label"))
         .where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
         .groupBy("doc_id").agg(F.max("label").alias("label"))
+        .join(short.select("doc_id"), "doc_id", "left_semi")
         .withColumn("turn", F.xxhash64(F.col("doc_id").cast("string"), F.lit(label)))
     )
+    known = stage(known, f"labelled-{label}")  # read three times
     counts = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
     parts = []
     for value in (0, 1):
@@ -220,5 +224,4 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
         )
     # at most 2 * per_class ids, so the broadcast has a fixed bound
     chosen = F.broadcast(parts[0].unionByName(parts[1]))
-    short = docs.select("doc_id", empty_text(text).alias("text")).where(F.length("text") <= max_chars)
     return short.join(chosen, "doc_id").select("label", "weight", "text").dropDuplicates()

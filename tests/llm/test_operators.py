@@ -15,7 +15,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from offerlake.llm import bpe, jaccard, lempelziv, licenses, mixing, neighbours, quality, queries, tokenbin, toxicity, warc
-from offerlake.llm.common import held_out, stage_folder
+from offerlake.llm.common import held_out, labelled_sample, stage_folder
 from tests.oracle import compare, duck
 
 FOLDER, SMALL = "/root/testdata/sf0.01", "/root/testdata/sf0.001"
@@ -264,6 +264,18 @@ def test_license_grants_name_the_version_of_the_bare_name():
                 assert grant["labels"] == bare["labels"] and len(grant["spans"]) == len(bare["spans"]), name
 
 
+def test_sample_is_drawn_from_eligible_texts(llm):
+    docs = llm.createDataFrame([(i, "x" * (50 if i % 3 == 0 else 5) + str(i)) for i in range(400)], "doc_id long, text string").where("doc_id % 5 > 0")
+    known = llm.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, quality int")
+    ids = {r.doc_id for r in known.where(~held_out()).collect()}
+    eligible = {v: {i for i in ids if i % 2 == v and i % 3 and i % 5} for v in (0, 1)}
+    rows = labelled_sample(docs, known, "quality", 20, 20).collect()
+    for value, able in eligible.items():
+        drawn = [r for r in rows if r.label == value]
+        assert len(drawn) == 20 and {int(r.text.strip("x")) for r in drawn} <= able
+        assert {r.weight for r in drawn} == {len(able) / 20}
+
+
 @pytest.mark.parametrize(("module", "label", "threshold", "least"), [(quality, "quality", 0.7, 0.97), (toxicity, "toxic", 0.3, 0.9)])
 def test_held_out_accuracy(llm, module, label, threshold, least):
     docs, labels = (llm.read.parquet(f"{FOLDER}/{t}.parquet") for t in ("documents", "labels"))
