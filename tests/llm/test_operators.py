@@ -339,3 +339,47 @@ def test_pipeline_stages_take_effect(llm):
         assert out.columns == docs.columns and 0 < out.count() <= docs.count(), name
         docs = out
     assert {"doc_id", "n_tokens", "ids_sha256"} <= set(corpus_pipeline.STAGES[4][1](llm, docs, SMALL).columns)
+
+
+def brute_topic(text):
+    if " | " in text:
+        return "table"
+    if re.search("(?i)licen[cs]ed?|copyright|rights reserved", text):
+        return "legal"
+    if re.search(r"[A-Za-z0-9._]+@[A-Za-z0-9.]+|[0-9]{3}[-) ]+[0-9]{3}", text):
+        return "contact"
+    return "long" if len(text) >= 4000 else "short"
+
+
+def test_pipeline_keeps_what_plain_python_keeps(llm, tmp_path, monkeypatch):
+    given = llm.read.parquet(f"{SMALL}/documents.parquet")
+    labels = llm.read.parquet(f"{SMALL}/labels.parquet")
+    near = given.orderBy(F.length("text").desc()).limit(12).withColumns({"doc_id": F.col("doc_id") + 10**9, "text": F.concat("text", F.lit(" and more"))})
+    odd = given.orderBy("doc_id").limit(2)
+    docs = given.unionByName(near).unionByName(odd).unionByName(odd.withColumn("doc_id", F.lit(None).cast(given.schema["doc_id"].dataType)))
+    docs.coalesce(2).write.parquet(f"{tmp_path}/documents.parquet")
+    labels.coalesce(1).write.parquet(f"{tmp_path}/labels.parquet")
+    results, write = [llm.read.parquet(f"{tmp_path}/documents.parquet")], corpus_pipeline.stage
+    monkeypatch.setattr(corpus_pipeline, "stage", lambda df, name: results.append(write(df, name)) or results[-1])
+    corpus_pipeline.run(llm, str(tmp_path))
+
+    def pairs(rows):
+        return sorted((r.doc_id or -1, r.text or "") for r in rows)
+
+    for i, (module, threshold, above) in enumerate(((toxicity, queries.TOXIC_THRESHOLD, False), (quality, queries.QUALITY_THRESHOLD, True))):
+        scored = module.score(results[i].select("doc_id", "text"), module.fit(results[i], labels)).collect()
+        assert pairs(results[i + 1].collect()) == pairs(r for r in scored if (r.score >= threshold) is above), module.__name__
+    rows = results[2].collect()
+    heads = {d for d, c, _ in brute_classes({r.doc_id: r.text for r in rows if r.doc_id is not None}.items()) if c == d}
+    first = {r.doc_id: r for r in rows if r.doc_id in heads}
+    assert pairs(results[3].collect()) == pairs([*first.values(), *(r for r in rows if r.doc_id is None)]) and len(first) < len(rows)
+    cells = {(r.source, r.lang, r.topic): r.probability for r in mixing.probabilities(results[3]).collect()}
+    drawn = []
+    for r in results[3].collect():
+        number = int(hashlib.md5(f"mix:{'' if r.doc_id is None else r.doc_id}".encode()).hexdigest()[:8], 16) / 2**32
+        if number < cells[r.source or "", r.lang or "", brute_topic(r.text or "")]:
+            drawn.append(r)
+    assert pairs(results[4].collect()) == pairs(drawn) and 0 < len(drawn) < len(rows)
+    encoding = reference_encoding()
+    want = sorted((r.doc_id or -1, np.array(encoding.encode_ordinary(r.text or ""), np.uint32).tobytes()) for r in drawn)
+    assert sorted((r.doc_id or -1, bytes(r.ids)) for r in results[5].collect()) == want
