@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from offerlake.llm import bpe, jaccard, lempelziv, licenses, mixing, neighbours, quality, tokenbin, toxicity, warc
+from offerlake.llm import bpe, jaccard, lempelziv, licenses, mixing, neighbours, quality, repair, tokenbin, toxicity, warc
 from offerlake.llm.common import held_out, ship, stage_folder
 
 RANKS_FILE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -131,3 +131,8 @@ def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 def op10_licenses(spark: SparkSession, folder: str) -> DataFrame:
     found = licenses.scan_licenses(table(spark, folder, "documents"))
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
+@query("op11_conversation_repair")
+def op11_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return repair.repair(table(spark, folder, "conversations"))
