@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from offerlake.llm import bpe, extraction, jaccard, lempelziv, licenses, mixing, neighbours, quality, repair, tokenbin, toxicity, warc
+from offerlake.llm import bpe, divergence, extraction, jaccard, lempelziv, licenses, mixing, neighbours, quality, repair, tokenbin, toxicity, warc
 from offerlake.llm.common import held_out, ship, stage_folder
 
 RANKS_FILE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -138,6 +138,11 @@ def op11_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
     return repair.repair(table(spark, folder, "conversations"))
 
 
+@query("op12_source_divergence", divergence.oracle())
+def op12_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence.audit(table(spark, folder, "documents"))
+
+
 @query("op13_html_extraction")
 def op13_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
     return extraction.extract(table(spark, folder, "pages"))
