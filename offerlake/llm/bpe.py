@@ -19,14 +19,13 @@ from __future__ import annotations
 import base64
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import regex
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -71,19 +70,26 @@ LETTER, NUMBER, SPACE = 1, 2, 3
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
-@lru_cache(maxsize=1)
-def classes() -> np.ndarray:
-    """The class of every code point."""
+def class_table(members: Callable[[str, str], str]) -> np.ndarray:
+    """The class of every code point, from ``members(pattern, text)``: the characters of text that match."""
     out = np.zeros(0x110000, np.uint8)
-    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
-    every = "".join(map(chr, points))
-    codes = np.array(points)
-    for kind, name in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (SPACE, r"\s+")):
-        for m in regex.finditer(name, every):
-            out[codes[m.start() : m.end()]] = kind
+    every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+    for kind, name in ((LETTER, r"\p{L}"), (NUMBER, r"\p{N}"), (SPACE, r"\s")):
+        out[np.frombuffer(members(name, every).encode("utf-32-le"), np.uint32)] = kind
     return out
 
 
+def _members(pattern: str, text: str) -> str:
+    library = tiktoken.Encoding("members", pat_str=pattern, mergeable_ranks={bytes([b]): b for b in range(256)}, special_tokens={})
+    return bytes(library.encode_ordinary(text)).decode()
+
+
+@lru_cache(maxsize=1)
+def classes() -> np.ndarray:
+    """The class of every code point as the tiktoken library has it."""
+    return class_table(_members)
+
+
 def byte_classes(data: np.ndarray, table: np.ndarray) -> np.ndarray:
     """The class of the character of every byte of UTF-8."""
     out = table[np.minimum(data, 127)]

@@ -12,9 +12,10 @@ Ranks order all ids by how often the whole corpus has them, so frequent ids take
 holds the ids by rank, in the same folder. A control byte is decoded by one lookup in a table of 256
 rows of four lengths.
 
-Texts are dealt into ranges of doc_id and encoded once, each distinct word of a block by one call of
-the tokenizer; counts of all ids give the ranks. Documents
-with the same doc_id stand in the order of their text. Null ids come first, null texts count as empty
+Texts are dealt into ranges of doc_id and cut at the definition's added tokens, then into words; each
+distinct word of a block is looked up among the answers that the worker keeps, and the tokenizer encodes the
+rest. Counts of all ids give the ranks. Documents with the same doc_id stand in the order of a hash of their
+text, then of the text; one document has less than 2 GB of ids. Null ids come first, null texts count as empty
 (one end id); an empty table gives no files and no rows; other columns are not read. Files are
 written under a temporary name and renamed, so a task that runs again leaves the same files.
 """
@@ -22,6 +23,8 @@ written under a temporary name and renamed, so a task that runs again leaves the
 from __future__ import annotations
 
 import itertools
+import json
+import re
 import struct
 import uuid
 from collections.abc import Iterator
@@ -33,9 +36,10 @@ from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import Regex, Tokenizer
+from tokenizers.pre_tokenizers import Split
 
-from offerlake.llm.bpe import classes, pieces, spread
+from offerlake.llm.bpe import class_table, pieces, spread
 from offerlake.llm.common import BYTE_VALUES, empty_text, packed, span_hashes, stage, text_buffers, text_steps
 
 MAGIC = b"OLTB"
@@ -45,6 +49,8 @@ FILE_IDS = 2_000_000
 BLOCK_BYTES = 6_000_000
 #: Words of one call of the tokenizer; the cost of a word grows with the words of its call.
 CALL_WORDS = 200
+#: Words whose ids a worker keeps in each of two generations, and the bytes of the longest of them.
+KEPT_WORDS, KEPT_LENGTH = 250_000, 40
 NULL_ID = -(1 << 63)
 
 #: Lengths of the four ids of every control byte.
@@ -91,21 +97,77 @@ def read_file(content: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     return doc_ids, counts, unpack_ranks(np.frombuffer(content, np.uint8, offset=36 + 16 * docs), ids), start
 
 
-@lru_cache(maxsize=2)
-def _tokenizer(definition: str) -> Tokenizer:
-    tokenizer = Tokenizer.from_str(definition)
-    tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-    return tokenizer
+@lru_cache(maxsize=1)
+def classes() -> np.ndarray:
+    """The class of every code point as the tokenizers library has it."""
+    return class_table(lambda pattern, text: "".join(part for part, _ in Split(Regex(f"(?!{pattern})[\\s\\S]"), "removed").pre_tokenize_str(text)))
 
 
-def encode_words(tokenizer: Tokenizer, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all words end to end, and how many each word has."""
-    ids, lengths = [np.empty(0, np.uint32)], np.zeros(len(words), np.int64)
-    for first in range(0, len(words), CALL_WORDS):
-        found = tokenizer.encode(words[first : first + CALL_WORDS], is_pretokenized=True, add_special_tokens=False)
-        ids.append(np.array(found.ids, np.uint32))
-        lengths[first : first + CALL_WORDS] = np.bincount(np.array(found.word_ids, np.int64), minlength=len(words[first : first + CALL_WORDS]))
-    return np.concatenate(ids), lengths
+@lru_cache(maxsize=2)
+def added_tokens(definition: str) -> tuple[re.Pattern | None, dict[bytes, int]]:
+    """What finds the definition's added tokens in a text (the longest at a place), and their ids."""
+    tokens = json.loads(definition).get("added_tokens") or []
+    if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in tokens):
+        raise ValueError("added tokens that take in or ask for neighbours are not supported")
+    ids = {t["content"].encode(): t["id"] for t in tokens if t["content"]}
+    longest = sorted(ids, key=lambda t: (-len(t), t))
+    return re.compile(b"|".join(map(re.escape, longest))) if ids else None, ids
+
+
+class Words:
+    """Ids of words by the tokenizer. Answers of recent words are kept in two generations of bounded size."""
+
+    def __init__(self, definition: str):
+        self.tokenizer, (self.special, self.special_ids) = Tokenizer.from_str(definition), added_tokens(definition)
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def ids(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words end to end, and how many each word has."""
+        young, old, found, missing = self.young, self.old, [], []
+        for i, word in enumerate(words):
+            answer = young.get(word)
+            if answer is None:
+                answer = old.get(word)
+                if answer is None:
+                    missing.append(i)
+                elif len(young) < KEPT_WORDS:
+                    young[word] = answer
+            found.append(answer)
+        for first in range(0, len(missing), CALL_WORDS):
+            part = missing[first : first + CALL_WORDS]
+            call = self.tokenizer.encode([words[i].decode() for i in part], is_pretokenized=True, add_special_tokens=False)
+            ids, ends = np.array(call.ids, np.uint32).tobytes(), np.cumsum(np.bincount(np.array(call.word_ids, np.int64), minlength=len(part))).tolist()
+            for i, a, b in zip(part, [0, *ends], ends, strict=False):
+                found[i] = ids[4 * a : 4 * b]
+                if len(words[i]) <= KEPT_LENGTH:
+                    if len(young) >= KEPT_WORDS:
+                        self.young, self.old = young, old = {}, young
+                    young[words[i]] = found[i]
+        return np.frombuffer(b"".join(found), np.uint32), np.fromiter(map(len, found), np.int64, len(found)) // 4
+
+
+@lru_cache(maxsize=1)
+def _words(definition: str) -> Words:
+    return Words(definition)
+
+
+def cut_texts(words: Words, data: np.ndarray, raw: bytes, offsets: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of all words and added tokens, and the rows' offsets among them."""
+    hits = [m.span() for m in words.special.finditer(raw)] if words.special else []
+    if hits and (offsets[np.searchsorted(offsets, [a for a, _ in hits], side="right")] < [b for _, b in hits]).any():  # over the end of a row
+        rows = zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)
+        hits = [m.span() for a, b in rows for m in words.special.finditer(raw, a, b)]
+    if not hits:
+        starts, at = pieces(data, offsets, table)
+        return starts, np.append(starts[1:], len(data)), at
+    edges = np.unique(np.concatenate([offsets, np.array(hits).ravel()]))
+    starts, _ = pieces(data, edges, table)
+    first, last = np.array(hits).T
+    inside = np.searchsorted(last, starts, side="right")  # the next token that ends behind this start
+    drop = (inside < len(last)) & (starts > first[np.minimum(inside, len(last) - 1)])
+    starts = starts[~drop]
+    return starts, np.append(starts[1:], len(data)), np.searchsorted(starts, offsets)
 
 
 def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,15 +187,14 @@ def _encode(definition: str, end_id: int, table: np.ndarray):
     names = ["part", "turn", "before", "doc_id", "n_tokens", "ids"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, part, turn, before = _tokenizer(definition), TaskContext.get().partitionId(), 0, 0
+        words, part, turn, before = _words(definition), TaskContext.get().partitionId(), 0, 0
         for batch in _gathered(batches):
             for low, high, data, offsets in text_steps(batch.column(1), 2 * BLOCK_BYTES):
-                starts, at = pieces(data, offsets, table)
-                ends = np.append(starts[1:], len(data))
-                _, index, number = np.unique(span_hashes(BYTE_VALUES[data], starts, ends), return_index=True, return_inverse=True)
                 raw = data.tobytes()
+                starts, ends, at = cut_texts(words, data, raw, offsets, table)
+                _, index, number = np.unique(span_hashes(BYTE_VALUES[data], starts, ends), return_index=True, return_inverse=True)
+                flat, lengths = words.ids([raw[a:b] for a, b in zip(starts[index].tolist(), ends[index].tolist(), strict=True)])
                 # one more word stands for the end of a document
-                flat, lengths = encode_words(tokenizer, [raw[a:b].decode() for a, b in zip(starts[index].tolist(), ends[index].tolist(), strict=True)])
                 flat, lengths = np.append(flat, np.uint32(end_id)), np.append(lengths, 1)
                 first = np.cumsum(lengths) - lengths
                 which = np.insert(number, at[1:], len(lengths) - 1)

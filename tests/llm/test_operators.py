@@ -3,6 +3,7 @@ import hashlib
 import itertools
 import random
 import re
+import unicodedata
 
 import numpy as np
 import public_tokenizers
@@ -61,7 +62,6 @@ def test_bpe_round_trip(llm, odd_docs, no_docs):
 def test_token_files_round_trip(llm, odd_docs, no_docs):
     definition = open(queries.TOKENIZER_FILE, encoding="utf-8").read()
     tokenizer = Tokenizer.from_str(definition)
-    tokenizer.encode_special_tokens = True
     folder = stage_folder(llm, "test-tokens")
     tokenbin.write_files(tokenbin.encode_in_order(odd_docs, definition), folder)
     rows = sorted(tokenbin.read_files(llm, folder).collect(), key=lambda r: r.start)
@@ -73,6 +73,57 @@ def test_token_files_round_trip(llm, odd_docs, no_docs):
     assert tokenbin.write_files(tokenbin.encode_in_order(no_docs, definition), folder).count() == 0
 
 
+SPECIAL_TEXTS = ["a<|endoftext|>b", "<|endoftext|><|endoftext|>", " <|endoftext|>  x", "<|endof", "text|>", "it<|endoftext|>'s 12<|endoftext|>", "\u0558's here", "<<|endoftext|>|endoftext|>"]
+
+
+def test_added_tokens_as_the_library(llm):
+    definition = open(queries.TOKENIZER_FILE, encoding="utf-8").read()
+    docs, folder = llm.createDataFrame(list(enumerate(SPECIAL_TEXTS)), "doc_id long, text string"), stage_folder(llm, "test-tokens")
+    tokenbin.write_files(tokenbin.encode_in_order(docs, definition), folder)
+    library = Tokenizer.from_str(definition)
+    found = {r.doc_id: np.frombuffer(r.ids, np.uint32).tolist() for r in tokenbin.read_files(llm, folder).collect()}
+    assert found == {i: [*library.encode(t, add_special_tokens=False).ids, 0] for i, t in enumerate(SPECIAL_TEXTS)}
+    assert bytes(np.array(found[0], np.uint32)) == bytes(np.array([64, 50256, 65, 0], np.uint32))
+
+
+def test_kept_answers_stay_bounded(monkeypatch):
+    monkeypatch.setattr(tokenbin, "KEPT_WORDS", 5)
+    words = tokenbin.Words(open(queries.TOKENIZER_FILE, encoding="utf-8").read())
+    rng = random.Random(6)
+    for _ in range(30):
+        some = [f"w{rng.randrange(20)}".encode() for _ in range(rng.randrange(30))] + [b"x" * 50]
+        ids, lengths = words.ids(some)
+        assert [ids[b - n : b].tolist() for n, b in zip(lengths, np.cumsum(lengths))] == [words.tokenizer.encode(w.decode(), add_special_tokens=False).ids for w in some]
+        assert max(len(words.young), len(words.old)) <= 5
+
+
+@pytest.mark.parametrize("table,ids", [
+    (bpe.classes, lambda: reference_encoding().encode_ordinary),
+    (tokenbin.classes, lambda: lambda t, library=Tokenizer.from_file(queries.TOKENIZER_FILE): library.encode(t, add_special_tokens=False).ids),
+], ids=["tiktoken", "tokenizers"])
+def test_classes_of_every_code_point(table, ids):
+    """Each code point before 's, as a text of its own: the library's ids of the text are those of its pieces."""
+    encode, found = ids(), table()
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for first in range(0, len(points), 4000):
+        texts = [f"{chr(c)}'s" for c in points[first : first + 4000]]
+        data = np.frombuffer("".join(texts).encode(), np.uint8)
+        offsets = np.cumsum([0, *(len(t.encode()) for t in texts)])
+        starts, at = bpe.pieces(data, offsets, found)
+        for i, text in enumerate(texts):
+            cut = starts[at[i] : at[i + 1]] - offsets[i]
+            # of the three classes only a blank, a letter or a number, or another character cut otherwise
+            assert len(cut) == (2 if text[0] != "'" else len(cut)), hex(ord(text[0]))
+    rng = random.Random(8)
+    odd = [c for c in points if not found[c] == {"L": 1, "N": 2}.get(unicodedata.category(chr(c))[0], 3 if chr(c).isspace() else 0)]
+    for c in [*odd[:3000], *rng.sample(points, 6000)]:
+        for text in (f"a{chr(c)}'s 1{chr(c)}", f"{chr(c)}a{chr(c)}1 {chr(c)}!"):
+            data = np.frombuffer(text.encode(), np.uint8)
+            starts, _ = bpe.pieces(data, np.array([0, len(data)]), found)
+            words = [data[a:b].tobytes().decode() for a, b in zip(starts, np.append(starts[1:], len(data)))]
+            assert [i for w in words for i in encode(w)] == list(encode(text)), hex(c)
+
+
 def test_byte_aligned_coding():
     ranks = np.array([0, 1, 255, 256, 65535, 65536, 1 << 24, (1 << 32) - 1, 7], np.uint32)
     for n in range(len(ranks) + 1):
