@@ -28,7 +28,7 @@ from urllib.parse import urlsplit
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from offerlake.llm.common import stage
@@ -36,7 +36,12 @@ from offerlake.llm.common import stage
 ARCHIVE_BYTES = 8_000_000
 #: Payloads below this many bytes are never revisits.
 LEAST_BYTES = 0
+#: The tables carry no capture times. A page's date is this one plus page_id nanoseconds (WARC/1.1 allows
+#: nine decimals), so every id has a date of its own between the years 1731 and 2316, in the order of ids.
 FIRST_DATE = "2024-01-01T00:00:00Z"
+READ_BYTES = 65_536
+#: Captures of a range of the merge, about.
+RANGE_CAPTURES = 200_000
 
 
 def url_key(url: str | None) -> str:
@@ -117,12 +122,17 @@ def member(content: bytes) -> bytes:
 
 def members(content: bytes) -> Iterator[tuple[int, int, bytes]]:
     """(offset, length, plain bytes) of every gzip member."""
-    at = 0
+    at, whole = 0, memoryview(content)
     while at < len(content):
-        opener = zlib.decompressobj(31)
-        plain = opener.decompress(content[at:]) + opener.flush()
-        length = len(content) - at - len(opener.unused_data)
-        yield at, length, plain
+        opener, parts, length = zlib.decompressobj(31), [], 0
+        while not opener.eof:  # in chunks, so that no member copies the rest of its archive
+            chunk = whole[at + length : at + length + READ_BYTES]
+            if not len(chunk):
+                raise ValueError("the archive ends inside a member")
+            parts.append(opener.decompress(chunk))
+            length += len(chunk)
+        length -= len(opener.unused_data)
+        yield at, length, b"".join(parts)
         at += length
 
 
@@ -179,12 +189,21 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([url_key(u) for u in batch.column(batch.schema.names.index("url")).to_pylist()], pa.string())], names=[*batch.schema.names, "url_key"])
 
 
+def capture_date(page_id: Column) -> Column:
+    """FIRST_DATE plus page_id nanoseconds; a null id has the latest date."""
+    number = F.coalesce(page_id, F.lit((1 << 63) - 1))
+    rest = number % 1_000_000_000
+    seconds = F.call_function("div", number, F.lit(1_000_000_000)) - (rest < 0).cast("long")
+    start = F.unix_timestamp(F.lit(FIRST_DATE), "yyyy-MM-dd'T'HH:mm:ssX")
+    return F.concat(F.date_format(F.timestamp_seconds(start + seconds), "yyyy-MM-dd'T'HH:mm:ss."), F.lpad(F.pmod(rest, F.lit(1_000_000_000)).cast("string"), 9, "0"), F.lit("Z"))
+
+
 def write_archives(pages: DataFrame, folder: str, least_bytes: int = LEAST_BYTES) -> DataFrame:
     """Writes the archives; the locally sorted runs of captures, staged."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"))
     rows = rows.withColumn("sha1", F.sha1("payload")).withColumn("bytes", F.octet_length("payload").cast("long"))
     first = rows.where(F.col("bytes") >= least_bytes).groupBy("sha1", "bytes").agg(F.min("page_id").alias("first"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
-    dated = rows.withColumn("date", F.date_format(F.timestamp_seconds(F.unix_timestamp(F.lit(FIRST_DATE), "yyyy-MM-dd'T'HH:mm:ssX") + F.coalesce("page_id", F.lit(0))), "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+    dated = rows.withColumn("date", capture_date(F.col("page_id")))
     joined = dated.join(first, ["sha1", "bytes"], "left").select(
         F.coalesce(F.col("page_id").cast("string"), F.lit("null")).alias("page"), "url", "payload", "sha1", "date",
         F.when(F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("page_id")), F.col("first").cast("string")).alias("refers_to"),
@@ -215,10 +234,10 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def merge_runs(runs: DataFrame) -> DataFrame:
     """Captures in global order: by range, then by turn inside the range.
 
-    A range's pieces of the runs are held by one task; ranges are as many as shuffle partitions, and
-    no key is kept together, so they stay small.
+    A range's pieces of the runs are held by one task; the number of ranges follows the number of captures,
+    and no key is kept together, so a range stays near RANGE_CAPTURES.
     """
-    parts = int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-runs.count() // RANGE_CAPTURES))
     key = ("url_key", "date", "page", "archive", "place")
     return runs.repartitionByRange(parts, *key).sortWithinPartitions("archive", *key[:3], "place").mapInArrow(_merge, RUNS + ", range int, turn long")
 
