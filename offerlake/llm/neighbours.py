@@ -5,7 +5,8 @@ Euclidean metric has the largest inner product; queries get 0. Every shard of ab
 vectors has one tree over its distinct vectors: a node splits by the median distance to a vantage
 point and keeps the distance range of each side. A side is left out when ``factor`` times the least
 distance that the triangle inequality allows exceeds the distance of the worst result so far; factor
-one gives the exact result, a larger one visits less. Queries search all shards in blocks, near side
+one gives the exact result, a larger one visits less. Distances are taken between vectors scaled by a power
+of two; scores are inner products of the vectors as they are, so they may be infinite. Queries search all shards in blocks, near side
 first, with numpy over the whole block; the best of all shards are merged by a window.
 
 Vectors that are null, zero, of another length than most, or with null or non-finite components take
@@ -31,8 +32,8 @@ LEAF_ROWS = 64
 FACTOR = 1.0
 
 
-def build(vectors: np.ndarray, ids: np.ndarray, norm: float, k: int, seed: int = 3) -> dict:
-    """A tree over the distinct rows of ``vectors``."""
+def build(vectors: np.ndarray, ids: np.ndarray, norm: float, k: int, seed: int = 3, exponent: int = 0) -> dict:
+    """A tree over the distinct rows of ``vectors``; distances are between vectors times 2**-exponent, and so is ``norm``."""
     order = np.argsort(ids, kind="stable")
     distinct, group = np.unique(vectors[order], axis=0, return_inverse=True)
     by_group = np.argsort(group, kind="stable")
@@ -40,7 +41,8 @@ def build(vectors: np.ndarray, ids: np.ndarray, norm: float, k: int, seed: int =
     within = np.arange(len(group)) - np.repeat(np.cumsum(counts) - counts, counts)
     few = by_group[within <= k]  # ids rise inside a group
     members, held = ids[order][few], np.minimum(counts, k + 1)
-    lifted = np.column_stack([distinct, np.sqrt(np.maximum(norm * norm - (distinct**2).sum(1), 0.0))])
+    small = np.ldexp(distinct, -exponent)
+    lifted = np.column_stack([small, np.sqrt(np.maximum(norm * norm - (small**2).sum(1), 0.0))])
     rng, nodes = np.random.default_rng(seed), []
 
     def grow(rows: np.ndarray) -> int:
@@ -59,32 +61,37 @@ def build(vectors: np.ndarray, ids: np.ndarray, norm: float, k: int, seed: int =
         return at
 
     grow(np.arange(len(distinct)))
-    return {"vectors": distinct, "lifted": lifted, "nodes": nodes, "members": members, "starts": np.concatenate([[0], np.cumsum(held)]), "norm": norm}
+    return {"vectors": distinct, "lifted": lifted, "nodes": nodes, "members": members, "starts": np.concatenate([[0], np.cumsum(held)]), "norm": norm, "exponent": exponent}
 
 
 def search(tree: dict, queries: np.ndarray, own: np.ndarray, k: int, factor: float = FACTOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query row, id, score) of the k best of the tree for every query, without the query's own id."""
     vectors, lifted, nodes, members, starts = (tree[x] for x in ("vectors", "lifted", "nodes", "members", "starts"))
     smallest, single = members[starts[:-1]], np.diff(starts) == 1
-    n = len(queries)
-    flat = np.column_stack([queries, np.zeros(n)])
-    base = tree["norm"] ** 2 + (queries**2).sum(1)
+    n, exponent = len(queries), tree["exponent"]
+    small = np.ldexp(queries, -exponent)
+    flat = np.column_stack([small, np.zeros(n)])
+    base = tree["norm"] ** 2 + (small**2).sum(1)
     best, which = np.full((n, k), -np.inf), np.full((n, k), -1)
 
     def offer(at: np.ndarray, rows: np.ndarray) -> None:
         # row-wise sums: the same pair gives the same number wherever it is met
         scores = np.einsum("qd,rd->qr", queries[at], vectors[rows], optimize=False)
-        scores[single[rows][None, :] & (smallest[rows][None, :] == own[at][:, None])] = -np.inf
+        entry = np.broadcast_to(rows, scores.shape).copy()
+        self_only = single[rows][None, :] & (smallest[rows][None, :] == own[at][:, None])
+        scores[self_only], entry[self_only] = -np.inf, -1
         scores = np.concatenate([best[at], scores], axis=1)
-        entry = np.concatenate([which[at], np.broadcast_to(rows, (len(at), len(rows)))], axis=1)
+        entry = np.concatenate([which[at], entry], axis=1)
         name = np.where(entry >= 0, smallest[entry], np.iinfo(np.int64).max)
-        top = np.lexsort((name, -scores), axis=1)[:, :k]
+        # as Spark and SQL order doubles: not-a-number above infinity
+        top = np.lexsort((name, -scores, ~np.isnan(scores)), axis=1)[:, :k]
         best[at], which[at] = np.take_along_axis(scores, top, 1), np.take_along_axis(entry, top, 1)
 
     def reach(at: np.ndarray) -> np.ndarray:
         """Distance of the worst result held, with room for rounding."""
-        worst = best[at, k - 1]
-        return np.sqrt(np.maximum(base[at] - 2 * np.where(np.isfinite(worst), worst, 0), 0)) * (1 + 1e-9) + 1e-7 + np.where(np.isfinite(worst), 0, np.inf)
+        worst, full = best[at, k - 1], which[at, k - 1] >= 0
+        small = np.ldexp(np.where(full & np.isfinite(worst), worst, 0), -2 * exponent)
+        return np.sqrt(np.maximum(base[at] - 2 * small, 0)) * (1 + 1e-9) + 1e-7 + np.where(full & np.isfinite(worst), 0, np.inf)
 
     def visit(node: int, at: np.ndarray) -> None:
         if not len(at):
@@ -103,7 +110,7 @@ def search(tree: dict, queries: np.ndarray, own: np.ndarray, k: int, factor: flo
             visit(child, at[rows & (bound * factor <= reach(at))])
 
     visit(0, np.arange(n))
-    row, slot = np.nonzero(np.isfinite(best) & (which >= 0))
+    row, slot = np.nonzero(which >= 0)
     entry = which[row, slot]
     size = np.diff(starts)[entry]
     take = np.repeat(starts[entry] - (np.cumsum(size) - size), size) + np.arange(size.sum())
@@ -124,15 +131,21 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, factor: float = F
     spark = vectors.sparkSession
     rows = stage(usable(vectors, vec_id, vector), "neighbours-vectors")
     shape = "query_id long, vec_id long, score double"
-    lengths = rows.groupBy(F.size("vector").alias("d")).agg(F.count("*").alias("n"), F.max(F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x))).alias("norm"), F.sum(is_query.cast("int")).alias("queries"))
+    lengths = rows.groupBy(F.size("vector").alias("d")).agg(F.count("*").alias("n"), F.max(F.array_max(F.transform("vector", F.abs))).alias("greatest"), F.sum(is_query.cast("int")).alias("queries"))
     most = lengths.orderBy(F.desc("n"), "d").first()
     if most is None or not most["queries"]:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     rows = rows.where(F.size("vector") == most["d"])
-    shards, blocks, norm = -(-most["n"] // SHARD_ROWS), -(-most["queries"] // BLOCK_ROWS), float(most["norm"])
+    shards, blocks = -(-most["n"] // SHARD_ROWS), -(-most["queries"] // BLOCK_ROWS)
+    # distances are taken between vectors scaled by a power of two to components below 1, so squares neither overflow nor vanish
+    exponent = int(np.frexp(most["greatest"])[1])
+    halves = F.lit(2.0 ** (-exponent // 2)), F.lit(2.0 ** (-exponent - -exponent // 2))
+    norm = float(rows.agg(F.max(F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * halves[0] * halves[1] * (x * halves[0] * halves[1]))))).first()[0])
+    if 2 * exponent + np.log2(most["d"]) > 1000:
+        factor = 0.0  # products may be infinite, and bound nothing: every node is visited
 
     def grow(part: pd.DataFrame) -> pd.DataFrame:
-        tree = build(np.stack(part["vector"].to_numpy()), part["vec_id"].to_numpy(), norm, k)
+        tree = build(np.stack(part["vector"].to_numpy()), part["vec_id"].to_numpy(), norm, k, exponent=exponent)
         return pd.DataFrame({"shard": [int(part["shard"].iloc[0])], "tree": [pickle.dumps(tree)]})
 
     def look(queries: pd.DataFrame, trees: pd.DataFrame) -> pd.DataFrame:
