@@ -192,12 +192,18 @@ def detections(words: bytes) -> list[tuple[int, int, Rule]]:
         for keywords, group in _compiled() if any(k in words for k in keywords)
         for rule, pattern in group for m in pattern.finditer(words)
     ]
-    # highest priority first, then the longest, then the leftmost, then by label
-    places.sort(key=lambda p: (p[2].priority, p[0] - p[1], p[0], p[2].label))
+    # a place goes if one of higher priority, or an earlier one of its own, contains it; what contains that one contains this
     kept: list[tuple[int, int, Rule]] = []
-    for first, end, rule in places:
-        if not any(a <= first and end <= b for a, b, _ in kept):
-            kept.append((first, end, rule))
+    starts, reach = np.empty(0, np.int64), np.empty(0, np.int64)  # of all places of higher priority: starts, furthest end up to each
+    for priority in sorted({p[2].priority for p in places}):
+        own = sorted((p for p in places if p[2].priority == priority), key=lambda p: (p[0], -p[1], p[2].label))
+        first, end = np.array([p[0] for p in own]), np.array([p[1] for p in own])
+        before = np.concatenate([[-1], np.maximum.accumulate(end)[:-1]])
+        above = np.concatenate([[-1], reach])[np.searchsorted(starts, first, side="right")]
+        kept += [own[i] for i in np.flatnonzero((before < end) & (above < end))]
+        ends = np.concatenate([reach, end])
+        order = np.argsort(np.concatenate([starts, first]), kind="stable")
+        starts, reach = np.concatenate([starts, first])[order], np.maximum.accumulate(ends[order])
     return sorted(kept, key=lambda p: (p[0], p[1]))
 
 
@@ -227,9 +233,9 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                 base.add(label)
                                 firsts += hits
                     words = _spaced(text)
+                    blanks = np.concatenate([[0], np.cumsum(np.frombuffer(words, np.uint8) == 32)])
                     for a, b, rule in detections(words):
-                        begin = words.count(b" ", 0, a)
-                        spans.append({"label": label_of(words, a, b, rule), "first_word": begin, "last_word": begin + words.count(b" ", a, b), "priority": rule.priority})
+                        spans.append({"label": label_of(words, a, b, rule), "first_word": int(blanks[a]), "last_word": int(blanks[b]), "priority": rule.priority})
                         chance *= 1.0 - rule.weight
                 if firsts:
                     chance *= 0.1
