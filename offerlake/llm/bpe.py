@@ -286,6 +286,7 @@ def encode(docs: DataFrame, ranks: Ranks, text: str = "text", block_bytes: int =
     made = texts.mapInArrow(_blocks(buckets, classes(), block_bytes), BLOCKS).write.option("path", f"{stage_folder(spark, 'bpe-blocks')}/rows")
     made.bucketBy(buckets, "block").saveAsTable(name)
     blocks = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the name only; the files and this resolved reader stay
     asked = blocks.select("block", F.inline("asked"))
     answers = asked.groupBy("bucket").applyInPandas(_answer(ranks), ANSWERS)
     held = blocks.select("block", "doc_ids", "counts", "bucket_of", "positions")

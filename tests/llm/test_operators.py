@@ -3,6 +3,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 import unicodedata
 
 import numpy as np
@@ -234,6 +235,81 @@ def test_neighbours(llm):
     assert neighbours.nearest(llm.createDataFrame([], "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0).count() == 0
 
 
+@pytest.mark.parametrize("size", [1e200, 1e-200, 3e154, 1.0])
+def test_neighbours_of_any_magnitude(llm, size):
+    x = np.random.default_rng(9).normal(size=(130, 6)) * size
+    found = neighbours.nearest(llm.createDataFrame([(i, v.tolist(), "x") for i, v in enumerate(x)], "vec_id long, embedding array<double>, score string"), F.col("vec_id") % 20 == 0).collect()
+    with np.errstate(all="ignore"):
+        for query in range(0, 130, 20):
+            scores = np.einsum("qd,rd->qr", x[[query]], x, optimize=False)[0]
+            want = sorted((i for i in range(130) if i != query), key=lambda i: (not np.isnan(scores[i]), -scores[i], i))[:20]
+            got = sorted((r for r in found if r.query_id == query), key=lambda r: r.rank)
+            assert [r.vec_id for r in got] == want and all(r.score == scores[r.vec_id] or np.isnan(scores[r.vec_id]) for r in got)
+
+
+def test_a_larger_factor_visits_less_and_finds_most(monkeypatch):
+    rng = np.random.default_rng(12)
+    x, counted = rng.normal(size=(6000, 4)), []
+    norm = float(np.sqrt((x**2).sum(1)).max())
+    tree, asked = neighbours.build(x, np.arange(6000), norm, 20), np.arange(0, 6000, 60)
+    found = {}
+    for factor in (1.0, 1.5, 3.0):
+        einsum, seen = np.einsum, 0
+
+        def counting(*a, **k):
+            nonlocal seen
+            seen += len(a[1]) * len(a[2])
+            return einsum(*a, **k)
+
+        monkeypatch.setattr(np, "einsum", counting)
+        row, ids, scores = neighbours.search(tree, x[asked], asked, 20, factor)
+        monkeypatch.setattr(np, "einsum", einsum)
+        best = {}
+        for r, i, s in zip(row.tolist(), ids.tolist(), scores.tolist()):
+            best.setdefault(r, []).append((-s, i))
+        found[factor] = {(r, i) for r, v in best.items() for _, i in sorted(v)[:20]}
+        counted.append(seen)
+    exact = {(r, i) for r, q in enumerate(asked) for i in sorted((j for j in range(6000) if j != q), key=lambda j: (-(x[q] @ x[j]), j))[:20]}
+    assert found[1.0] == exact and counted[0] > counted[1] > counted[2]
+    assert len(found[1.5] & exact) >= 0.9 * len(exact)
+
+
+@pytest.mark.parametrize("page_id", [0, -1, 2**53, 10**12, 2**62, 2**63 - 1, -(2**63)])
+def test_warc_dates_of_any_id(llm, page_id):
+    other = page_id + 1 if page_id < 2**62 else page_id - 1
+    rows = [(page_id, "http://a.example/", "x", "clash", 7), (other, "http://a.example/", "x", "clash", 7), (page_id, "http://a.example/", "x", "clash", 7), (None, "http://a.example/", "y" * 200_000, "", 0)]
+    found = warc.captures(llm.createDataFrame(rows, "page_id long, url string, html string, page string, range int"), stage_folder(llm, "test-warc")).collect()
+    assert all(re.fullmatch(r"[12]\d{3}-\d\d-\d\dT\d\d:\d\d:\d\d\.\d{9}Z", r.date) for r in found) and len(found) == 4
+    order = [r.page_id for r in sorted(found, key=lambda r: (r.range, r.turn))]
+    assert order == [*sorted([page_id, other, page_id]), None]
+    assert {(r.page_id, r.record_type, r.refers_to) for r in found if r.page_id is not None} == {(min(page_id, other), "response", None), (max(page_id, other), "revisit", min(page_id, other))}
+
+
+def test_long_archives_are_read_in_linear_time():
+    content = b"".join(warc.member(bytes(str(i), "ascii") * 50) for i in range(30_000))
+    assert [plain for _, _, plain in warc.members(content)] == [bytes(str(i), "ascii") * 50 for i in range(30_000)]
+
+
+def test_suppression_equals_all_pairs_and_is_not_quadratic():
+    rng = random.Random(4)
+    parts = ["gnu general public license", "version 3", "or later", "licensed under the", "mit license", "apache license 2 0", "spdx license identifier mit", "cc by", "4 0", "word", "all rights reserved", "gpl", "copyright 2020 x"]
+    for _ in range(200):
+        words = " ".join(rng.choice(parts) for _ in range(rng.randint(1, 30))).encode()
+        places = [(m.start(), m.end(), rule) for keys, group in licenses._compiled() if any(k in words for k in keys) for rule, pattern in group for m in pattern.finditer(words)]
+        places.sort(key=lambda p: (p[2].priority, p[0] - p[1], p[0], p[2].label))
+        kept = []
+        for first, end, rule in places:
+            if not any(a <= first and end <= b for a, b, _ in kept):
+                kept.append((first, end, rule))
+        assert licenses.detections(words) == sorted(kept, key=lambda p: (p[0], p[1]))
+    times = []
+    for n in (20_000, 80_000):
+        start = time.process_time()
+        licenses.detections(b"licensed under the mit license and apache license 2 0 " * n)
+        times.append(time.process_time() - start)
+    assert times[1] < 8 * times[0] + 1
+
+
 def test_licenses(llm, odd_docs, no_docs):
     rows = {r.doc_id: r for r in licenses.scan_licenses(odd_docs).collect()}
     for r in odd_docs.collect():
