@@ -39,7 +39,7 @@ ROUND_BYTES = 32_000_000
 #: Distinct terms, and their bytes, that a task of the first pass holds.
 HELD_TERMS, HELD_BYTES = 200_000, 16_000_000
 #: Counters that a task of the second pass holds.
-HELD_CELLS = 6_000_000
+HELD_CELLS = 12_000_000
 #: Cells (sources times terms) of a block in which sources are compared.
 BLOCK_CELLS = 2_000_000
 #: Positions per key in a level of the perfect hash, and levels before keys are listed.
@@ -243,57 +243,77 @@ def _pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.array(cuts), np.array(rows)
 
 
+class Cells:
+    """Counters by language, source and slot: a dense row for each source, over the slots its language has met."""
+
+    def __init__(self, slots: int):
+        self.slots, self.size = slots, 0
+        self.index: dict[str, np.ndarray] = {}
+        self.met: dict[str, np.ndarray] = {}
+        self.rows: dict[tuple[str, str], np.ndarray] = {}
+
+    def add(self, lang: str, source: str, slots: np.ndarray) -> None:
+        if lang not in self.index:
+            self.index[lang], self.met[lang] = np.full(self.slots, -1, np.int32), np.empty(0, np.int64)
+            self.size += self.slots // 2
+        index = self.index[lang]
+        fresh = np.unique(slots[index[slots] < 0])
+        if len(fresh):
+            index[fresh] = np.arange(len(self.met[lang]), len(self.met[lang]) + len(fresh))
+            self.met[lang] = np.concatenate([self.met[lang], fresh])
+        row = self.rows.get((lang, source))
+        if row is None or len(row) < len(self.met[lang]):
+            room = np.zeros(min(self.slots, len(self.met[lang]) + len(self.met[lang]) // 4 + 64), np.int64)
+            if row is not None:
+                room[: len(row)] = row
+            self.size += len(room) - (0 if row is None else len(row))
+            row = self.rows[lang, source] = room
+        np.add.at(row, index[slots], 1)
+
+    def counts(self) -> Iterator[tuple[str, str, np.ndarray, np.ndarray]]:
+        for (lang, source), row in self.rows.items():
+            own = np.flatnonzero(row)
+            slots, n = self.met[lang][own], row[own]
+            order = np.argsort(slots)
+            yield lang, source, slots[order], n[order]
+
+
 def _recount(sent, shards: int, held: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashed = Round(sent.value, shards)
-        most = max(1, held // max(1, hashed.n))
-        cells = np.zeros((most, hashed.n), np.int64)
-        groups: dict[tuple[str, str], int] = {}
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            for (lang, source), g in groups.items():
-                own = np.flatnonzero(cells[g])
-                for shard, first, n in hashed.bases:
-                    part = own[(own >= first) & (own < first + n)]
-                    for at in range(0, len(part), 50_000):
-                        some = part[at : at + 50_000]
-                        yield pa.RecordBatch.from_arrays([
-                            pa.DictionaryArray.from_arrays(pa.array(np.zeros(len(some), np.int32)), pa.array([lang])).dictionary_decode(),
-                            pa.DictionaryArray.from_arrays(pa.array(np.zeros(len(some), np.int32)), pa.array([source])).dictionary_decode(),
-                            pa.array(np.full(len(some), shard, np.int32)), pa.array((some - first).astype(np.int32)), pa.array(cells[g][some]),
-                        ], names=["lang", "source", "shard", "slot", "n"])
-            groups.clear()
-            cells.fill(0)
-
+        edges = np.array([first for _, first, _ in hashed.bases])
+        numbers = np.array([shard for shard, _, _ in hashed.bases], np.int32)
+
+        def flush(cells: Cells) -> Iterator[pa.RecordBatch]:
+            for lang, source, slots, n in cells.counts():
+                for at in range(0, len(slots), 50_000):
+                    some = slots[at : at + 50_000]
+                    shard = np.searchsorted(edges, some, side="right") - 1
+                    names = [pa.repeat(pa.scalar(name, pa.string()), len(some)) for name in (lang, source)]
+                    yield pa.RecordBatch.from_arrays([*names, pa.array(numbers[shard]), pa.array((some - edges[shard]).astype(np.int32)), pa.array(n[at : at + 50_000])], names=["lang", "source", "shard", "slot", "n"])
+
+        cells = Cells(hashed.n)
         for batch in batches:
-            names = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+            langs, sources = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             raw, offsets = text_buffers(batch.column(2))
-            first = 0
-            while first < len(names):  # rows up to the one whose group finds no room
-                own = []
-                for name in names[first:]:
-                    if name not in groups:
-                        if len(groups) == most:
-                            break
-                        groups[name] = len(groups)
-                    own.append(groups[name])
-                for a, b in steps(offsets[first : first + len(own) + 1]):
-                    cut = offsets[first + a : first + b + 1]
-                    data = TERM_BYTES[raw[cut[0] : cut[-1]]]
-                    pieces, rows = _pieces(data, cut - cut[0])
-                    for c, d in steps(pieces):
-                        low, high = pieces[c], pieces[d]
-                        text = data[low:high]
-                        starts, ends, at = word_spans(text, pieces[c : d + 1] - low)
-                        slots = hashed.slots(text, starts, ends)
-                        group = np.repeat(np.array(own, np.int64)[a + rows[c:d]], np.diff(at))
-                        known = slots >= 0
-                        np.add.at(cells.reshape(-1), group[known] * hashed.n + slots[known], 1)
-                first += len(own)
-                if first < len(names):
-                    yield from flush()
+            for a, b in steps(offsets):
+                data = TERM_BYTES[raw[offsets[a] : offsets[b]]]
+                cut, rows = _pieces(data, offsets[a : b + 1] - offsets[a])
+                for c, d in steps(cut):
+                    text = data[cut[c] : cut[d]]
+                    starts, ends, at = word_spans(text, cut[c : d + 1] - cut[c])
+                    slots = hashed.slots(text, starts, ends)
+                    groups: dict[tuple[str, str], list[np.ndarray]] = {}
+                    for i, row in enumerate(rows[c:d].tolist()):
+                        groups.setdefault((langs[a + row], sources[a + row]), []).append(slots[at[i] : at[i + 1]])
+                    for (lang, source), parts in groups.items():
+                        own = np.concatenate(parts)
+                        cells.add(lang, source, own[own >= 0])
+                        if cells.size >= held:
+                            yield from flush(cells)
+                            cells = Cells(hashed.n)
             release_memory()
-        yield from flush()
+        yield from flush(cells)
 
     return run
 
