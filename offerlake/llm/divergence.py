@@ -41,7 +41,7 @@ HELD_TERMS, HELD_BYTES = 200_000, 16_000_000
 #: Counters that a task of the second pass holds.
 HELD_CELLS = 12_000_000
 #: Cells (sources times terms) of a block in which sources are compared.
-BLOCK_CELLS = 2_000_000
+BLOCK_CELLS = 100_000
 #: Positions per key in a level of the perfect hash, and levels before keys are listed.
 LOAD, LEVELS = 1.4, 40
 
