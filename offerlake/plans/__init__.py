@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-QUERY_MODULES = ("queries_pricing", "queries_validation", "queries_links", "queries_export", "queries_extract", "queries_images", "queries_tables")
+QUERY_MODULES = ("queries_pricing", "queries_validation", "queries_links", "queries_export", "queries_extract", "queries_images", "queries_tables", "queries_store")
 
 
 def load_queries() -> None:
