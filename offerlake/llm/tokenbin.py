@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import itertools
 import json
+import os
 import re
 import struct
 import uuid
@@ -40,17 +41,19 @@ from tokenizers import Regex, Tokenizer
 from tokenizers.pre_tokenizers import Split
 
 from offerlake.llm.bpe import class_table, pieces, spread
-from offerlake.llm.common import BYTE_VALUES, empty_text, packed, span_hashes, stage, text_buffers, text_steps
+from offerlake.llm.common import empty_text, packed, short_hashes, stage, text_buffers, text_steps
+
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the parallelism
 
 MAGIC = b"OLTB"
 VERSION = 1
 #: Ids in a file; a longer document has a file of its own.
 FILE_IDS = 2_000_000
 BLOCK_BYTES = 6_000_000
-#: Words of one call of the tokenizer; the cost of a word grows with the words of its call.
-CALL_WORDS = 200
-#: Words whose ids a worker keeps in each of two generations, and the bytes of the longest of them.
-KEPT_WORDS, KEPT_LENGTH = 250_000, 40
+#: Words of one text of the tokenizer, and texts of one call; the cost of a word grows with the words of its text.
+CALL_WORDS, CALLS = 200, 20
+#: Words whose ids a worker keeps, and the bytes of the longest of them.
+KEPT_WORDS, KEPT_LENGTH = 150_000, 40
 NULL_ID = -(1 << 63)
 
 #: Lengths of the four ids of every control byte.
@@ -115,35 +118,27 @@ def added_tokens(definition: str) -> tuple[re.Pattern | None, dict[bytes, int]]:
 
 
 class Words:
-    """Ids of words by the tokenizer. Answers of recent words are kept in two generations of bounded size."""
+    """Ids of words by the tokenizer. Answers are kept, and the older half goes when they are too many."""
 
     def __init__(self, definition: str):
         self.tokenizer, (self.special, self.special_ids) = Tokenizer.from_str(definition), added_tokens(definition)
-        self.young: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
-
-    def ids(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all words end to end, and how many each word has."""
-        young, old, found, missing = self.young, self.old, [], []
-        for i, word in enumerate(words):
-            answer = young.get(word)
-            if answer is None:
-                answer = old.get(word)
-                if answer is None:
-                    missing.append(i)
-                elif len(young) < KEPT_WORDS:
-                    young[word] = answer
-            found.append(answer)
-        for first in range(0, len(missing), CALL_WORDS):
-            part = missing[first : first + CALL_WORDS]
-            call = self.tokenizer.encode([words[i].decode() for i in part], is_pretokenized=True, add_special_tokens=False)
-            ids, ends = np.array(call.ids, np.uint32).tobytes(), np.cumsum(np.bincount(np.array(call.word_ids, np.int64), minlength=len(part))).tolist()
-            for i, a, b in zip(part, [0, *ends], ends, strict=False):
-                found[i] = ids[4 * a : 4 * b]
-                if len(words[i]) <= KEPT_LENGTH:
-                    if len(young) >= KEPT_WORDS:
-                        self.young, self.old = young, old = {}, young
-                    young[words[i]] = found[i]
+        self.kept: dict[bytes, bytes] = {}
+
+    def ids(self, words: list[bytes], repeated: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words end to end, and how many each word has; answers of the repeated ones are kept."""
+        found = list(map(self.kept.get, words))
+        missing = [i for i, answer in enumerate(found) if answer is None]
+        for first in range(0, len(missing), CALL_WORDS * CALLS):
+            parts = [missing[at : at + CALL_WORDS] for at in range(first, min(first + CALL_WORDS * CALLS, len(missing)), CALL_WORDS)]
+            calls = self.tokenizer.encode_batch_fast([[words[i].decode() for i in part] for part in parts], is_pretokenized=True, add_special_tokens=False)
+            for part, call in zip(parts, calls, strict=True):
+                ids, ends = np.array(call.ids, np.uint32).tobytes(), np.cumsum(np.bincount(np.array(call.word_ids, np.int64), minlength=len(part))).tolist()
+                for i, a, b in zip(part, [0, *ends], ends, strict=False):
+                    found[i] = ids[4 * a : 4 * b]
+        fresh = [i for i in missing if repeated[i] and len(words[i]) <= KEPT_LENGTH]
+        if len(self.kept) + len(fresh) > KEPT_WORDS:
+            self.kept = dict(itertools.islice(self.kept.items(), len(self.kept) // 2, None))
+        self.kept.update((words[i], found[i]) for i in fresh[: KEPT_WORDS - len(self.kept)])
         return np.frombuffer(b"".join(found), np.uint32), np.fromiter(map(len, found), np.int64, len(found)) // 4
 
 
@@ -184,7 +179,7 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _encode(definition: str, end_id: int, table: np.ndarray):
-    names = ["part", "turn", "before", "doc_id", "n_tokens", "ids"]
+    names = ["part", "turn", "before", "doc_id", "n_tokens", "ids", "seen"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, part, turn, before = _words(definition), TaskContext.get().partitionId(), 0, 0
@@ -192,8 +187,8 @@ def _encode(definition: str, end_id: int, table: np.ndarray):
             for low, high, data, offsets in text_steps(batch.column(1), 2 * BLOCK_BYTES):
                 raw = data.tobytes()
                 starts, ends, at = cut_texts(words, data, raw, offsets, table)
-                _, index, number = np.unique(span_hashes(BYTE_VALUES[data], starts, ends), return_index=True, return_inverse=True)
-                flat, lengths = words.ids([raw[a:b] for a, b in zip(starts[index].tolist(), ends[index].tolist(), strict=True)])
+                _, index, number, times = np.unique(short_hashes(data, starts, ends), return_index=True, return_inverse=True, return_counts=True)
+                flat, lengths = words.ids([raw[a:b] for a, b in zip(starts[index].tolist(), ends[index].tolist(), strict=True)], times > 1)
                 # one more word stands for the end of a document
                 flat, lengths = np.append(flat, np.uint32(end_id)), np.append(lengths, 1)
                 first = np.cumsum(lengths) - lengths
@@ -201,8 +196,12 @@ def _encode(definition: str, end_id: int, table: np.ndarray):
                 sums = np.concatenate([[0], np.cumsum(lengths[which])])
                 edges = sums[at + np.arange(len(at))]
                 ids, n, counts = flat[spread(first[which], lengths[which])], high - low, np.diff(edges)
+                # the first row of a step counts its ids, so that the corpus is not read again for their frequency
+                times = np.bincount(ids)
+                own = np.flatnonzero(times)
+                seen = [np.stack([own, times[own]]).astype("<i8").tobytes(), *[None] * (n - 1)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([part] * n, pa.int32()), pa.array(range(turn, turn + n), pa.int64()), pa.array(before + edges[:-1]), batch.column(0).slice(low, n), pa.array(counts), packed(ids.view(np.uint8), 4 * edges)],
+                    [pa.array([part] * n, pa.int32()), pa.array(range(turn, turn + n), pa.int64()), pa.array(before + edges[:-1]), batch.column(0).slice(low, n), pa.array(counts), packed(ids.view(np.uint8), 4 * edges), pa.array(seen, pa.binary())],
                     names=names,
                 )
                 turn, before = turn + n, before + int(edges[-1])
@@ -215,24 +214,24 @@ def encode_in_order(docs: DataFrame, definition: str, end_id: int = 0, text: str
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), empty_text(text).alias("text"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = rows.repartitionByRange(parts, F.asc_nulls_first("doc_id"), F.xxhash64("text")).sortWithinPartitions(F.asc_nulls_first("doc_id"), F.xxhash64("text"), "text")
-    return stage(ranged.mapInArrow(_encode(definition, end_id, classes()), "part int, turn long, before long, doc_id long, n_tokens long, ids binary"), "token-ids", tidy=True)
+    return stage(ranged.mapInArrow(_encode(definition, end_id, classes()), "part int, turn long, before long, doc_id long, n_tokens long, ids binary, seen binary"), "token-ids", tidy=True)
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(0, np.int64)
     for batch in batches:
-        data, _ = text_buffers(batch.column(0))
-        found = np.bincount(np.frombuffer(data.tobytes(), np.uint32)) if len(data) else np.zeros(0, np.int64)
-        if len(found) > len(total):
-            total = np.concatenate([total, np.zeros(len(found) - len(total), np.int64)])
-        total[: len(found)] += found
+        for blob in batch.column(0):
+            seen, times = np.frombuffer(blob.as_buffer(), "<i8").reshape(2, -1)
+            if len(seen) and seen[-1] >= len(total):
+                total = np.concatenate([total, np.zeros(int(seen[-1]) + 1 - len(total), np.int64)])
+            total[seen] += times
     seen = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], names=["id", "n"])
 
 
 def frequency_order(encoded: DataFrame) -> np.ndarray:
     """Ids by falling frequency, ties by id. As many rows as the vocabulary has ids at most."""
-    counts = encoded.select("ids").mapInArrow(_count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    counts = encoded.where("seen IS NOT NULL").select("seen").mapInArrow(_count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     found = sorted(((-r["n"], r["id"]) for r in counts.collect()))
     return np.array([i for _, i in found], np.uint32)
 
@@ -292,7 +291,7 @@ def write_files(encoded: DataFrame, folder: str) -> DataFrame:
     # one row per range, of which there are as many as shuffle partitions
     totals = sorted((r["part"], r["n"]) for r in encoded.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect())
     base_of = dict(zip((p for p, _ in totals), itertools.accumulate((n for _, n in totals), initial=0), strict=False))
-    rows = encoded.sortWithinPartitions("part", "turn").mapInArrow(_write(folder, rank_of, base_of), "file string, docs long, ids long")
+    rows = encoded.drop("seen").sortWithinPartitions("part", "turn").mapInArrow(_write(folder, rank_of, base_of), "file string, docs long, ids long")
     return stage(rows, "token-files")
 
 

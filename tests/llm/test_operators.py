@@ -17,7 +17,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from offerlake.llm import bpe, jaccard, lempelziv, licenses, mixing, neighbours, quality, queries, tokenbin, toxicity, warc
-from offerlake.llm.common import held_out, labelled_sample, stage_folder
+from offerlake.llm.common import held_out, labelled_sample, short_hashes, stage_folder
 from tests.oracle import compare, duck
 
 FOLDER, SMALL = "/root/testdata/sf0.01", "/root/testdata/sf0.001"
@@ -93,9 +93,9 @@ def test_kept_answers_stay_bounded(monkeypatch):
     rng = random.Random(6)
     for _ in range(30):
         some = [f"w{rng.randrange(20)}".encode() for _ in range(rng.randrange(30))] + [b"x" * 50]
-        ids, lengths = words.ids(some)
+        ids, lengths = words.ids(some, np.array([rng.random() < 0.7 for _ in some]))
         assert [ids[b - n : b].tolist() for n, b in zip(lengths, np.cumsum(lengths))] == [words.tokenizer.encode(w.decode(), add_special_tokens=False).ids for w in some]
-        assert max(len(words.young), len(words.old)) <= 5
+        assert len(words.kept) <= 5
 
 
 @pytest.mark.parametrize("table,ids", [
@@ -125,6 +125,17 @@ def test_classes_of_every_code_point(table, ids):
             assert [i for w in words for i in encode(w)] == list(encode(text)), hex(c)
 
 
+def test_short_hashes_tell_spans_apart():
+    rng = random.Random(3)
+    spans = [bytes(rng.randrange(3) for _ in range(rng.randrange(30))) for _ in range(4000)] + [b"", b"\0", b"\0" * 8, b"\0" * 9, b"x" * 100_000]
+    ends = np.cumsum([len(s) for s in spans])
+    found = short_hashes(np.frombuffer(b"".join(spans), np.uint8), ends - [len(s) for s in spans], ends)
+    by_hash = {}
+    for span, value in zip(spans, found.tolist()):
+        assert by_hash.setdefault(value, span) == span
+    assert len(by_hash) == len(set(spans))
+
+
 def test_byte_aligned_coding():
     ranks = np.array([0, 1, 255, 256, 65535, 65536, 1 << 24, (1 << 32) - 1, 7], np.uint32)
     for n in range(len(ranks) + 1):
