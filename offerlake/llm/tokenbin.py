@@ -123,16 +123,17 @@ class Words:
     def __init__(self, definition: str):
         self.tokenizer, (self.special, self.special_ids) = Tokenizer.from_str(definition), added_tokens(definition)
         self.kept: dict[bytes, bytes] = {}
+        self.mark = next(((t.decode(), i) for t, i in self.special_ids.items()), None)
+        self.special_answers = {t: np.array([i], np.uint32).tobytes() for t, i in self.special_ids.items()}
 
     def ids(self, words: list[bytes], repeated: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words end to end, and how many each word has; answers of the repeated ones are kept."""
+        self.kept.update(self.special_answers)
         found = list(map(self.kept.get, words))
         missing = [i for i, answer in enumerate(found) if answer is None]
         for first in range(0, len(missing), CALL_WORDS * CALLS):
             parts = [missing[at : at + CALL_WORDS] for at in range(first, min(first + CALL_WORDS * CALLS, len(missing)), CALL_WORDS)]
-            calls = self.tokenizer.encode_batch_fast([[words[i].decode() for i in part] for part in parts], is_pretokenized=True, add_special_tokens=False)
-            for part, call in zip(parts, calls, strict=True):
-                ids, ends = np.array(call.ids, np.uint32).tobytes(), np.cumsum(np.bincount(np.array(call.word_ids, np.int64), minlength=len(part))).tolist()
+            for part, (ids, ends) in zip(parts, self._encoded([[words[i].decode() for i in part] for part in parts]), strict=True):
                 for i, a, b in zip(part, [0, *ends], ends, strict=False):
                     found[i] = ids[4 * a : 4 * b]
         fresh = [i for i in missing if repeated[i] and len(words[i]) <= KEPT_LENGTH]
@@ -142,6 +143,24 @@ class Words:
         return np.frombuffer(b"".join(found), np.uint32), np.fromiter(map(len, found), np.int64, len(found)) // 4
 
 
+    def _encoded(self, parts: list[list[str]]) -> Iterator[tuple[bytes, list[int]]]:
+        """Ids of each list of words end to end, and where each word's end."""
+        if self.mark is None:
+            for part in parts:
+                call = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
+                yield np.array(call.ids, np.uint32).tobytes(), np.cumsum(np.bincount(np.array(call.word_ids, np.int64), minlength=len(part))).tolist()
+            return
+        # an added token between two words keeps them apart, and encodings need no offsets
+        mark, number = self.mark
+        for part, call in zip(parts, self.tokenizer.encode_batch_fast([mark.join(part) for part in parts], add_special_tokens=False), strict=True):
+            ids = np.array(call.ids, np.uint32)
+            cuts = np.flatnonzero(ids == number)
+            ends = np.append(cuts, len(ids)) - np.arange(len(cuts) + 1)
+            if len(ends) != len(part):
+                raise ValueError("the tokenizer does not keep words apart at its added token")
+            yield ids[ids != number].tobytes(), ends.tolist()
+
+
 @lru_cache(maxsize=1)
 def _words(definition: str) -> Words:
     return Words(definition)
