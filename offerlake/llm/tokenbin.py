@@ -41,7 +41,7 @@ from tokenizers import Regex, Tokenizer
 from tokenizers.pre_tokenizers import Split
 
 from offerlake.llm.bpe import class_table, pieces, spread
-from offerlake.llm.common import empty_text, packed, short_hashes, stage, text_buffers, text_steps
+from offerlake.llm.common import empty_text, packed, release_memory, short_hashes, stage, text_buffers, text_steps
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the parallelism
 
@@ -49,11 +49,11 @@ MAGIC = b"OLTB"
 VERSION = 1
 #: Ids in a file; a longer document has a file of its own.
 FILE_IDS = 2_000_000
-BLOCK_BYTES = 6_000_000
+BLOCK_BYTES = 4_000_000
 #: Words of one text of the tokenizer, and texts of one call; the cost of a word grows with the words of its text.
 CALL_WORDS, CALLS = 200, 20
 #: Words whose ids a worker keeps, and the bytes of the longest of them.
-KEPT_WORDS, KEPT_LENGTH = 150_000, 40
+KEPT_WORDS, KEPT_LENGTH = 100_000, 40
 NULL_ID = -(1 << 63)
 
 #: Lengths of the four ids of every control byte.
@@ -296,6 +296,8 @@ def _write(folder: str, rank_of: np.ndarray, base_of: dict[int, int]):
                 first = end
         if held:
             yield flush()
+        held = []
+        release_memory()
 
     return run
 
@@ -329,6 +331,8 @@ def _read(order: np.ndarray):
                         [pa.array(doc_ids[a:b], pa.int64(), mask=doc_ids[a:b] == NULL_ID), pa.array(start + ends[a:b] - counts[a:b]), pa.array(counts[a:b]), packed(ids[low : int(ends[b - 1])].view(np.uint8), edges)],
                         names=["doc_id", "start", "n_tokens", "ids"],
                     )
+                del ids, ranks
+                release_memory()
 
     return run
 
