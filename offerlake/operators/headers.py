@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from offerlake.functions import text as X
 from offerlake.functions.keys import position_numbers
 from offerlake.functions.numbers import currency_code, eu_decimal, textual_date
-from offerlake.rules.base import Registry
+from offerlake.rules.base import Registry, RuleSet
 from offerlake.rules.suppliers import SUPPLIER_NAMES
 
 
@@ -26,11 +26,15 @@ def provider_key(supplier_name: Column) -> Column:
 
 # --- classification -----------------------------------------------------------------------------
 
-def detect_template(text: Column, registry: Registry | None = None) -> Column:
-    """Key of the first rule set of ``registry`` (the package's own by default) whose predicate holds, else generic."""
+def _rules(registry: Registry | None) -> list[RuleSet]:
     from offerlake.rules.registry import REGISTRY
 
-    rules = (registry or REGISTRY).rules
+    return (registry or REGISTRY).rules
+
+
+def detect_template(text: Column, registry: Registry | None = None) -> Column:
+    """Key of the first rule set of ``registry`` (the package's own by default) whose predicate holds, else generic."""
+    rules = _rules(registry)
 
     def pick(low: Column) -> Column:
         key = None
@@ -216,10 +220,14 @@ def overlay_free(value: Column) -> Column:
     return X.blank_to_null(F.regexp_replace(X.normalize_line(value), r"(?i)\s+(?:Pla|Bit|lös)(?:\s+(?:Pla|Bit|lös))*\s*$", ""))
 
 
-def document_headers(doc_text: DataFrame) -> DataFrame:
-    """Template, type, number, date, project and reference per document text; a known template is taken as it is."""
+def document_headers(doc_text: DataFrame, registry: Registry | None = None) -> DataFrame:
+    """Template, type, number, date, project, reference and notes per document text.
+
+    A known template is taken as it is. Rule sets of ``registry`` with hooks have the last word on their documents.
+    """
+    rules = _rules(registry)
     text = X.normalize_text(F.col("text"))
-    template = F.col("template") if "template" in doc_text.columns else detect_template(F.col("text"))
+    template = F.col("template") if "template" in doc_text.columns else detect_template(F.col("text"), registry)
     base = doc_text.select("document_id", text.alias("text"), template.alias("template"))
     base = base.withColumns({
         "document_type": document_type(F.col("text"), F.col("template")),
@@ -228,8 +236,19 @@ def document_headers(doc_text: DataFrame) -> DataFrame:
         "date0": X.first_match(F.col("text"), DATE_PATTERNS),
         "project0": X.collapse(X.first_match(F.col("text"), PROJECT_PATTERNS)),
     })
-    return _refined(base).select(
-        "document_id", "template", "document_type", "document_number", "document_date", "project_ref",
+    refined = _refined(base)
+    fields = {c: F.col(c) for c in ("document_number", "document_date", "project_ref")}
+    notes = F.lit(None).cast("string")
+    for rule in rules:
+        own = F.col("template") == rule.key
+        if rule.refine is not None:
+            better = rule.refine(fields, F.col("text"))
+            fields = {c: F.when(own, better.get(c, old)).otherwise(old) for c, old in fields.items()}
+        if rule.notes is not None:
+            notes = F.when(own, rule.notes(F.col("text"))).otherwise(notes)
+    refined = refined.withColumns(fields | {"document_notes": notes})
+    return refined.select(
+        "document_id", "template", "document_type", "document_number", "document_date", "project_ref", "document_notes",
         offer_reference(F.col("text"), F.col("document_type"), F.col("project_ref")).alias("offer_reference"),
         currency_code(F.col("text")).alias("currency"),
     )
@@ -376,6 +395,16 @@ def generic_position_count(text: Column) -> Column:
     return F.regexp_count(X.normalize_text(text), F.lit("(?m)^Pos"))
 
 
+def position_count(text: Column, template: Column, registry: Registry | None = None) -> Column:
+    """Positions that a text announces: by the count of its rule set; of an unknown layout, by its position lines."""
+    clean = X.normalize_text(text)
+    found = F.when(template == "generic", F.regexp_count(clean, F.lit("(?m)^Pos")))
+    for rule in _rules(registry):
+        if rule.count is not None:
+            found = found.when(template == rule.key, rule.count(clean))
+    return found.otherwise(0).cast("long")
+
+
 def page_details(doc_text: DataFrame) -> DataFrame:
     """Order, positions and title printed on every page of a drawing document."""
     pages = doc_text.select("document_id", F.posexplode(X.split_pages(X.normalize_text(F.col("text")))).alias("page0", "page"))

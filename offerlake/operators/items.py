@@ -127,6 +127,15 @@ def typed_items(rows: DataFrame) -> DataFrame:
     )
 
 
+def component_rows(items: DataFrame) -> DataFrame:
+    """The priced components of positions, one row each in printed order."""
+    listed = items.select("document_id", "item_seq", F.posexplode("components").alias("place", "component"))
+    return listed.select(
+        "document_id", "item_seq", (F.col("place") + 1).alias("component_no"), F.col("component.label").alias("label"),
+        eu_decimal(F.col("component.amount_raw"), "decimal(14,2)").alias("amount"),
+    )
+
+
 def with_room_label(items: DataFrame) -> DataFrame:
     """Puts the room label in front of the long text unless it already leads it."""
     label = X.strip(F.coalesce("lv_pos", F.lit("")))

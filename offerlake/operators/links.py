@@ -86,6 +86,11 @@ def predecessor_links(documents: DataFrame) -> DataFrame:
     return joined.select("document_id", pick.alias("offer_id"))
 
 
+def automatic_links(documents: DataFrame) -> DataFrame:
+    """The partner of every confirmation and offer: (document_id, offer_id)."""
+    return confirmation_links(documents).unionByName(predecessor_links(documents))
+
+
 def resolve_links(documents: DataFrame, automatic: DataFrame) -> DataFrame:
     """Manual decisions, "no link" included, win over the automatic link."""
     joined = documents.select("document_id", "offer_link_manual", "manual_offer_id").join(
@@ -174,9 +179,9 @@ def candidate_counts(documents: DataFrame) -> DataFrame:
     )
 
 
-def supplier_names(templates: DataFrame) -> DataFrame:
-    """Printed supplier name of a detected rule key; 12 fixed rows as an expression."""
-    names = F.create_map(*[F.lit(v) for pair in SUPPLIER_NAMES.items() for v in pair])
+def supplier_names(templates: DataFrame, further: dict[str, str] | None = None) -> DataFrame:
+    """Printed supplier name of a detected rule key; a few fixed rows as an expression."""
+    names = F.create_map(*[F.lit(v) for pair in (SUPPLIER_NAMES | (further or {})).items() for v in pair])
     return templates.withColumn("supplier_name", F.try_element_at(names, F.col("template")))
 
 

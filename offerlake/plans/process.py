@@ -7,10 +7,10 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from offerlake.functions.numbers import german_date
 from offerlake.operators import amounts, headers, items, links, pricing
 from offerlake.operators.lines import text_rejects
 from offerlake.rules.base import Registry
-from offerlake.rules.blocks import delivery_items
 from offerlake.rules.registry import REGISTRY
 from offerlake.session import cut_lineage, shared_folder
 
@@ -22,32 +22,48 @@ def stage_by_template(doc_text: DataFrame, registry: Registry = REGISTRY) -> Dat
     """
     spark = doc_text.sparkSession
     path = shared_folder(spark, "texts")
-    doc_text.withColumn("template", headers.detect_template(F.col("text"), registry)).write.partitionBy("template").parquet(path)
-    return spark.read.parquet(path)
+    marked = doc_text.withColumn("template", headers.detect_template(F.col("text"), registry))
+    marked.write.partitionBy("template").parquet(path)
+    return spark.read.schema(marked.schema).parquet(path)  # also where no text is left
 
 
 def extract_items(staged: DataFrame, registry: Registry = REGISTRY) -> DataFrame:
-    """Raw items of all rule sets; a template without positions gives none."""
+    """Raw items of all rule sets, each over its own partition of the staged texts; a template without positions gives none."""
     parts = []
     for rule in registry.rules:
         if rule.shape is None and rule.custom is None:
             continue
         texts = staged.where(F.col("template") == rule.key)
         rows = items.raw_items(texts, rule)
-        if rule.key == "rieder":
-            rows = rows.unionByName(delivery_items(texts, rows), allowMissingColumns=True).fillna(False, ["is_alternative"])
+        if rule.delivery is not None:
+            rows = rows.unionByName(rule.delivery(texts, rows), allowMissingColumns=True).fillna(False, ["is_alternative"])
         parts.append(rows.withColumn("template", F.lit(rule.key)))
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
+def _priced(typed: DataFrame, profile: DataFrame, groups: DataFrame, registry: Registry) -> DataFrame:
+    """Positions by the pricing of their rule set; a branch reads the rows of its own rule sets only."""
+    own = lambda kind: typed.where(F.col("template").isin(*registry.keys(pricing=kind)))
+    # the supplier of a position is known from its rule set
+    chained = own("chain")
+    suppliers = chained.select("document_id", F.col("template").alias("provider_key")).distinct()
+    branches = [pricing.price_by_chain(chained, profile, suppliers)]
+    if registry.keys(pricing="line"):
+        branches.append(pricing.price_by_line_discount(own("line")))
+    if registry.keys(pricing="groups"):
+        branches.append(pricing.price_with_fallback(own("groups"), profile, groups))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), branches)
+
+
 def process_texts(doc_text: DataFrame, registry: Registry = REGISTRY) -> dict[str, DataFrame]:
-    """documents, amount_lines, line_items and rejects of a batch of texts."""
+    """documents, amount_lines, line_items, components and rejects of a batch of texts."""
     texts, rejects = text_rejects(doc_text.select("document_id", "text"))
     staged = stage_by_template(texts, registry)
-    head = headers.document_headers(staged)
+    head = headers.document_headers(staged, registry)
     totals = headers.document_totals(staged)
     templates = staged.select("document_id", "template")
-    groups = amounts.discount_groups(staged.where("template = 'schlotterer'"))
+    grouped = F.col("template").isin(*registry.keys(pricing="groups")) if registry.keys(pricing="groups") else F.lit(False)
+    groups = amounts.discount_groups(staged.where(grouped))
     groups = groups.withColumn("key", pricing.group_key(F.col("label")))
     raw_amounts = amounts.amount_rows(amounts.extract_amount_lines(staged), templates)
     expanded = amounts.expand_group_discounts(raw_amounts, groups)
@@ -56,23 +72,22 @@ def process_texts(doc_text: DataFrame, registry: Registry = REGISTRY) -> dict[st
     profile = amounts.condition_profile(amount_lines)
 
     typed = cut_lineage(items.typed_items(items.numbered(extract_items(staged, registry))))
-    # the supplier of a position is known from its rule set; pricing branches read their own rows only
-    suppliers = templates.select("document_id", F.col("template").alias("provider_key"))
-    chain = pricing.price_by_chain(typed.where(~F.col("template").isin("schachermayer", "schlotterer")), profile, suppliers)
-    by_line = pricing.price_by_line_discount(typed.where("template = 'schachermayer'"))
-    by_group = pricing.price_with_fallback(typed.where("template = 'schlotterer'"), profile, groups)
-    priced = chain.unionByName(by_line, allowMissingColumns=True).unionByName(by_group, allowMissingColumns=True)
-    labelled = items.with_room_label(priced.where("template = 'schuchter'")).unionByName(
-        priced.where("template <> 'schuchter'"), allowMissingColumns=True
-    )
+    priced = _priced(typed, profile, groups, registry)
+    if rooms := registry.keys(room_labels=True):
+        labelled = F.col("template").isin(*rooms)
+        priced = items.with_room_label(priced.where(labelled)).unionByName(priced.where(~labelled), allowMissingColumns=True)
     counts = typed.groupBy("document_id").agg(F.count("*").alias("position_count"))
+    announced = staged.select("document_id", headers.position_count(F.col("text"), F.col("template"), registry).alias("announced"))
     has_totals = F.coalesce("net_total", "vat_total", "gross_total").isNotNull()
+    names = {r.key: r.supplier_name for r in registry.rules}
     documents = (
-        links.supplier_names(head).join(totals, "document_id").join(counts, "document_id", "left").fillna(0, ["position_count"])
+        links.supplier_names(head, names).join(totals, "document_id").join(announced, "document_id").join(counts, "document_id", "left")
+        .withColumn("position_count", F.coalesce("position_count", "announced"))
+        .withColumn("document_date", german_date(F.col("document_date")))
         .withColumn("parse_confidence", headers.parse_confidence(F.col("template"), F.col("position_count"), has_totals))
-        .withColumn("status", F.lit("processed"))
+        .withColumns({"status": F.lit("processed"), "approval_status": F.lit("pending")}).drop("announced")
     )
     return {
-        "documents": documents, "amount_lines": amount_lines, "line_items": labelled.drop("operations", "discount_percent", "effective_factor"),
-        "rejects": rejects,
+        "documents": documents, "amount_lines": amount_lines, "line_items": priced.drop("operations", "discount_percent", "effective_factor", "components"),
+        "components": items.component_rows(typed), "rejects": rejects,
     }

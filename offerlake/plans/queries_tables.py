@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from offerlake.functions import numbers as N
 from offerlake.functions import text as X
 from offerlake.operators import amounts, changes, headers, pricing, quality, store
+from offerlake.operators.snapshot import TableSet
 from offerlake.plans.catalog import query
 from offerlake.plans.queries_links import LINKS_SQL, _links
 from offerlake.plans.views import Tables
@@ -128,10 +129,10 @@ UNION ALL SELECT document_id, item_seq, CAST(line_total + 1 AS DOUBLE) FROM line
 def _(t):
     rows = t.line_items.select("document_id", "item_seq", "line_total")
     fresh = rows.where("document_id % 2 = 1").withColumn("line_total", (F.col("line_total") + 1).cast("decimal(14,2)"))
-    folder = shared_folder(rows.sparkSession, "replaced")
-    store.replace_documents(rows, rows.select("document_id"), folder)
-    store.replace_documents(fresh, fresh.select("document_id"), folder)
-    return rows.sparkSession.read.parquet(folder).select("document_id", "item_seq", F.col("line_total").cast("double").alias("line_total"))
+    tables = TableSet(t.spark, shared_folder(t.spark, "replaced"))
+    tables.replace({"rows": rows}, rows)
+    tables.replace({"rows": fresh}, fresh)
+    return tables.table("rows").select("document_id", "item_seq", F.col("line_total").cast("double").alias("line_total"))
 
 
 @query("audit_rows", "SNK-11", """

@@ -26,6 +26,10 @@ class RuleSet:
     refine: (header columns, normalised text) to better header columns.
     after: pass over all items of a document.
     custom: document texts to item rows, instead of is_start and shape.
+    notes: normalised text to the notes of a document.
+    delivery: (document texts, item rows) to further item rows.
+    pricing: how positions come to their prices: by the "chain" of printed conditions, by the "line", by printed discount "groups".
+    room_labels: the code of a position leads its long text.
     """
 
     key: str
@@ -42,6 +46,9 @@ class RuleSet:
     notes: Callable[[Column], Column] | None = None
     after: Callable[[DataFrame], DataFrame] | None = None
     custom: Callable[[DataFrame], DataFrame] | None = None
+    delivery: Callable[[DataFrame, DataFrame], DataFrame] | None = None
+    pricing: str = "chain"
+    room_labels: bool = False
 
 
 @dataclass
@@ -56,5 +63,9 @@ class Registry:
         at = len(self.rules) if before is None else [r.key for r in self.rules].index(before)
         self.rules.insert(at, rule)
 
+    def keys(self, **having: object) -> list[str]:
+        """Keys of the rule sets whose fields have these values."""
+        return [r.key for r in self.rules if all(getattr(r, name) == value for name, value in having.items())]
+
     def get(self, key: str) -> RuleSet:
         return next(r for r in self.rules if r.key == key)

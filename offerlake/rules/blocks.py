@@ -92,7 +92,8 @@ RIEDER = RuleSet(
     "rieder", SUPPLIER_NAMES["rieder"],
     lambda low: low.contains("rieder-zillertal.at") | low.contains("ku.pos.:")
     | (low.contains("rieder") & low.contains("angebot:") & low.contains("kommission")),
-    like(RIEDER_START), _rieder,
+    like(RIEDER_START), _rieder, delivery=lambda texts, rows: delivery_items(texts, rows),
+    count=lambda text: F.regexp_count(text, F.lit(r"(?m)^Position:\s*\d+")),
 )
 
 
@@ -395,7 +396,7 @@ def _schuchter(blocks: DataFrame) -> DataFrame:
 SCHUCHTER = RuleSet(
     "schuchter", SUPPLIER_NAMES["schuchter"],
     lambda low: low.contains("schuchter fenster gmbh") & X.contains_any(low, ("auftragsbestätigung", "angebot", "angebotsnummer", "pos.")),
-    lambda line, following: (line == "Pos.") & F.regexp_like(following, F.lit(SCHUCHTER_ROW)), _schuchter, filled_only=True,
+    lambda line, following: (line == "Pos.") & F.regexp_like(following, F.lit(SCHUCHTER_ROW)), _schuchter, filled_only=True, room_labels=True,
 )
 
 # --- schlotterer: three row shapes, components, page carry, parents of alternatives -------------
@@ -517,5 +518,5 @@ SCHLOTTERER = RuleSet(
     "schlotterer", SUPPLIER_NAMES["schlotterer"],
     lambda low: low.contains("schlotterer sonnenschutz systeme gmbh") & X.contains_any(
         low, ("auftragsbestätigung:", "angebot:", "angebotsnummer", "gesamt nettosumme")),
-    lambda line, following: is_slat_row(line), _slats, per_page=True, filled_only=True, after=pair_alternatives,
+    lambda line, following: is_slat_row(line), _slats, per_page=True, filled_only=True, after=pair_alternatives, pricing="groups",
 )

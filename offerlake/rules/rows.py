@@ -114,13 +114,19 @@ def _koch(blocks: DataFrame) -> DataFrame:
     )
 
 
+def _koch_notes(text: Column) -> Column:
+    from offerlake.operators.headers import document_notes
+
+    return document_notes(text)
+
+
 KOCH = RuleSet(
     "koch", SUPPLIER_NAMES["koch"],
     lambda low: low.contains("koch türen gmbh") & low.contains("objekt:") & (
         (low.contains("angebotsnummer:") & low.contains("angebotsdatum:"))
         | (low.contains("auftragsnummer:") & low.contains("auftragsdatum:"))
     ),
-    like(KOCH_ROW), _koch,
+    like(KOCH_ROW), _koch, notes=_koch_notes,
 )
 
 KOCH_DETAIL = RuleSet(
@@ -191,7 +197,7 @@ def _schachermayer(blocks: DataFrame) -> DataFrame:
 SCHACHERMAYER = RuleSet(
     "schachermayer", SUPPLIER_NAMES["schachermayer"],
     lambda low: low.contains("schachermayer gmbh") & (low.contains("angebots-nr.") | low.contains("auftragsnummer")),
-    like(SCHACHERMAYER_ROW), _schachermayer, headings=True,
+    like(SCHACHERMAYER_ROW), _schachermayer, headings=True, pricing="line",
 )
 
 # --- alu_one: one header row, alternative heading before it -------------------------------------
