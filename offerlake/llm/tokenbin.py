@@ -32,6 +32,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
@@ -49,7 +50,7 @@ MAGIC = b"OLTB"
 VERSION = 1
 #: Ids in a file; a longer document has a file of its own.
 FILE_IDS = 2_000_000
-BLOCK_BYTES = 4_000_000
+BLOCK_BYTES = 5_000_000
 #: Words of one text of the tokenizer, and texts of one call; the cost of a word grows with the words of its text.
 CALL_WORDS, CALLS = 200, 20
 #: Words whose ids a worker keeps, and the bytes of the longest of them.
@@ -206,9 +207,12 @@ def _encode(definition: str, end_id: int, table: np.ndarray):
             for low, high, data, offsets in text_steps(batch.column(1), 2 * BLOCK_BYTES):
                 raw = data.tobytes()
                 starts, ends, at = cut_texts(words, data, raw, offsets, table)
-                _, index, number, times = np.unique(short_hashes(data, starts, ends), return_index=True, return_inverse=True, return_counts=True)
+                number, distinct = pd.factorize(short_hashes(data, starts, ends))
+                index, times = np.empty(len(distinct), np.int64), np.bincount(number, minlength=len(distinct))
+                index[number[::-1]] = np.arange(len(number))[::-1]  # the first place of each
                 flat, lengths = words.ids([raw[a:b] for a, b in zip(starts[index].tolist(), ends[index].tolist(), strict=True)], times > 1)
                 # one more word stands for the end of a document
+                del raw, data, starts, ends, index, distinct
                 flat, lengths = np.append(flat, np.uint32(end_id)), np.append(lengths, 1)
                 first = np.cumsum(lengths) - lengths
                 which = np.insert(number, at[1:], len(lengths) - 1)
