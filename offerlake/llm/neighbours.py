@@ -77,14 +77,21 @@ def search(tree: dict, queries: np.ndarray, own: np.ndarray, k: int, factor: flo
     def offer(at: np.ndarray, rows: np.ndarray) -> None:
         # row-wise sums: the same pair gives the same number wherever it is met
         scores = np.einsum("qd,rd->qr", queries[at], vectors[rows], optimize=False)
-        entry = np.broadcast_to(rows, scores.shape).copy()
         self_only = single[rows][None, :] & (smallest[rows][None, :] == own[at][:, None])
-        scores[self_only], entry[self_only] = -np.inf, -1
+        scores[self_only] = -np.inf
+        # most queries hold k better ones already; only a score below the worst held is out, so neither a tie nor a not-a-number
+        open_ = ~(scores.max(axis=1) < best[at, k - 1])
+        at, scores, self_only = at[open_], scores[open_], self_only[open_]
+        if not len(at):
+            return
+        entry = np.where(self_only, -1, rows[None, :])
         scores = np.concatenate([best[at], scores], axis=1)
         entry = np.concatenate([which[at], entry], axis=1)
         name = np.where(entry >= 0, smallest[entry], np.iinfo(np.int64).max)
         # as Spark and SQL order doubles: not-a-number above infinity
-        top = np.lexsort((name, -scores, ~np.isnan(scores)), axis=1)[:, :k]
+        missing = np.isnan(scores)
+        keys = (name, -scores, ~missing) if missing.any() else (name, -scores)
+        top = np.lexsort(keys, axis=1)[:, :k]
         best[at], which[at] = np.take_along_axis(scores, top, 1), np.take_along_axis(entry, top, 1)
 
     def reach(at: np.ndarray) -> np.ndarray:
