@@ -50,11 +50,11 @@ MAGIC = b"OLTB"
 VERSION = 1
 #: Ids in a file; a longer document has a file of its own.
 FILE_IDS = 2_000_000
-BLOCK_BYTES = 5_000_000
+BLOCK_BYTES = 6_000_000
 #: Words of one text of the tokenizer, and texts of one call; the cost of a word grows with the words of its text.
 CALL_WORDS, CALLS = 200, 20
 #: Words whose ids a worker keeps, and the bytes of the longest of them.
-KEPT_WORDS, KEPT_LENGTH = 100_000, 40
+KEPT_WORDS, KEPT_LENGTH = 200_000, 40
 NULL_ID = -(1 << 63)
 
 #: Lengths of the four ids of every control byte.
@@ -336,7 +336,7 @@ def _read(order: np.ndarray):
                         names=["doc_id", "start", "n_tokens", "ids"],
                     )
                 del ids, ranks
-                release_memory()
+        release_memory()
 
     return run
 
