@@ -8,13 +8,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from offerlake import schemas as S
-from offerlake.operators import export, load, store
+from offerlake.operators import items, load, store
 from offerlake.operators.snapshot import TableSet
 from offerlake.plans.catalog import query
 from offerlake.plans.queries_export import EXPORTED_AT
+from offerlake.plans.process import extract_items, stage_by_template
+from offerlake.plans.render import CONFIRMING, MIXED, rendered_mixed
 from offerlake.plans.views import Tables
+from offerlake.rules.suppliers import SUPPLIER_NAMES
 from offerlake.session import shared_folder
 from offerlake.sources import files
+from offerlake.streaming.jobs import document_tables, fold_batch, process_batch
 
 
 def _four_tables(t: Tables) -> dict[str, DataFrame]:
@@ -216,3 +220,54 @@ def _(t):
     for _ in range(2):
         store.append_once(rows, path, "audit_key", "created_at")
     return t.spark.read.parquet(path).select("audit_key", "actor_username", "action", "details_json")
+
+
+# --- the document job over a mixed corpus ---------------------------------------------------------
+
+_MIXED_SQL = "[" + ", ".join(f"{{'key': '{k}', 'name': '{SUPPLIER_NAMES[k]}', 'confirms': {str(k in CONFIRMING).lower()}}}" for k in MIXED) + "]"
+MIXED_SQL = f"""
+, mixed AS (
+  SELECT d.document_id, ({_MIXED_SQL})[CAST(d.document_id % {len(MIXED)} AS INTEGER) + 1] AS e, '2' || lpad(CAST(d.document_id AS VARCHAR), 7, '0') AS number,
+         (d.document_id // {len(MIXED)}) % 2 = 1 AS odd, '2' || lpad(CAST(d.document_id - {len(MIXED)} AS VARCHAR), 7, '0') AS before, CAST(d.document_date AS VARCHAR) AS day, d.net_total
+  FROM docs d JOIN order_sums USING (document_id)
+)"""
+
+
+@query("mixed_corpus_documents", "STR-01 LI-21 DOC-01 DOC-03 DOC-05 DOC-08 DOC-11 DOC-12 FN-07 LNK-01 UDF-01 MUT-01", MIXED_SQL + f"""
+, counted AS (SELECT document_id, COUNT(*) AS n FROM line_items GROUP BY document_id)
+SELECT m.document_id, e.key AS template, e.name AS supplier_name, CASE WHEN e.confirms AND odd THEN 'auftragsbestaetigung' ELSE 'angebot' END AS document_type, number AS document_number, day AS document_date,
+       'Haus ' || m.document_id AS project_ref, CASE WHEN e.confirms AND odd THEN before END AS offer_reference, CAST(m.net_total AS DOUBLE) AS net_total, n AS position_count, 0.99::DOUBLE AS parse_confidence,
+       CASE WHEN e.confirms AND odd THEN CAST(o.document_id AS DOUBLE) END AS offer_id
+FROM mixed m JOIN counted USING (document_id) LEFT JOIN order_sums o ON o.document_id = m.document_id - {len(MIXED)}""")
+def _(t):
+    """The inbox job in two batches: first the documents with an even id, then the others, the last of the first once more."""
+    tables, texts = document_tables(t.spark, shared_folder(t.spark, "inbox")), rendered_mixed(t)
+    again = F.col("document_id") % 10 == 0
+    process_batch(texts.where("document_id % 2 = 0").withColumn("text", F.when(again, F.concat(F.lit("Angebot: alt\n"), "text")).otherwise(F.col("text"))), tables, batch=0)
+    process_batch(texts.where((F.col("document_id") % 2 == 1) | again), tables, batch=1)
+    rows = tables.table("documents").join(tables.table("links").select("document_id", "offer_id"), "document_id", "left")
+    return rows.select(
+        "document_id", "template", "supplier_name", "document_type", "document_number", F.col("document_date").cast("string").alias("document_date"), "project_ref", "offer_reference",
+        "position_count", *[F.col(c).cast("double").alias(c) for c in ("net_total", "parse_confidence", "offer_id")],
+    )
+
+
+@query("mixed_corpus_items", "LI-21 UDF-01 LI-17", MIXED_SQL + """
+SELECT i.document_id, e.key AS template, CAST(ROW_NUMBER() OVER (PARTITION BY i.document_id ORDER BY item_seq) AS INTEGER) AS item_seq, CAST(quantity AS DOUBLE) AS quantity, CAST(line_total AS DOUBLE) AS line_total, page_ref
+FROM line_items i JOIN mixed USING (document_id)""")
+def _(t):
+    rows = items.typed_items(items.numbered(extract_items(stage_by_template(rendered_mixed(t)))))
+    return rows.select("document_id", "template", "item_seq", F.col("quantity").cast("double").alias("quantity"), F.col("line_total").cast("double").alias("line_total"), "page_ref")
+
+
+@query("folded_field_values", "STR-02 MUT-02", """
+, newest AS (SELECT document_id, line_item_id, sub_key, field, arg_max(value, ts) AS value, MAX(ts) AS changed_at FROM change_log GROUP BY ALL)
+SELECT document_id, line_item_id, sub_key, field, value, strftime(changed_at, '%Y-%m-%d %H:%M:%S') AS ts FROM newest""")
+def _(t):
+    """The log in three batches, its oldest third last, and one batch twice."""
+    tables, log = TableSet(t.spark, shared_folder(t.spark, "changes")), t.change_log
+    third = F.pmod(F.xxhash64("ts", "document_id"), F.lit(3))
+    for batch, part in enumerate((2, 1, 0)):
+        for _ in range(1 + batch % 2):
+            fold_batch(log.where(third == part), tables, batch=batch)
+    return tables.table("field_values").drop("actor").withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))

@@ -87,14 +87,14 @@ def _block(key: str) -> Column:
     raise ValueError(key)
 
 
-def rendered(t: Tables, key: str) -> DataFrame:
-    """doc_text of every order with positions in the layout of one supplier."""
+def _assembled(t: Tables, block: Column, head: DataFrame | str) -> DataFrame:
+    """doc_text of every order with positions; ``head`` is a text or a frame (document_id, head)."""
     rows = t.line_items.select(
-        "document_id", F.struct("item_seq", "page_ref", _block(key).alias("block")).alias("row")
+        "document_id", F.struct("item_seq", "page_ref", block.alias("block")).alias("row")
     )
-    # a fixed partition count: the texts are small but costly to read, and adaptive merging by
-    # size would put them all into one task; the grouping reuses this exchange
-    spread = rows.repartition(int(t.spark.conf.get("spark.sql.shuffle.partitions")), "document_id")
+    # the texts are small but costly to read: without a rule of their own, adaptive merging by size would put them
+    # all into one task (session.DEFAULTS keeps small partitions apart); the grouping reuses this exchange
+    spread = rows.repartition("document_id")
     listed = spread.groupBy("document_id").agg(F.array_sort(F.collect_list("row")).alias("rows"))
 
     def place(bound: Column) -> Column:
@@ -113,6 +113,60 @@ def rendered(t: Tables, key: str) -> DataFrame:
         F.lit("\nGesamt Nettosumme EUR "), eu_format("net_total"), F.lit("\nMwSt 20 % EUR "), eu_format("vat_total"),
         F.lit("\nAngebotssumme EUR "), eu_format("gross_total"), F.lit("\n"),
     )
-    return listed.select("document_id", body.alias("body")).join(sums, "document_id").select(
-        "document_id", F.concat(F.lit(HEADS[key] + "\n"), "body", tail).alias("text")
-    )
+    joined = listed.select("document_id", body.alias("body")).join(sums, "document_id")
+    joined = joined.withColumn("head", F.lit(head)) if isinstance(head, str) else joined.join(head, "document_id")
+    return joined.select("document_id", F.concat("head", F.lit("\n"), "body", tail).alias("text"))
+
+
+def rendered(t: Tables, key: str) -> DataFrame:
+    """doc_text of every order with positions in the layout of one supplier."""
+    return _assembled(t, _block(key), HEADS[key])
+
+
+# --- a mixed corpus -----------------------------------------------------------------------------
+
+MIXED = tuple(HEADS)
+#: Suppliers whose every second document is a confirmation of the offer before it.
+CONFIRMING = ("muigg", "entholzer", "schuchter")
+#: First lines per supplier around the document number, as offer and as confirmation.
+FIRST_LINES = {
+    "rieder": "www.rieder-zillertal.at\nAngebot: {0}", "muigg": "Schlosserei www.muigg.at\nANGEBOT Nr. {0}", "entholzer": "Entholzer Fenster\nAngebot: {0}",
+    "koch": "Koch Türen GmbH\nObjekt: Haus\nAngebotsnummer: {0}\nAngebotsdatum: {1}", "schachermayer": "Schachermayer GmbH\nAngebots-Nr. {0}",
+    "alu_one": "alu-one Metallbaupartner GmbH\nAngebot\nNummer: {0}", "newo": "NEWO-Sachbearbeiter: Huber\nAngebotsnummer: {0}",
+    "sr_schauraum": "SR. Schauraum GmbH\nProjekt KI-PDF-Reader\nBeschreibung Menge Betrag\nAngebot: {0}", "rekord_vomp": "Rekord Vomp GmbH\nAngebot : {0}\nBelegdatum: {1}\nBauvorhaben: Haus",
+    "schuchter": "SCHUCHTER Fenster GmbH\nANGEBOT {0}", "schlotterer": "Schlotterer Sonnenschutz Systeme GmbH\nAngebot: {0}",
+}
+CONFIRMED_LINES = {
+    "muigg": "Schlosserei www.muigg.at\nAUFTRAGSBESTÄTIGUNG {0}", "entholzer": "Entholzer Fenster\nAuftragsbestätigung: {0}", "schuchter": "SCHUCHTER Fenster GmbH\nAUFTRAGSBESTÄTIGUNG {0}",
+}
+
+
+def mixed_number(document_id: Column) -> Column:
+    return F.concat(F.lit("2"), F.lpad(document_id.cast("string"), 7, "0"))
+
+
+def _filled(template: str, number: Column, day: Column) -> Column:
+    parts = []
+    for at, piece in enumerate(template.replace("{0}", "\0n\0").replace("{1}", "\0d\0").split("\0")):
+        parts.append(F.lit(piece) if at % 2 == 0 else number if piece == "n" else day)
+    return F.concat(*parts)
+
+
+def rendered_mixed(t: Tables) -> DataFrame:
+    """doc_text of every order, each in the layout of its supplier (by id), confirmations among them.
+
+    One pass: the layout is chosen per row, so the order lines are read once for all suppliers.
+    """
+    turn = F.col("document_id") % len(MIXED)
+    block = F.coalesce(*[F.when(turn == i, _block(key)) for i, key in enumerate(MIXED)])
+    number, day = mixed_number(F.col("document_id")), F.date_format("document_date", "dd.MM.yyyy")
+    confirms = (F.col("document_id") / len(MIXED)).cast("long") % 2 == 1
+    lines = []
+    for i, key in enumerate(MIXED):
+        offer = _filled(FIRST_LINES[key], number, day)
+        if key in CONFIRMING:
+            before = mixed_number(F.col("document_id") - len(MIXED))
+            offer = F.when(confirms, F.concat(_filled(CONFIRMED_LINES[key], number, day), F.lit("\nzu Angebot: "), before)).otherwise(offer)
+        lines.append(F.when(turn == i, offer))
+    head = F.concat(F.coalesce(*lines), F.lit("\nKommission: Haus "), F.col("document_id").cast("string"), F.lit("\nDatum: "), day)
+    return _assembled(t, block, t.documents.select("document_id", head.alias("head")))
