@@ -13,6 +13,7 @@ from offerlake.operators.windows import per_document
 from offerlake.rules.base import RuleSet
 from offerlake.rules.rows import description, head, like, lines_of, rest
 from offerlake.rules.suppliers import SUPPLIER_NAMES
+from offerlake.session import cut_lineage
 
 NO_TEXTS = "array<string>"
 
@@ -482,36 +483,60 @@ def _slats(blocks: DataFrame) -> DataFrame:
     )
 
 
-def near_key(left: Column, right: Column) -> Column:
-    """Two customer position keys that differ by a typing slip."""
-    short = F.length(left) <= 6
-    places = F.sequence(F.lit(1), F.greatest(F.length(left), F.lit(1)))
-    misses = F.size(F.filter(places, lambda i: F.substr(left, i, F.lit(1)) != F.substr(right, i, F.lit(1))))
-    same_length = F.length(left) == F.length(right)
-    one_off = (F.abs(F.length(left) - F.length(right)) == 1) & (F.levenshtein(left, right) == 1)
-    return (left != "") & (right != "") & ((same_length & (misses <= F.when(short, 2).otherwise(1))) | one_off)
+#: Keys up to this length may differ in two places, longer ones in one.
+SHORT_KEY = 6
+
+
+def slip_marks(key: Column) -> Column:
+    """(mark, role) of a key: two different keys that a typing slip parts share a mark with fitting roles, no others do.
+
+    A slip is another sign in one place (in two of a short key; role 0 on both sides), or one sign more or less:
+    the longer key has the shorter one among itself without a sign (roles 1 and 2).
+    """
+    size = F.length(key)
+    places = F.sequence(F.lit(1), size)
+    without = lambda text, i: F.concat(F.substr(text, F.lit(1), i - 1), F.substr(text, i + 1, F.length(text)))
+    name = lambda *parts: F.concat_ws(":", *[p if isinstance(p, Column) else F.lit(p) for p in parts])
+    mark = lambda text, role: F.struct(text.alias("mark"), F.lit(role).alias("role"))
+    one = F.transform(places, lambda i: mark(name("s", size.cast("string"), i.cast("string"), without(key, i)), 0))
+    two = F.flatten(F.transform(F.filter(places, lambda j: j > 1), lambda j: F.transform(
+        F.sequence(F.lit(1), j - 1), lambda i: mark(name("p", size.cast("string"), i.cast("string"), j.cast("string"), without(without(key, j), i)), 0))))
+    shorter = F.transform(places, lambda i: mark(name("d", without(key, i)), 1))
+    same = F.when(size > SHORT_KEY, one).when(size <= 2, F.array(mark(name("l", size.cast("string")), 0))).otherwise(two)
+    return F.when(size > 0, F.array_distinct(F.concat(same, shorter, F.array(mark(name("d", key), 2)))))
+
+
+def near_keys(wanted: DataFrame, known: DataFrame) -> DataFrame:
+    """(document_id, key, target) where exactly one known key of the document is a slip away; both hold distinct (document_id, key).
+
+    An equality join over marks, whose number grows with the keys and their length.
+    """
+    left = wanted.select("document_id", "key", F.inline(slip_marks(F.col("key"))))
+    right = known.select("document_id", F.col("key").alias("other"), F.inline(slip_marks(F.col("key"))).alias("mark", "other_role"))
+    pairs = left.join(right, ["document_id", "mark"]).where((F.col("role") + F.col("other_role") == 3) | ((F.col("role") == 0) & (F.col("other_role") == 0)))
+    return pairs.groupBy("document_id", "key").agg(F.min("other").alias("target"), F.max("other").alias("_last")).where("target = _last").drop("_last")
 
 
 def pair_alternatives(rows: DataFrame) -> DataFrame:
     """k-th alternative of a customer position to the k-th main of the same or the one near position.
 
-    The mains of a document travel along as one list, so the texts are read once and
-    one exchange on the document serves both windows.
+    Keys and numbers alone are paired, by joins on equality; the texts meet their parent at the end. The rows are
+    written first, as they are read several times and reading them out of the texts is the dear part.
     """
-    keyed = rows.withColumn("_key", customer_position_key(F.col("lv_pos")))
-    main = F.when(~F.col("is_alternative") & (F.col("_key") != ""), F.struct(
-        F.col("block_no").alias("no"), F.col("_key").alias("key"), F.col("position_no").alias("position")
-    ))
-    keyed = keyed.withColumn("_mains", F.array_sort(F.collect_list(main).over(per_document())))
-    keys = F.array_distinct(F.transform("_mains", lambda m: m["key"]))
-    near = F.filter(keys, lambda key: near_key(F.col("_key"), key))
-    target = F.when(F.array_contains(keys, F.col("_key")), F.col("_key")).when(F.size(near) == 1, F.get(near, F.lit(0)))
-    keyed = keyed.withColumn("_target", F.when(F.col("is_alternative") & (F.col("_key") != ""), target))
-    place = F.row_number().over(Window.partitionBy("document_id", "_target").orderBy("block_no"))
-    keyed = keyed.withColumn("_place", place)
-    partners = F.filter("_mains", lambda m: m["key"] == F.col("_target"))
-    parent = F.when(F.col("_target").isNotNull(), X.clean_optional(F.get(partners, F.col("_place") - 1)["position"]))
-    return keyed.withColumn("alternative_parent_position_no", F.coalesce(parent, "alternative_parent_position_no")).select(*rows.columns)
+    rows = cut_lineage(rows)
+    keyed = rows.select("document_id", "block_no", "is_alternative", "position_no", customer_position_key(F.col("lv_pos")).alias("key")).where("key <> ''")
+    of_key = Window.partitionBy("document_id", "key").orderBy("block_no")
+    mains = keyed.where(~F.col("is_alternative")).withColumn("place", F.row_number().over(of_key)).select(
+        "document_id", F.col("key").alias("target"), "place", X.clean_optional(F.col("position_no")).alias("parent"))
+    known = mains.select("document_id", F.col("target").alias("key")).distinct()
+    alternatives = keyed.where("is_alternative").select("document_id", "block_no", "key")
+    same = alternatives.join(known, ["document_id", "key"], "left_semi").withColumn("target", F.col("key"))
+    odd = alternatives.join(known, ["document_id", "key"], "left_anti")
+    near = odd.join(near_keys(odd.select("document_id", "key").distinct(), known), ["document_id", "key"])
+    placed = same.unionByName(near).withColumn("place", F.row_number().over(Window.partitionBy("document_id", "target").orderBy("block_no")))
+    parents = placed.join(mains, ["document_id", "target", "place"]).select("document_id", "block_no", "parent")
+    joined = rows.join(parents, ["document_id", "block_no"], "left")
+    return joined.withColumn("alternative_parent_position_no", F.coalesce("parent", "alternative_parent_position_no")).select(*rows.columns)
 
 
 SCHLOTTERER = RuleSet(
