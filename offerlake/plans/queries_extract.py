@@ -109,7 +109,7 @@ def _(t):
     heads = F.array(*[F.lit(HEADS[k]) for k in keys])
     sums = t.order_sums.select("document_id", F.explode(heads).alias("head"), "net_total")
     text = F.concat("head", F.lit("\nZahlung: 30 Tage\nGesamt Nettosumme EUR "), N.eu_format(F.col("net_total")))
-    return headers.document_headers(sums.select("document_id", text.alias("text"))).drop("offer_reference")
+    return headers.document_headers(sums.select("document_id", text.alias("text"))).drop("offer_reference", "document_notes")
 
 
 @query("rendered_amount_lines", "AMT-01 AMT-02 AMT-03 FLT-04 FLT-05", """

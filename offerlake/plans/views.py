@@ -1,9 +1,8 @@
 """Canonical document tables derived from the order tables.
 
-Every order is one document, every (order, line number) one position: rows that
-share both are summed first. That keeps a document at as many positions as there
-are line numbers however many rows an order has, and the sums are partial sums
-before the shuffle, so an order with a large share of all rows is no hot spot.
+Every order is one document, every order row one position. Rows are numbered in blocks of one line number, so an
+order with a large share of all rows is numbered by as many tasks as it has line numbers; order sums are partial
+sums before the shuffle.
 """
 
 from __future__ import annotations
@@ -14,8 +13,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from offerlake.functions.numbers import money
+from offerlake.operators.windows import number_rows
 from offerlake.rules.suppliers import SUPPLIER_NAMES
 
+#: What orders the rows of one line number.
+ROW_ORDER = ("l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_shipdate", "l_discount", "l_tax", "l_returnflag", "l_linestatus")
 NAMES = [SUPPLIER_NAMES[k] for k in SUPPLIER_NAMES if k != "koch_detail"]
 
 
@@ -36,21 +38,13 @@ class Tables:
 
     @cached_property
     def positions(self) -> DataFrame:
-        """(order, line number) sums, the base of all position views."""
-        return (
-            self.read("lineitem")
-            .groupBy("l_orderkey", "l_linenumber")
-            .agg(
-                # short decimals keep the sums in 64 bits
-                F.sum(F.col("l_quantity").cast("decimal(8,4)")).cast("decimal(14,4)").alias("quantity"),
-                F.sum(F.col("l_extendedprice").cast("decimal(8,2)")).cast("decimal(14,2)").alias("line_total"),
-                F.min("l_partkey").alias("part_key"),
-                F.min("l_suppkey").alias("supp_key"),
-                (F.max("l_returnflag") == "R").alias("is_alternative"),
-                F.max("l_discount").alias("discount"),
-                F.max("l_tax").alias("tax"),
-            )
-            .withColumnsRenamed({"l_orderkey": "document_id", "l_linenumber": "item_seq"})
+        """One position per order row, numbered per order by line number, then by the row's other columns."""
+        numbered = number_rows(self.read("lineitem"), "l_orderkey", "l_linenumber", ROW_ORDER, "item_seq")
+        return numbered.select(
+            F.col("l_orderkey").alias("document_id"), "item_seq",
+            F.col("l_quantity").cast("decimal(14,4)").alias("quantity"), F.col("l_extendedprice").cast("decimal(14,2)").alias("line_total"),
+            F.col("l_partkey").alias("part_key"), F.col("l_suppkey").alias("supp_key"), (F.col("l_returnflag") == "R").alias("is_alternative"),
+            F.col("l_discount").alias("discount"), F.col("l_tax").alias("tax"),
         )
 
     @cached_property
@@ -112,16 +106,18 @@ class Tables:
 
     @cached_property
     def order_sums(self) -> DataFrame:
-        """One row per order: conditions, subtotals and printed totals."""
-        sums = self.positions.groupBy("document_id").agg(
+        """One row per order: conditions, subtotals and printed totals. Sums of the order rows, which need no numbers."""
+        cents = (F.col("l_extendedprice").cast("decimal(14,2)") * 100).cast("long")
+        sums = self.read("lineitem").groupBy(F.col("l_orderkey").alias("document_id")).agg(
             F.coalesce(
-                (F.sum(F.when(~F.col("is_alternative"), (F.col("line_total") * 100).cast("long"))).cast("decimal(18,0)")
+                # cents keep the sums in 64 bits
+                (F.sum(F.when(~(F.col("l_returnflag") == "R"), cents)).cast("decimal(18,0)")
                  * F.lit("0.01").cast("decimal(3,2)")).cast("decimal(14,2)"),
                 F.lit(0).cast("decimal(14,2)"),
             ).alias("subtotal"),
-            F.round(F.max("discount") * 100).cast("int").alias("discount_pct"),
-            F.round(F.max("tax") * 100).cast("int").alias("surcharge_pct"),
-            F.min("supp_key").alias("supp_key"),
+            F.round(F.max("l_discount") * 100).cast("int").alias("discount_pct"),
+            F.round(F.max("l_tax") * 100).cast("int").alias("surcharge_pct"),
+            F.min("l_suppkey").alias("supp_key"),
         )
         cent = F.lit("0.01").cast("decimal(3,2)")
         sums = sums.withColumn("discount_amount", -money(F.col("subtotal") * F.col("discount_pct") * cent))
@@ -263,12 +259,11 @@ class Tables:
 _NAMES_SQL = "[" + ", ".join("'" + n + "'" for n in NAMES) + "]"
 ORACLE_VIEWS = f"""
 WITH positions AS (
-  SELECT l_orderkey AS document_id, l_linenumber AS item_seq,
-         CAST(SUM(CAST(l_quantity AS DECIMAL(14,4))) AS DECIMAL(14,4)) AS quantity,
-         CAST(SUM(CAST(l_extendedprice AS DECIMAL(14,2))) AS DECIMAL(14,2)) AS line_total,
-         MIN(l_partkey) AS part_key, MIN(l_suppkey) AS supp_key,
-         MAX(l_returnflag) = 'R' AS is_alternative, MAX(l_discount) AS discount, MAX(l_tax) AS tax
-  FROM lineitem GROUP BY ALL
+  SELECT l_orderkey AS document_id,
+         CAST(ROW_NUMBER() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, {", ".join(ROW_ORDER)}) AS INTEGER) AS item_seq,
+         CAST(l_quantity AS DECIMAL(14,4)) AS quantity, CAST(l_extendedprice AS DECIMAL(14,2)) AS line_total,
+         l_partkey AS part_key, l_suppkey AS supp_key, l_returnflag = 'R' AS is_alternative, l_discount AS discount, l_tax AS tax
+  FROM lineitem
 ), line_items AS (
   SELECT document_id, item_seq, document_id * 100 + item_seq AS line_item_id,
          CAST(item_seq AS VARCHAR) AS position_no,
