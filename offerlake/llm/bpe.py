@@ -3,8 +3,9 @@
 1. Texts are cut into pre-tokens. Documents are gathered into blocks of about ``BLOCK_BYTES`` (a
    longer document is a block of its own); a block keeps, per document, the positions of its words as
    numbers of a block dictionary. Blocks are staged, so texts are cut once.
-2. The dictionaries are dealt by a hash of the word into buckets; a bucket encodes each distinct word
-   once and answers every block that asked for it. A word is asked for once per block at most, so the
+2. The dictionaries are dealt by a hash of the word into buckets, which are sorted and streamed; a bucket
+   encodes each distinct word once (as long as its answers fit into a bounded table) and answers every block
+   that asked for it. A word is asked for once per block at most, so the
    most frequent word weighs no more than any other.
 3. A block meets its answers and is put together by position with numpy.
 
@@ -17,6 +18,7 @@ empty; other columns are not read.
 from __future__ import annotations
 
 import base64
+import itertools
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
@@ -34,6 +36,8 @@ from pyspark.sql import types as T
 from offerlake.llm.common import BYTE_VALUES, STEP_BYTES, empty_text, packed, release_memory, span_hashes, stage_folder, steps, text_buffers, with_fields
 
 BLOCK_BYTES = 6_000_000
+#: Words of a bucket whose ids are kept at once, and the characters of the longest of them.
+KEPT_WORDS, KEPT_LENGTH = 200_000, 64
 
 
 @dataclass(frozen=True)
@@ -220,21 +224,30 @@ ANSWERS = "block string, bucket int, lengths binary, ids binary"
 
 
 def _answer(ranks: Ranks):
-    def run(asked: pd.DataFrame) -> pd.DataFrame:
-        encode = _encoding(ranks).encode_ordinary
-        number: dict[str, int] = {}
-        wanted = [np.fromiter((number.setdefault(w, len(number)) for w in _strings_of(words, size)), np.int64, size) for words, size in zip(asked["words"], asked["size"], strict=True)]
-        encoded = [encode(w) for w in number]
-        lengths = np.fromiter(map(len, encoded), np.int64, len(encoded))
-        flat = np.fromiter((i for e in encoded for i in e), np.uint32, int(lengths.sum()))
-        starts = np.concatenate([[0], np.cumsum(lengths)])[:-1]
-        rows = []
-        for block, bucket, which in zip(asked["block"], asked["bucket"], wanted, strict=True):
-            ids = flat[spread(starts[which], lengths[which])]
-            rows.append((block, bucket, zlib.compress(lengths[which].astype(np.uint32).tobytes(), 1), zlib.compress(ids.view(np.uint8).reshape(-1, 4).T.tobytes(), 1)))
-        del number, wanted, encoded, flat
+    """Answers rows as they come, one bucket after the other; the bucket's words are encoded once while they fit."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode, kept, current = _encoding(ranks).encode_ordinary, {}, None
+        for batch in batches:
+            rows = []
+            for block, bucket, size, words in zip(*(batch.column(c).to_pylist() for c in ("block", "bucket", "size", "words")), strict=True):
+                if bucket != current:
+                    kept, current = {}, bucket
+                own = _strings_of(words, size)
+                found = list(map(kept.get, own))
+                missing = [i for i, answer in enumerate(found) if answer is None]
+                for i in missing:
+                    found[i] = np.array(encode(own[i]), np.uint32).tobytes()
+                if len(kept) + len(missing) > KEPT_WORDS:
+                    kept = dict(itertools.islice(kept.items(), len(kept) // 2, None))
+                kept.update((own[i], found[i]) for i in missing[: KEPT_WORDS - len(kept)] if len(own[i]) <= KEPT_LENGTH)
+                lengths = np.fromiter(map(len, found), np.uint32, len(found)) // 4
+                planes = np.frombuffer(b"".join(found), np.uint8).reshape(-1, 4).T.tobytes()
+                rows.append((block, bucket, zlib.compress(lengths.astype(np.uint32).tobytes(), 1), zlib.compress(planes, 1)))
+            columns = zip(*rows, strict=True) if rows else [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(columns, (pa.string(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["block", "bucket", "lengths", "ids"])
+        kept = {}
         release_memory()
-        return pd.DataFrame(rows, columns=["block", "bucket", "lengths", "ids"])
 
     return run
 
@@ -288,7 +301,7 @@ def encode(docs: DataFrame, ranks: Ranks, text: str = "text", block_bytes: int =
     blocks = spark.table(name)
     spark.sql(f"DROP TABLE {name}")  # the name only; the files and this resolved reader stay
     asked = blocks.select("block", F.inline("asked"))
-    answers = asked.groupBy("bucket").applyInPandas(_answer(ranks), ANSWERS)
+    answers = asked.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_answer(ranks), ANSWERS)
     held = blocks.select("block", "doc_ids", "counts", "bucket_of", "positions")
     return held.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(_reassemble, "doc_id long, n_tokens long, ids binary")
 
