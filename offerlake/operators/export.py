@@ -10,7 +10,7 @@ from offerlake.functions import export_text as E
 from offerlake.functions import text as X
 from offerlake.functions.keys import external_document_id, external_line_item_id
 from offerlake.functions.numbers import export_date, export_timestamp
-from offerlake.operators.links import supplier_id
+from offerlake.operators.links import relations, supplier_id
 from offerlake.operators.pricing import EXPORT_SENTINEL
 
 
@@ -180,8 +180,8 @@ def line_item_ids(positions: DataFrame) -> DataFrame:
 def nested_documents(documents: DataFrame, children: dict[str, tuple[DataFrame, str]]) -> DataFrame:
     """One JSON object per document with its child rows in order.
 
-    ``children``: name -> (rows, order column). Decimals and dates become texts. The
-    child lists are the rows of one document.
+    ``children``: name -> (rows, order column); an order column named "place" is not shown. Decimals and dates
+    become texts. The child lists are the rows of one document.
     """
     def jsonable(df: DataFrame, name: str) -> Column:
         kind = dict(df.dtypes)[name]
@@ -190,7 +190,7 @@ def nested_documents(documents: DataFrame, children: dict[str, tuple[DataFrame,
 
     shaped = documents.select("document_id", F.struct(*[jsonable(documents, c) for c in documents.columns]).alias("document"))
     for name, (rows, order) in children.items():
-        cells = [jsonable(rows, c) for c in rows.columns if c != "document_id"]
+        cells = [jsonable(rows, c) for c in rows.columns if c not in ("document_id", "place")]
         listed = rows.groupBy("document_id").agg(
             F.sort_array(F.collect_list(F.struct(F.col(order).alias("_order"), F.struct(*cells).alias("row")))).alias(name)
         ).select("document_id", F.transform(name, lambda r: r["row"]).alias(name))
@@ -198,6 +198,26 @@ def nested_documents(documents: DataFrame, children: dict[str, tuple[DataFrame,
     return shaped.select("document_id", F.to_json(F.struct("document", *children)).alias("json"))
 
 
+def document_results(
+    documents: DataFrame, resolved: DataFrame, amount_lines: DataFrame, items: DataFrame, images: DataFrame, document_issues: DataFrame, item_issues: DataFrame
+) -> DataFrame:
+    """The whole result of every document as one object: header with its link, relations, amount lines, positions, images, validation.
+
+    Children meet their document by document_id, on which all of them are partitioned once; no child is read twice.
+    ``resolved``: document_id, linked_offer_document_id, is_manual. Issues: document_id, code, severity, field, those of items with item_seq.
+    """
+    head = documents.join(resolved.select("document_id", "linked_offer_document_id", F.col("is_manual").alias("offer_link_manual")), "document_id", "left")
+    issues = document_issues.withColumn("item_seq", F.lit(None).cast("int")).unionByName(item_issues).withColumn(
+        "place", F.struct(F.coalesce("item_seq", F.lit(-1)).alias("seq"), "code", F.coalesce("field", F.lit("")).alias("field")))
+    cells = ["item_seq", *[c for c in document_issues.columns if c != "document_id"]]
+    related = relations(documents, resolved)
+    order = F.struct("relation", "related_id")
+    return nested_documents(head, {
+        "relations": (related.withColumn("place", order), "place"), "amount_lines": (amount_lines, "sort_order"), "line_items": (items, "item_seq"),
+        "images": (images, "image_id"), "validation": (issues.select("document_id", *cells, "place"), "place"),
+    })
+
+
 def flat_rows(documents: DataFrame, items: DataFrame) -> DataFrame:
     """One row per position with the document columns repeated, 28 columns in contract order."""
     def column(df: DataFrame, name: str) -> Column:

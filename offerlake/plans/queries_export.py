@@ -13,7 +13,7 @@ from offerlake.operators import export as X
 from offerlake.operators.amounts import condition_profile
 from offerlake.operators.validate import documents_without_positions
 from offerlake.plans.catalog import query
-from offerlake.plans.queries_links import LINKS_SQL, _links
+from offerlake.plans.queries_links import LINKS_SQL, resolved_links
 from offerlake.plans.queries_pricing import PROFILE_SQL
 from offerlake.plans.views import Tables
 
@@ -208,7 +208,7 @@ SELECT CAST(d.document_id AS VARCHAR) AS source_document_id, supplier_name,
        project_ref AS subject, FALSE AS orderdoc_additional
 FROM docs d LEFT JOIN links l ON l.document_id = d.document_id LEFT JOIN onlyalt o ON o.document_id = d.document_id""")
 def _(t):
-    rows = X.header_rows(t.documents, _links(t), _prepared(t), F.lit(EXPORTED_AT).cast("timestamp"))
+    rows = X.header_rows(t.documents, resolved_links(t), _prepared(t), F.lit(EXPORTED_AT).cast("timestamp"))
     return rows.drop("external_document_id", "supplier_id", "tax_type", "customer_id", "orderdoc_destination")
 
 

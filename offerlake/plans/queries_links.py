@@ -67,7 +67,7 @@ def _(t):
     )
 
 
-def _links(t: Tables) -> DataFrame:
+def resolved_links(t: Tables) -> DataFrame:
     automatic = links.confirmation_links(t.documents).unionByName(links.predecessor_links(t.documents))
     return links.resolve_links(t.documents, automatic)
 
@@ -75,7 +75,7 @@ def _links(t: Tables) -> DataFrame:
 @query("resolved_links", "LNK-04", LINKS_SQL + """
 SELECT document_id, CAST(linked_offer_document_id AS DOUBLE) AS linked_offer_document_id, is_manual FROM links""")
 def _(t):
-    return _links(t).withColumn("linked_offer_document_id", F.col("linked_offer_document_id").cast("double"))
+    return resolved_links(t).withColumn("linked_offer_document_id", F.col("linked_offer_document_id").cast("double"))
 
 
 @query("manual_link_checks", "LNK-04", """
@@ -103,7 +103,7 @@ UNION ALL
 SELECT l.linked_offer_document_id, 'linked_order_confirmation', d.document_id, d.supplier_name, d.document_type, d.document_number, CAST(d.document_date AS VARCHAR)
 FROM links l JOIN docs d ON d.document_id = l.document_id WHERE l.linked_offer_document_id IS NOT NULL""")
 def _(t):
-    return links.relations(t.documents, _links(t)).withColumn("document_date", F.col("document_date").cast("string"))
+    return links.relations(t.documents, resolved_links(t)).withColumn("document_date", F.col("document_date").cast("string"))
 
 
 @query("offer_candidates", "LNK-06", """

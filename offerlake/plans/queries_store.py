@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from offerlake import schemas as S
-from offerlake.operators import items, load, store
+from offerlake.operators import export, items, load, store, validate
 from offerlake.operators.snapshot import TableSet
 from offerlake.plans.catalog import query
 from offerlake.plans.queries_export import EXPORTED_AT
+from offerlake.plans.queries_links import LINKS_SQL, resolved_links
+from offerlake.plans.queries_validation import CHECKED_SQL, checked_items, kept_amounts, odd_documents, page_counts
 from offerlake.plans.process import extract_items, stage_by_template
 from offerlake.plans.render import CONFIRMING, MIXED, rendered_mixed
 from offerlake.plans.views import Tables
@@ -222,6 +224,60 @@ def _(t):
     return t.spark.read.parquet(path).select("audit_key", "actor_username", "action", "details_json")
 
 
+# --- results ------------------------------------------------------------------------------------
+
+def _json_sql(cells: dict[str, str]) -> str:
+    """SQL text of a JSON object; a value is a quoted text, or, behind "=", a bare one. Null cells are left out."""
+    parts = []
+    for name, value in cells.items():
+        bare = value.startswith("=")
+        value = value.removeprefix("=")
+        shown = f"CAST({value} AS VARCHAR)" if bare else f"'\"' || CAST({value} AS VARCHAR) || '\"'"
+        parts.append(f"CASE WHEN {value} IS NULL THEN '' ELSE ',\"{name}\":' || {shown} END")
+    return "'{' || substr(" + " || ".join(parts) + ", 2) || '}'"
+
+
+_RESULT_PARTS = {
+    "relations": ("rel", "relation, related_id", {"related_id": "=related_id", "relation": "relation", "supplier_name": "supplier_name", "document_type": "document_type", "document_number": "document_number", "document_date": "document_date"}),
+    "amount_lines": ("amount_lines", "sort_order", {"sort_order": "=sort_order", "line_type": "line_type", "label_raw": "label_raw", "percent": "CAST(percent AS DECIMAL(8,4))", "amount": "amount"}),
+    "line_items": ("line_items", "item_seq", {"item_seq": "=item_seq", "position_no": "position_no", "lv_pos": "lv_pos", "is_alternative": "=is_alternative", "quantity": "quantity", "unit": "unit", "unit_price": "unit_price", "line_total": "line_total", "page_ref": "=page_ref"}),
+    "images": ("images", "image_id", {"image_id": "=image_id", "page_ref": "=page_ref", "sha256": "sha256", "bytes_size": "=bytes_size", "storage_path": "storage_path"}),
+    "validation": ("issues", "COALESCE(item_seq, -1), code, COALESCE(field, '')", {"item_seq": "=item_seq", "code": "code", "severity": "severity", "field": "field"}),
+}
+_RESULT_SQL = CHECKED_SQL + LINKS_SQL + """
+, rel AS (
+  SELECT l.document_id, 'linked_offer' AS relation, d.document_id AS related_id, d.supplier_name, d.document_type, d.document_number, d.document_date FROM links l JOIN docs d ON d.document_id = l.linked_offer_document_id
+  UNION ALL SELECT l.linked_offer_document_id, 'linked_order_confirmation', d.document_id, d.supplier_name, d.document_type, d.document_number, d.document_date
+  FROM links l JOIN docs d ON d.document_id = l.document_id WHERE l.linked_offer_document_id IS NOT NULL
+), issues AS (
+  SELECT document_id, CAST(NULL AS INTEGER) AS item_seq, code, severity, NULL AS field FROM field_issues UNION ALL SELECT document_id, NULL, code, severity, NULL FROM gross_issues
+  UNION ALL SELECT document_id, item_seq, code, severity, NULL FROM item_issues
+)""" + "".join(
+    f"\n, part_{name} AS (SELECT document_id, '[' || string_agg({_json_sql(cells)}, ',' ORDER BY {order}) || ']' AS j FROM {source} GROUP BY document_id)"
+    for name, (source, order, cells) in _RESULT_PARTS.items()
+) + "\nSELECT docs.document_id, '{\"document\":' || " + _json_sql({
+    "document_id": "=docs.document_id", "supplier_name": "supplier_name", "document_type": "document_type", "document_number": "document_number", "document_date": "document_date", "net_total": "net_total",
+    "linked_offer_document_id": "=linked_offer_document_id", "offer_link_manual": "=is_manual",
+}) + "".join(f" || COALESCE(',\"{name}\":' || part_{name}.j, '')" for name in _RESULT_PARTS) + " || '}' AS json\nFROM docs JOIN links ON links.document_id = docs.document_id" + "".join(
+    f" LEFT JOIN part_{name} ON part_{name}.document_id = docs.document_id" for name in _RESULT_PARTS
+)
+
+
+@query("document_results", "LNK-12 SNK-01 LNK-05 VAL-01 VAL-03", _RESULT_SQL)
+def _(t):
+    shown = {name: list(cells) for name, (_, _, cells) in _RESULT_PARTS.items()}
+    nameless = lambda issues: issues.withColumn("field", F.lit(None).cast("string"))
+    odd = odd_documents(t)
+    heads = nameless(validate.field_issues(odd)).unionByName(nameless(validate.gross_issues(odd)).select("document_id", "code", "severity", "field"))
+    found = nameless(validate.item_issues(checked_items(t), validate.component_mode(t.documents, kept_amounts(t)), page_counts(t)))
+    documents = t.documents.select("document_id", "supplier_name", "document_type", "document_number", "document_date", "net_total")
+    rows = export.document_results(
+        documents, resolved_links(t), t.amount_lines.select("document_id", *shown["amount_lines"]), t.line_items.select("document_id", *shown["line_items"]),
+        t.images.select("document_id", *shown["images"]), heads.select("document_id", "code", "severity", "field"), found.select("document_id", "item_seq", "code", "severity", "field"),
+    )
+    return rows
+
+
 # --- the document job over a mixed corpus ---------------------------------------------------------
 
 _MIXED_SQL = "[" + ", ".join(f"{{'key': '{k}', 'name': '{SUPPLIER_NAMES[k]}', 'confirms': {str(k in CONFIRMING).lower()}}}" for k in MIXED) + "]"

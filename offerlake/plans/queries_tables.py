@@ -10,7 +10,7 @@ from offerlake.functions import text as X
 from offerlake.operators import amounts, changes, headers, pricing, quality, store
 from offerlake.operators.snapshot import TableSet
 from offerlake.plans.catalog import query
-from offerlake.plans.queries_links import LINKS_SQL, _links
+from offerlake.plans.queries_links import LINKS_SQL, resolved_links
 from offerlake.plans.views import Tables
 from offerlake.session import shared_folder
 from offerlake.sources import layout
@@ -89,7 +89,7 @@ SELECT d.document_id, CASE WHEN g.document_id IS NULL THEN d.document_number END
 FROM docs d LEFT JOIN gone g ON g.document_id = d.document_id LEFT JOIN links l ON l.document_id = d.document_id LEFT JOIN gone h ON h.document_id = l.linked_offer_document_id""")
 def _(t):
     ids = t.read("events").where("event_type = 'error'").select(F.col("user_id").alias("document_id"))
-    documents, cut = changes.reset_documents(t.documents, _links(t).drop("is_manual"), ids)
+    documents, cut = changes.reset_documents(t.documents, resolved_links(t).drop("is_manual"), ids)
     return documents.select("document_id", "document_number", "document_type", "status").join(
         cut.withColumn("linked_offer_document_id", F.col("linked_offer_document_id").cast("double")), "document_id"
     )
