@@ -35,6 +35,7 @@ IS_WORD = (_CODES >= 128) | ((_CODES >= 48) & (_CODES <= 57)) | ((_CODES >= 65)
 def ship(spark: SparkSession) -> None:
     """Sends this package to the Python workers, once per Spark context, and makes Arrow batches short."""
     context = spark.sparkContext
+    release_memory()  # of the driver: what fitting a model has left
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     if getattr(context, "_offerlake_sent", False):

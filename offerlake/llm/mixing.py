@@ -99,29 +99,51 @@ def cell_columns(text: str = "text") -> dict[str, Column]:
     }
 
 
-def probabilities(docs: DataFrame, share: float = SHARE, targets: dict[str, DataFrame] | None = None, text: str = "text") -> DataFrame:
-    """source, lang, topic, tokens, weight and probability of every cell."""
-    cells = stage(docs.select(*(c.alias(n) for n, c in cell_columns(text).items())).groupBy("source", "lang", "topic").agg(F.sum("tokens").alias("tokens")), "mixing-cells")
+def mark(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``docs`` with the cell of every row and its tokens. This reads the texts; what follows does not."""
+    own = cell_columns(text)
+    return docs.select("*", F.struct(*(own[d].alias(d) for d in FLATTENING)).alias("_cell"), own["tokens"].alias("_own"))
+
+
+def _weighed(marked: DataFrame, share: float, targets: dict[str, DataFrame] | None = None) -> DataFrame:
+    cells = stage(marked.groupBy(*(F.col(f"_cell.{d}").alias(d) for d in FLATTENING)).agg(F.sum("_own").alias("tokens")), "mixing-cells")
     wanted = {d: flattened_targets(cells, d, p) for d, p in FLATTENING.items()} | (targets or {})
     return calibrate(rake(cells, wanted), share)
 
 
-def with_probabilities(docs: DataFrame, cells: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with a struct column ``_mix``: the cell, its weight and probability, and the draw."""
-    own = cell_columns(text)
-    keyed = docs.withColumn("_cell", F.struct(*(own[d].alias(d) for d in FLATTENING))).withColumn("_own", own["tokens"])
+def _drawn(marked: DataFrame, cells: DataFrame) -> DataFrame:
     side = cells.select(F.struct(*FLATTENING).alias("_cell"), F.struct("weight", "tokens", "probability").alias("_found"))
     if cells.count() <= BROADCAST_CELLS:
         side = F.broadcast(side)
-    drawn = uniform(F.col("doc_id")) < F.col("_found.probability")
-    joined = keyed.join(side, "_cell")
-    return joined.select(*(F.col(c) for c in docs.columns), F.struct(F.col("_cell.*"), F.col("_own").alias("tokens"), F.col("_found.weight").alias("weight"), F.col("_found.tokens").alias("cell_tokens"), F.col("_found.probability").alias("probability"), drawn.alias("sampled")).alias("_mix"))
+    sampled = uniform(F.col("doc_id")) < F.col("_found.probability")
+    kept = [F.col(c) for c in marked.columns if c not in ("_cell", "_own")]
+    return marked.join(side, "_cell").select(*kept, F.struct(
+        F.col("_cell.*"), F.col("_own").alias("tokens"), F.col("_found.weight").alias("weight"), F.col("_found.tokens").alias("cell_tokens"),
+        F.col("_found.probability").alias("probability"), sampled.alias("sampled"),
+    ).alias("_mix"))
+
+
+def probabilities(docs: DataFrame, share: float = SHARE, targets: dict[str, DataFrame] | None = None, text: str = "text") -> DataFrame:
+    """source, lang, topic, tokens, weight and probability of every cell."""
+    return _weighed(mark(docs, text), share, targets)
+
+
+def with_probabilities(docs: DataFrame, cells: DataFrame, text: str = "text") -> DataFrame:
+    """``docs`` with a struct column ``_mix``: the cell, its weight and probability, and the draw."""
+    return _drawn(mark(docs, text), cells)
+
+
+def draws(docs: DataFrame, share: float = SHARE) -> DataFrame:
+    """doc_id and ``_mix`` of every row. Texts are read once: their cells are staged."""
+    marked = stage(mark(docs.select("doc_id", "text", "source", "lang")).select("doc_id", "_cell", "_own"), "mixing-rows")
+    return _drawn(marked, _weighed(marked, share))
 
 
 def sample(docs: DataFrame, share: float = SHARE) -> DataFrame:
-    """The sampled rows of ``docs``, with their columns, whatever those are called."""
-    whole = docs.select(F.struct("*").alias("row"), "doc_id", "text", "source", "lang")
-    return with_probabilities(whole, probabilities(docs, share)).where("_mix.sampled").select("row.*")
+    """The sampled rows of ``docs``, with their columns, whatever those are called. Texts are matched once, then staged with their cells."""
+    whole = mark(docs.select(F.struct("*").alias("row"), "doc_id", "text", "source", "lang")).select("row", "doc_id", "_cell", "_own")
+    marked = stage(whole, "mixing-rows")
+    return _drawn(marked, _weighed(marked, share)).where("_mix.sampled").select("row.*")
 
 
 def oracle(table: str = "documents", share: float = SHARE) -> str:

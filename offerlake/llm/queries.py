@@ -51,9 +51,7 @@ def op2_bpe(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op3_mixing", mixing.oracle())
 def op3_mixing(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents").select("doc_id", "text", "source", "lang")
-    drawn = mixing.with_probabilities(docs, mixing.probabilities(docs))
-    return drawn.select(
+    return mixing.draws(table(spark, folder, "documents")).select(
         "doc_id", "_mix.source", "_mix.lang", "_mix.topic", F.col("_mix.tokens").alias("n_tokens"),
         F.round("_mix.weight", 6).alias("cell_weight"), F.round("_mix.probability", 6).alias("probability"), "_mix.sampled",
     )
