@@ -15,7 +15,7 @@ from offerlake.operators.lines import line_top_ratio
 from offerlake.operators.windows import per_document
 from offerlake.rules.base import RuleSet
 
-MARK, SEP = "\u0001", "\u0002"
+MARK, SEP, CARRY = "\u0001", "\u0002", "\u0003"
 
 RAW_ITEM = {
     "position_no": "string", "lv_pos": "string", "is_alternative": "boolean", "quantity_raw": "string", "unit": "string",
@@ -43,6 +43,8 @@ def _marked_page(rule: RuleSet, page: Column, page_ref: Column) -> Column:
     if rule.filled_only:
         lines = F.filter(F.transform(lines, X.normalize_line), lambda line: line != "")
     body = X.let(lines, mark)
+    if rule.carry:
+        return F.concat(F.lit(CARRY), body)
     if rule.per_page:
         head = F.concat_ws(SEP, page_ref.cast("string"), F.lit("-"), F.lit("-"), F.lit(""))
         return F.concat(F.lit(MARK), head, body)
@@ -52,7 +54,7 @@ def _marked_page(rule: RuleSet, page: Column, page_ref: Column) -> Column:
 def blocks(doc_text: DataFrame, rule: RuleSet) -> DataFrame:
     """Blocks of a rule set: one row per position start, plus page heads where blocks end at pages.
 
-    block: text from the start to the next one; before, where the rule set asks for it: up to
+    block: text from the start to the next one; carried, where the rule set asks for it: the heads of the pages up to the next start; before, where the rule set asks for it: up to
     six blocks before it, joined (for headings that precede a position).
     """
     text = X.normalize_text(F.col("text"))
@@ -63,13 +65,17 @@ def blocks(doc_text: DataFrame, rule: RuleSet) -> DataFrame:
 
     def entry(part: Column, i: Column) -> Column:
         cells = F.split(part, SEP, 4)
+        text = F.get(cells, F.lit(3))
+        pieces = F.split(text, CARRY, -1)
         fields = [
             i.alias("block_no"),
             F.get(cells, F.lit(0)).try_cast("int").alias("page_ref"),
             F.get(cells, F.lit(1)).try_cast("int").alias("line_index"),
             F.get(cells, F.lit(2)).try_cast("int").alias("line_count"),
-            F.get(cells, F.lit(3)).alias("block"),
+            (F.get(pieces, F.lit(0)) if rule.carry else text).alias("block"),
         ]
+        if rule.carry:
+            fields.append(F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0))).alias("carried"))
         if rule.headings:
             fields.append(F.array_join(
                 F.transform(

@@ -15,8 +15,9 @@ from offerlake.plans.queries_export import EXPORTED_AT
 from offerlake.plans.queries_links import LINKS_SQL, resolved_links
 from offerlake.plans.queries_validation import CHECKED_SQL, checked_items, kept_amounts, odd_documents, page_counts
 from offerlake.plans.process import extract_items, stage_by_template
-from offerlake.plans.render import CONFIRMING, MIXED, rendered_mixed
+from offerlake.plans.render import CONFIRMING, MIXED, rendered, rendered_mixed
 from offerlake.plans.views import Tables
+from offerlake.rules.registry import REGISTRY
 from offerlake.rules.suppliers import SUPPLIER_NAMES
 from offerlake.session import shared_folder
 from offerlake.sources import files
@@ -316,6 +317,17 @@ def _(t):
     return rows.select("document_id", "template", "item_seq", F.col("quantity").cast("double").alias("quantity"), F.col("line_total").cast("double").alias("line_total"), "page_ref")
 
 
+@query("carried_components", "LI-12 LI-13", """
+, r AS (SELECT document_id, item_seq, LEAD(page_ref) OVER (PARTITION BY document_id ORDER BY item_seq) <> page_ref AS last_of_page FROM line_items)
+SELECT document_id, item_seq, 1 AS component_no, 'Funkmotor' AS label, 10.0::DOUBLE AS amount FROM r
+UNION ALL SELECT document_id, item_seq, 2, 'Zusatzmotor', 7.5::DOUBLE FROM r WHERE last_of_page""")
+def _(t):
+    """Every page head carries a component of the position before the page end."""
+    texts = rendered(t, "schlotterer").withColumn("text", F.replace("text", F.lit("\nSeite 2 von 3\n"), F.lit("\nSeite 2 von 3\nZusatzmotor 7,50\n")))
+    rows = items.numbered(items.raw_items(texts, REGISTRY.get("schlotterer")))
+    return items.component_rows(rows).withColumn("amount", F.col("amount").cast("double"))
+
+
 @query("folded_field_values", "STR-02 MUT-02", """
 , newest AS (SELECT document_id, line_item_id, sub_key, field, arg_max(value, ts) AS value, MAX(ts) AS changed_at FROM change_log GROUP BY ALL)
 SELECT document_id, line_item_id, sub_key, field, value, strftime(changed_at, '%Y-%m-%d %H:%M:%S') AS ts FROM newest""")

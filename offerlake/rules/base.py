@@ -20,6 +20,7 @@ class RuleSet:
     shape: blocks (see ``operators.items.blocks``) to raw item columns.
     prepare: rewrite of the text before it is cut into lines.
     per_page: positions never run over a page end.
+    carry: the head of a page belongs to the position before it, as ``carried`` beside its block; without it, page heads are blocks.
     headings: shape reads the text before a block.
     filled_only: the layout is read without blank lines.
     count: number of positions in a text, where it is not the number of item rows.
@@ -39,6 +40,7 @@ class RuleSet:
     shape: Callable[[DataFrame], DataFrame] | None = None
     prepare: Callable[[Column], Column] | None = None
     per_page: bool = False
+    carry: bool = False
     headings: bool = False
     filled_only: bool = False
     count: Callable[[Column], Column] | None = None

@@ -447,22 +447,16 @@ def _slat_description(lines: Column) -> Column:
 
 
 def _slats(blocks: DataFrame) -> DataFrame:
-    is_head = F.col("line_index").isNull()
-    lines = X.filled_lines(F.col("block"))
-    open_lines = X.lines_before(lines, lambda line: X.starts_with_any(line, SLAT_STOPS))
-    rows = blocks.withColumn("lines", F.when(is_head, lines).otherwise(open_lines)).withColumn("row", F.get("lines", F.lit(0)))
-    body_lines = F.when(is_head, F.col("lines")).otherwise(rest(F.col("lines")))
-    rows = rows.withColumn("body_lines", body_lines).withColumns({
-        "components": slat_components(F.col("body_lines")), "described": _slat_description(F.col("body_lines")),
+    """A page head belongs to the last position before it: its components always, its text only if that has none."""
+    open_lines = X.lines_before(X.filled_lines(F.col("block")), lambda line: X.starts_with_any(line, SLAT_STOPS))
+    rows = blocks.withColumn("lines", open_lines).withColumns({
+        "row": F.get("lines", F.lit(0)), "own_lines": rest(F.col("lines")), "heads": F.transform("carried", X.filled_lines),
     })
-    # a page head belongs to the last position before it: its components always, its text only if that has none
-    earlier = per_document("block_no").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("_owner", F.when(is_head, F.last(F.when(~is_head, F.col("block_no")), ignorenulls=True).over(earlier)).otherwise(F.col("block_no")))
-    owned = Window.partitionBy("document_id", "_owner").orderBy("block_no").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    texts = F.transform("heads", _slat_description)
     rows = rows.withColumns({
-        "components": F.flatten(F.collect_list("components").over(owned)),
-        "described": F.first(X.blank_to_null(F.col("described")), ignorenulls=True).over(owned),
-    }).where(~is_head)
+        "components": F.concat(slat_components(F.col("own_lines")), F.flatten(F.transform("heads", slat_components))),
+        "described": F.coalesce(X.blank_to_null(_slat_description(F.col("own_lines"))), F.get(F.filter(texts, lambda text: text != ""), F.lit(0))),
+    })
     rows = rows.withColumns({"body": _slat_body(F.col("row")), "full": X.join_lines(F.col("lines"))})
     rows = rows.withColumn("tokens", X.amount_tokens(F.col("full")))
     unit = F.coalesce(X.group(F.col("row"), SLAT_PRICED, 3), X.group(F.col("row"), SLAT_TOTAL, 3))
@@ -543,5 +537,5 @@ SCHLOTTERER = RuleSet(
     "schlotterer", SUPPLIER_NAMES["schlotterer"],
     lambda low: low.contains("schlotterer sonnenschutz systeme gmbh") & X.contains_any(
         low, ("auftragsbestätigung:", "angebot:", "angebotsnummer", "gesamt nettosumme")),
-    lambda line, following: is_slat_row(line), _slats, per_page=True, filled_only=True, after=pair_alternatives, pricing="groups",
+    lambda line, following: is_slat_row(line), _slats, per_page=True, carry=True, filled_only=True, after=pair_alternatives, pricing="groups",
 )

@@ -1,6 +1,8 @@
+import dataclasses
 import random
 from decimal import Decimal as D
 
+import pytest
 from pyspark.sql import functions as F
 
 from offerlake.operators import headers, items
@@ -70,11 +72,20 @@ def test_a_plugged_in_rule_set_is_detected_and_extracted(spark):
     assert [(r.document_id, r.position_no, len(r.description_long) > 20_000) for r in got] == [(1, "1", True)]
 
 
-def test_extraction_needs_no_exchange(spark):
-    df = items.raw_items(spark.createDataFrame([(1, "x")], TEXT), REGISTRY.get("muigg"))
+@pytest.mark.parametrize("key", ["muigg", "schlotterer"])
+def test_extraction_needs_no_exchange(spark, key):
+    rule = dataclasses.replace(REGISTRY.get(key), after=None)
+    df = items.raw_items(spark.createDataFrame([(1, "x")], TEXT), rule)
     assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_a_page_head_is_carried_over_empty_pages_and_never_from_page_one(spark):
+    text = "Kopf\nVormotor 1,00\n\f1 W1 2 Raffstore A 10,00 20,00\n\f\fSeite\nHöhe: 800mm\nMotor 7,00\n\fMast 3,00\n2 W2 1 Raffstore B 5,00 5,00\nTiefe: 5"
+    got = raw(spark, "schlotterer", text)
+    assert [[(c.label, c.amount_raw) for c in r.components] for r in got] == [[("Motor", "7,00"), ("Mast", "3,00")], []]
+    assert "Höhe: 800mm" in got[0].description_long and got[1].description_long == "Tiefe: 5" and [r.page_ref for r in got] == [2, 5]
+
+
 def slip_apart(a, b):
     """Plain reading of what one slip is."""
     if len(a) == len(b):
