@@ -126,11 +126,11 @@ def _(t):
 
 
 @query("delivery_positions", "LI-15", """
-SELECT document_id, CAST(item_count + 1 AS VARCHAR) AS position_no, 200.0::DOUBLE AS line_total, CAST(total AS DOUBLE) AS printed_total, 1 AS page_ref
+SELECT document_id, CAST(item_count + 1 AS VARCHAR) AS position_no, 200.0::DOUBLE AS line_total, CAST(CASE WHEN total > 0 THEN total END AS DOUBLE) AS printed_total, 1 AS page_ref
 FROM (SELECT document_id, MAX(item_seq) AS item_count FROM line_items GROUP BY document_id)
-JOIN (SELECT document_id, net_total AS total FROM order_sums WHERE net_total > 0) USING (document_id)""")
+JOIN (SELECT document_id, net_total AS total FROM order_sums) USING (document_id)""")
 def _(t):
-    sums = t.order_sums.where("net_total > 0")
+    sums = t.order_sums
     freight = F.concat(F.lit("Position: 1\nFenster\nFrachtkostenbeitrag EUR "), N.eu_format(F.col("net_total")), F.lit("\nEnde"))
     rows = t.line_items.select("document_id", F.col("item_seq").alias("block_no"), "position_no")
     out = items.typed_items(delivery_items(sums.select("document_id", freight.alias("text")), rows).withColumns({

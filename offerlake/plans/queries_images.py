@@ -149,7 +149,8 @@ def _(t):
 SELECT document_id, item_seq, CASE WHEN kept THEN item_top_ratio END AS item_top_ratio FROM m""")
 def _(t):
     part = F.col("part_key")
-    hints = t.line_items.where(part % 6 != 0).select(
-        "document_id", "position_no", "page_ref", F.when(part % 7 == 0, 0).otherwise(F.col("item_seq")).alias("hint_no"), "item_top_ratio"
+    # some hints name no position
+    hints = t.line_items.select(
+        "document_id", F.when(part % 6 != 0, F.col("position_no")).alias("position_no"), "page_ref", F.when(part % 7 == 0, 0).otherwise(F.col("item_seq")).alias("hint_no"), "item_top_ratio"
     )
     return merge_layout_hints(t.line_items, hints).select("document_id", "item_seq", "item_top_ratio")

@@ -72,13 +72,11 @@ def _(t):
 @query("standing_approvals", "MUT-06", """
 , a AS (
   SELECT document_id, arg_max(value, ts) FILTER (field = 'approval_status') AS decision, MAX(ts) FILTER (field = 'approval_status') AS decided_at,
-         arg_max(actor, ts) FILTER (field = 'approval_status') AS actor, MAX(ts) FILTER (field <> 'approval_status') AS changed FROM change_log WHERE document_id % 3 <> 0 OR field = 'approval_status' GROUP BY document_id
+         arg_max(actor, ts) FILTER (field = 'approval_status') AS actor, MAX(ts) FILTER (field <> 'approval_status') AS changed FROM change_log GROUP BY document_id
 ), s AS (SELECT *, COALESCE(decision = 'approved' AND (changed IS NULL OR decided_at > changed), FALSE) AS stands FROM a)
 SELECT document_id, CASE WHEN stands THEN 'approved' ELSE 'pending' END AS approval_status, CASE WHEN stands THEN actor END AS reviewed_by FROM s""")
 def _(t):
-    # a third of the documents has decisions only
-    log = t.change_log.where((F.col("document_id") % 3 != 0) | (F.col("field") == "approval_status"))
-    return changes.approvals(log).drop("reviewed_at")
+    return changes.approvals(t.change_log).drop("reviewed_at")
 
 
 @query("reset_documents", "MUT-07", LINKS_SQL + """
@@ -147,12 +145,13 @@ def _(t):
 
 
 @query("corpus_differences", "QA-01", """
-, a AS (SELECT document_id, document_number, CASE WHEN document_id % 7 = 0 THEN 'x' ELSE document_type END AS document_type FROM docs WHERE document_id % 11 <> 0)
+, a AS (SELECT document_id, document_number, CASE WHEN document_id % 7 = 0 THEN 'x' ELSE document_type END AS document_type FROM docs WHERE document_id % 11 <> 0)  -- the others stand under another id
 SELECT d.document_id, 'document_type' AS field, d.document_type AS expected, a.document_type AS actual FROM docs d JOIN a USING (document_id) WHERE d.document_type <> a.document_type
-UNION ALL SELECT document_id, 'document', 'present', NULL FROM docs WHERE document_id % 11 = 0""")
+UNION ALL SELECT document_id, 'document', 'present', NULL FROM docs WHERE document_id % 11 = 0
+UNION ALL SELECT -document_id - 1, 'document', NULL, 'present' FROM docs WHERE document_id % 11 = 0""")
 def _(t):
     key = F.col("document_id")
-    actual = t.documents.where(key % 11 != 0).withColumn("document_type", F.when(key % 7 == 0, "x").otherwise(F.col("document_type")))
+    actual = t.documents.withColumns({"document_type": F.when(key % 7 == 0, "x").otherwise(F.col("document_type")), "document_id": F.when(key % 11 == 0, -key - 1).otherwise(key)})
     return quality.compare_fields(t.documents, actual, "document_id", ["document_number", "document_type"])
 
 

@@ -127,16 +127,18 @@ CHECKED_SQL = PROVIDER_SQL + """
 
 KEPT_AMOUNTS_SQL = """
 , kept_amounts AS (
-  SELECT * FROM amount_lines WHERE document_id % 2 = 0 OR line_type IN ('net_total', 'vat', 'total') OR sort_order = 0
+  SELECT * REPLACE (CASE WHEN document_id % 2 = 0 OR line_type IN ('net_total', 'vat', 'total') OR sort_order = 0 THEN line_type ELSE 'note' END AS line_type,
+                    CASE WHEN document_id % 2 = 0 OR line_type IN ('net_total', 'vat', 'total') OR sort_order = 0 THEN label_raw ELSE 'Hinweis' END AS label_raw) FROM amount_lines
 )"""
 CHECKED_SQL = KEPT_AMOUNTS_SQL + CHECKED_SQL
 
 
 def kept_amounts(t: Tables) -> DataFrame:
-    """Odd orders print no conditions, so their positions must add up strictly."""
-    return t.amount_lines.where(
-        (F.col("document_id") % 2 == 0) | F.col("line_type").isin("net_total", "vat", "total") | (F.col("sort_order") == 0)
-    )
+    """Odd orders print their conditions as mere notes, so their positions must add up strictly."""
+    condition = (F.col("document_id") % 2 == 0) | F.col("line_type").isin("net_total", "vat", "total") | (F.col("sort_order") == 0)
+    return t.amount_lines.withColumns({
+        "line_type": F.when(condition, F.col("line_type")).otherwise("note"), "label_raw": F.when(condition, F.col("label_raw")).otherwise("Hinweis"),
+    })
 
 
 def odd_documents(t: Tables) -> DataFrame:
@@ -221,7 +223,9 @@ SELECT document_id, 'koch_detail_drawings_missing' AS code FROM docs d
 WHERE supplier_name = 'Koch Türen GmbH' AND EXISTS (SELECT 1 FROM line_items i WHERE i.document_id = d.document_id)
   AND NOT EXISTS (SELECT 1 FROM images i WHERE i.document_id = d.document_id AND page_ref > 1)""")
 def _(t):
-    return V.missing_drawings(t.documents, t.line_items, t.images.where("page_ref > 1")).select("document_id", "code")
+    # drawings of page one belong to no document
+    images = t.images.withColumn("document_id", F.when(F.col("page_ref") > 1, F.col("document_id")))
+    return V.missing_drawings(t.documents, t.line_items, images).select("document_id", "code")
 
 
 SUMS_SQL = """
@@ -231,7 +235,7 @@ SUMS_SQL = """
          MAX(CASE WHEN sort_order = 1 THEN percent END) AS p1, MAX(CASE WHEN sort_order = 2 THEN amount END) AS s1,
          MAX(CASE WHEN sort_order = 3 THEN amount END) AS a2, MAX(CASE WHEN sort_order = 3 THEN percent END) AS p2,
          MAX(CASE WHEN sort_order = 4 THEN amount END) AS s2
-  FROM shifted k GROUP BY k.document_id
+  FROM shifted k WHERE line_type <> 'note' GROUP BY k.document_id
 ), expected AS (
   SELECT *, CAST(-ROUND(CAST(s0 AS DECIMAL(20,2)) * CAST(p1 AS DECIMAL(4,0)) * CAST(0.01 AS DECIMAL(3,2)), 2) AS DECIMAL(14,2)) AS e1,
             CAST(ROUND(CAST(s1 AS DECIMAL(20,2)) * CAST(p2 AS DECIMAL(4,0)) * CAST(0.01 AS DECIMAL(3,2)), 2) AS DECIMAL(14,2)) AS e2 FROM seq
