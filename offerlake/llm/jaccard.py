@@ -27,7 +27,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from offerlake.llm.common import empty_text, free_name, mixed, packed, release_memory, span_hashes, stage, text_steps, word_hashes, word_spans
@@ -336,16 +336,17 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, tole
     return named.join(result, ["set_a", "set_b"]).select("doc_id", "class_id", "n_links")
 
 
-def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def keep_one(docs: DataFrame, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
     """The rows of ``docs`` without near copies: of every class the row with the smallest id.
 
-    Rows without an id stay. Of rows that repeat the smallest id of a class one stays.
+    Every row is compared by its own text, whether its id is null, repeats or has other texts elsewhere. Rows
+    without an id come last, and of rows with one id the first as read.
     """
-    turn = free_name(docs, "copy_turn")
-    gone = stage(join(docs, threshold).where("class_id <> doc_id").select("doc_id"), "jaccard-decisions")
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    repeated = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
-    if not repeated.limit(1).count():
-        return kept
-    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
-    return kept.withColumn(turn, F.row_number().over(order)).where(F.col("doc_id").isNull() | (F.col(turn) == 1)).drop(turn)
+    row = free_name(docs, "copy_row")
+    # numbered once and written, as numbers given by a plan change with its columns
+    rows = stage(docs.withColumn(row, F.monotonically_increasing_id()), "jaccard-rows", tidy=True)
+    classes = join(rows.select(F.col(row).alias("doc_id"), F.col(text).alias("text")), threshold)
+    turn = F.struct(F.col("doc_id").isNull().alias("nameless"), F.col("doc_id").alias("id"), F.col(row).alias("row"))
+    placed = rows.select("doc_id", row).join(classes.select(F.col("doc_id").alias(row), "class_id"), row)
+    kept = placed.groupBy("class_id").agg(F.min(turn)["row"].alias(row))
+    return rows.join(kept.select(row), row, "left_semi").select(*docs.columns)

@@ -180,6 +180,15 @@ def test_jaccard_join(llm, odd_docs, no_docs, monkeypatch):
     assert jaccard.join(no_docs).count() == 0
 
 
+def test_keep_one_compares_every_row(llm):
+    """Ids that repeat with other texts, and rows without an id, in a table with clashing names."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    rows = [(1, a), (1, b), (2, b + " more"), (3, c), (None, c + " end"), (None, "lonely text"), (None, "lonely text"), (4, a), (5, None), (None, ""), (1, a)]
+    docs = llm.createDataFrame([(i, t, 7, "x") for i, t in rows], "doc_id long, text string, copy_row int, class_id string")
+    kept = sorted(((r.doc_id or 0, r.text or "") for r in jaccard.keep_one(docs).collect()))
+    assert kept == sorted([(1, a), (1, b), (3, c), (0, "lonely text"), (5, "")])
+
+
 def test_components_of_hubs_chains_and_repeats(llm):
     hub, chain = [(5, i) for i in range(6, 300)], [(i, i + 1) for i in range(1000, 1060)]
     found = jaccard.components(llm.createDataFrame([*hub, *chain, *hub[:9], (7, 7), (300, 5)], "a long, b long"), "test-components")
@@ -507,10 +516,10 @@ def test_pipeline_keeps_what_plain_python_keeps(llm, tmp_path, monkeypatch):
     for i, (module, threshold, above) in enumerate(((toxicity, queries.TOXIC_THRESHOLD, False), (quality, queries.QUALITY_THRESHOLD, True))):
         scored = module.score(results[i].select("doc_id", "text"), module.fit(results[i], labels)).collect()
         assert pairs(results[i + 1].collect()) == pairs(r for r in scored if (r.score >= threshold) is above), module.__name__
-    rows = results[2].collect()
-    heads = {d for d, c, _ in brute_classes({r.doc_id: r.text for r in rows if r.doc_id is not None}.items()) if c == d}
-    first = {r.doc_id: r for r in rows if r.doc_id in heads}
-    assert pairs(results[3].collect()) == pairs([*first.values(), *(r for r in rows if r.doc_id is None)]) and len(first) < len(rows)
+    # every row is compared by its own text; of a class the smallest id stays, rows without one come last
+    rows = sorted(results[2].collect(), key=lambda r: (r.doc_id is None, r.doc_id or 0))
+    heads = [i for i, c, _ in brute_classes(enumerate(r.text for r in rows)) if c == i]
+    assert pairs(results[3].collect()) == pairs(rows[i] for i in heads) and len(heads) < len(rows)
     cells = {(r.source, r.lang, r.topic): r.probability for r in mixing.probabilities(results[3]).collect()}
     drawn = []
     for r in results[3].collect():
