@@ -27,6 +27,8 @@ from offerlake.llm.common import empty_text, stage
 ROUNDS = 8
 CALIBRATIONS = 12
 BROADCAST_CELLS = 100_000
+#: Values of a dimension up to which its factors are kept as one map.
+FACTOR_VALUES = 200
 #: Target share of a value: its share of the tokens to this power, made to sum to one.
 FLATTENING = {"source": 0.5, "lang": 0.7, "topic": 0.5}
 SHARE = 0.6
@@ -63,14 +65,45 @@ def flattened_targets(cells: DataFrame, dimension: str, power: float, tokens: st
 
 
 def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS, tokens: str = "tokens") -> DataFrame:
-    """``cells`` with a column ``weight`` whose sums meet the target shares of every dimension."""
+    """``cells`` with a column ``weight`` whose sums meet the target shares of every dimension.
+
+    A cell's weight is its share times one factor for each of its values. Where every dimension has at most
+    ``FACTOR_VALUES`` values, those factors are all that changes from round to round; with more, weights are a table.
+    """
     total = cells.agg(F.sum(tokens).alias("s")).first()["s"] or 1
-    raked = stage(cells.withColumn("weight", F.col(tokens).cast("double") / F.lit(float(total))), "mixing-cells")
+    start = stage(cells.withColumn("weight", F.col(tokens).cast("double") / F.lit(float(total))), "mixing-cells")
+    few = all(start.select(d).distinct().limit(FACTOR_VALUES + 1).count() <= FACTOR_VALUES for d in targets)
+    return _rake_factors(start, targets, rounds) if few else _rake_tables(start, targets, rounds)
+
+
+def _rake_factors(start: DataFrame, targets: dict[str, DataFrame], rounds: int) -> DataFrame:
+    wanted = {d: {r[d]: r["target"] for r in start.select(d).distinct().join(t, d).select(d, "target").collect()} for d, t in targets.items()}
+    factors: dict[str, dict] = {d: {} for d in targets}
+
+    def weight() -> Column:
+        value = F.col("weight")
+        for d, own in factors.items():
+            if own:
+                pairs = F.create_map(*[F.lit(x) for pair in own.items() for x in pair])
+                value = value * F.coalesce(F.try_element_at(pairs, F.col(d)), F.lit(1.0))
+        return value
+
+    for _ in range(rounds):
+        for d in targets:
+            for row in start.groupBy(d).agg(F.sum(weight()).alias("s")).collect():  # a row for each value
+                value, s = row[d], row["s"]
+                if value is not None:
+                    factors[d][value] = factors[d].get(value, 1.0) * (wanted[d].get(value, s) / s if s > 0 else 0.0)
+    return start.withColumn("weight", weight())
+
+
+def _rake_tables(raked: DataFrame, targets: dict[str, DataFrame], rounds: int) -> DataFrame:
+    rest = [c for c in raked.columns if c != "weight"]
     for _ in range(rounds):
         for dimension, target in targets.items():
             sums = raked.groupBy(dimension).agg(F.sum("weight").alias("_sum")).join(target, dimension, "left")
             factor = F.when(F.col("_sum") > 0, F.coalesce(F.col("target"), F.col("_sum")) / F.col("_sum")).otherwise(F.lit(0.0))
-            raked = raked.join(sums.select(dimension, factor.alias("_factor")), dimension).select(*cells.columns, (F.col("weight") * F.col("_factor")).alias("weight"))
+            raked = raked.join(sums.select(dimension, factor.alias("_factor")), dimension).select(*rest, (F.col("weight") * F.col("_factor")).alias("weight"))
         raked = stage(raked, "mixing-cells")  # a plan of constant size, and nothing to compute anew
     return raked
 

@@ -479,6 +479,18 @@ def test_mixing_meets_its_targets(llm, odd_docs, no_docs):
     assert mixing.sample(clashing, 1.0).columns == clashing.columns and mixing.sample(clashing, 1.0).count() == odd_docs.count()
 
 
+def test_raking_by_factors_and_by_tables_agree(llm, monkeypatch):
+    docs = llm.read.parquet(f"{SMALL}/documents.parquet")
+    target = llm.createDataFrame([("en", 0.7), ("nowhere", 0.3)], "lang string, target double")
+    found = []
+    for limit in (200, 1):
+        monkeypatch.setattr(mixing, "FACTOR_VALUES", limit)
+        cells = mixing.probabilities(docs, targets={"lang": target}).collect()
+        found.append({(r.source, r.lang, r.topic): (r.weight, r.probability) for r in cells})
+    assert found[0].keys() == found[1].keys() and len(found[0]) > 10
+    assert all(np.allclose(found[0][k], found[1][k], rtol=1e-9) for k in found[0])
+
+
 def test_pipeline_stages_take_effect(llm):
     docs = llm.read.parquet(f"{SMALL}/documents.parquet")
     for (name, function), check in zip(corpus_pipeline.STAGES[:4], (True, True, True, True)):
