@@ -317,6 +317,29 @@ def _(t):
     return rows.select("document_id", "template", "item_seq", F.col("quantity").cast("double").alias("quantity"), F.col("line_total").cast("double").alias("line_total"), "page_ref")
 
 
+@query("mixed_corpus_texts", "FLT-07 FLT-11 FN-11 LI-02 LI-04 LI-06 LI-07 LI-08 LI-09 LI-14", MIXED_SQL + r"""
+, c AS (SELECT i.*, e.key AS k, 'K' || part_key AS code, CAST(CAST(quantity AS BIGINT) AS VARCHAR) AS q, chr(10) AS nl,
+    COALESCE(LEAD(page_ref) OVER (PARTITION BY i.document_id ORDER BY item_seq) <> page_ref, FALSE) AS last_of_page FROM line_items i JOIN mixed USING (document_id)
+), money AS (SELECT *, replace(replace(replace(format('{:,.2f}', CAST(unit_price AS DOUBLE)), ',', '#'), '.', ','), '#', '.') AS u, replace(replace(replace(format('{:,.2f}', CAST(line_total AS DOUBLE)), ',', '#'), '.', ','), '#', '.') AS g FROM c)
+SELECT document_id, k AS template, CAST(ROW_NUMBER() OVER (PARTITION BY document_id ORDER BY item_seq) AS INTEGER) AS item_seq,
+  CASE k WHEN 'muigg' THEN '01.02' WHEN 'koch' THEN 'Top 7' WHEN 'schachermayer' THEN 'Haus ' || document_id WHEN 'rekord_vomp' THEN 'F' || code WHEN 'schuchter' THEN 'EG: Bad' WHEN 'schlotterer' THEN 'W' || item_seq || 'a' END AS lv_pos,
+  CASE WHEN k NOT IN ('schachermayer', 'sr_schauraum') THEN 1200.0::DOUBLE END AS height_mm, CASE WHEN k IN ('muigg', 'newo', 'schuchter') THEN TRUE WHEN k IN ('schachermayer', 'schlotterer') THEN FALSE END AS image_required,
+  CASE k WHEN 'rieder' THEN CASE WHEN is_alternative THEN 'Alternativ für Pos. 1' || nl ELSE '' END || 'Fenster ' || code || ' Dreh' || nl || q || ' Stk' || nl || 'B/H: 900 x 1200' || nl || 'Uw 0,9'
+    WHEN 'muigg' THEN 'LV-Pos: 01.02' || nl || 'Rahmen verzinkt'
+    WHEN 'entholzer' THEN 'Aluclip ' || code || nl || 'Menge: ' || q || ' Stk. Element' || CASE WHEN is_alternative THEN nl || 'Alternativ zur Vorposition' ELSE '' END || nl || 'B/H: 900 x 1200'
+    WHEN 'koch' THEN 'Objektposition: Top 7' WHEN 'schachermayer' THEN 'Solido ' || code || nl || 'weiß beschichtet' WHEN 'alu_one' THEN '900 mm x 1200 mm' || nl || 'Rahmen: pulverbeschichtet'
+    WHEN 'newo' THEN 'NeWo Raffstore ' || code || ' weiß' || CASE WHEN is_alternative THEN nl || 'Alternativ' ELSE '' END || nl || 'Elementbreite: 900 mm, Elementhöhe: 1200 mm'
+    WHEN 'sr_schauraum' THEN CASE WHEN is_alternative THEN 'OPTIONAL: Paket ' ELSE 'MODUL ' || item_seq || ' Paket ' END || code || nl || '- mit Einschulung' || nl || q || ' Stk ' || u || ' EUR ' || g || ' EUR'
+    WHEN 'rekord_vomp' THEN 'Kunststoff ' || code || nl || 'RAM: 900 mm x 1200 mm' WHEN 'schuchter' THEN 'Fenster ' || code || '-flg' || nl || 'B/H: 900 x 1200' || CASE WHEN last_of_page THEN nl || 'Seite 2 von' ELSE '' END  -- this layout's text runs into the page head
+    ELSE 'Breite: 900mm' || nl || 'Höhe: 1200mm' || nl || 'Funkmotor 10,00' END AS long_text
+FROM money""")
+def _(t):
+    """Codes, sizes, flags and long texts of every layout; the totals behind the last position are cut off."""
+    rows = items.typed_items(items.numbered(extract_items(stage_by_template(rendered_mixed(t)))))
+    long_text = F.regexp_replace("description_long", r"(?s)\n(?:Gesamt Nettosumme|MwSt 20 %).*$", "")
+    return rows.select("document_id", "template", "item_seq", "lv_pos", F.col("height_mm").cast("double").alias("height_mm"), "image_required", long_text.alias("long_text"))
+
+
 @query("carried_components", "LI-12 LI-13", """
 , r AS (SELECT document_id, item_seq, LEAD(page_ref) OVER (PARTITION BY document_id ORDER BY item_seq) <> page_ref AS last_of_page FROM line_items)
 SELECT document_id, item_seq, 1 AS component_no, 'Funkmotor' AS label, 10.0::DOUBLE AS amount FROM r
