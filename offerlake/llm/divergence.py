@@ -7,7 +7,8 @@ up its slot, the stored key is compared byte by byte, and a dense row of slots p
 incremented. Shards are sent in rounds of at most ``ROUND_BYTES`` (a single larger shard alone), each
 over all documents, so what is broadcast never grows beyond that; the driver keeps one (number, size) per shard.
 
-Counts leave a task when its cells are full or it ends, and are summed by Spark. Probabilities and
+Counts leave a task in blocks of slots when its cells are full or it ends; Spark deals and sorts the blocks,
+and equal ones are added up as they stream by. Probabilities and
 divergences are integers throughout. Pairs of sources are compared in blocks of terms that are sized by
 sources times terms; block sums are added up. A pair is a row of the result, so only rows of one language meet.
 
@@ -40,6 +41,8 @@ ROUND_BYTES = 32_000_000
 HELD_TERMS, HELD_BYTES = 200_000, 16_000_000
 #: Counters that a task of the second pass holds.
 HELD_CELLS = 12_000_000
+#: Slots of a source that leave a task as one row.
+BLOCK_SLOTS = 4096
 #: Cells (sources times terms) of a block in which sources are compared.
 BLOCK_CELLS = 100_000
 #: Positions per key in a level of the perfect hash, and levels before keys are listed.
@@ -286,11 +289,19 @@ def _recount(sent, shards: int, held: int):
 
         def flush(cells: Cells) -> Iterator[pa.RecordBatch]:
             for lang, source, slots, n in cells.counts():
-                for at in range(0, len(slots), 50_000):
-                    some = slots[at : at + 50_000]
-                    shard = np.searchsorted(edges, some, side="right") - 1
-                    names = [pa.repeat(pa.scalar(name, pa.string()), len(some)) for name in (lang, source)]
-                    yield pa.RecordBatch.from_arrays([*names, pa.array(numbers[shard]), pa.array((some - edges[shard]).astype(np.int32)), pa.array(n[at : at + 50_000])], names=["lang", "source", "shard", "slot", "n"])
+                if not len(slots):
+                    continue
+                shard = np.searchsorted(edges, slots, side="right") - 1
+                local = slots - edges[shard]
+                block = local // BLOCK_SLOTS
+                cut = np.flatnonzero(np.diff(shard * (1 << 40) + block, prepend=-1))
+                ends = np.append(cut[1:], len(slots))
+                spans = list(zip(cut.tolist(), ends.tolist(), strict=True))
+                names = [pa.repeat(pa.scalar(name, pa.string()), len(cut)) for name in (lang, source)]
+                yield pa.RecordBatch.from_arrays([
+                    *names, pa.array(numbers[shard[cut]]), pa.array(block[cut].astype(np.int32)),
+                    pa.array([local[a:b].astype("<i4").tobytes() for a, b in spans], pa.binary()), pa.array([n[a:b].astype("<i8").tobytes() for a, b in spans], pa.binary()),
+                ], names=["lang", "source", "shard", "block", "slots", "counts"])
 
         cells = Cells(hashed.n)
         for batch in batches:
@@ -318,6 +329,28 @@ def _recount(sent, shards: int, held: int):
     return run
 
 
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of equal blocks, which stand next to each other; one block is held at a time."""
+    current, total = None, np.zeros(BLOCK_SLOTS, np.int64)
+
+    def done() -> pa.RecordBatch:
+        lang, source, shard, block = current
+        own = np.flatnonzero(total)
+        names = [pa.repeat(pa.scalar(name, pa.string()), len(own)) for name in (lang, source)]
+        return pa.RecordBatch.from_arrays([*names, pa.array(np.full(len(own), shard, np.int32)), pa.array((own + block * BLOCK_SLOTS).astype(np.int32)), pa.array(total[own])], names=["lang", "source", "shard", "slot", "n"])
+
+    for batch in batches:
+        for *key, slots, counts in zip(*(batch.column(c).to_pylist() for c in ("lang", "source", "shard", "block", "slots", "counts")), strict=True):
+            if current != tuple(key):
+                if current is not None:
+                    yield done()
+                current = tuple(key)
+                total.fill(0)
+            total[np.frombuffer(slots, "<i4") - current[3] * BLOCK_SLOTS] += np.frombuffer(counts, "<i8")
+    if current is not None:
+        yield done()
+
+
 def recount(docs: DataFrame, shards: DataFrame, total: int) -> DataFrame:
     """(lang, source, shard, slot, n) of all kept terms; n occurrences, at least one."""
     rows = docs.select(empty_text("lang").alias("lang"), empty_text("source").alias("source"), empty_text().alias("text"))
@@ -333,8 +366,10 @@ def recount(docs: DataFrame, shards: DataFrame, total: int) -> DataFrame:
     for own in rounds:
         parts = [r.asDict() for r in shards.where(F.col("shard").between(own[0], own[-1])).collect()]
         sent = docs.sparkSession.sparkContext.broadcast(parts)
-        counts = rows.mapInArrow(_recount(sent, total, HELD_CELLS), "lang string, source string, shard int, slot int, n long")
-        counts = stage(counts.groupBy("lang", "source", "shard", "slot").agg(F.sum("n").alias("n")), "divergence-counts", tidy=True)
+        blocks = rows.mapInArrow(_recount(sent, total, HELD_CELLS), "lang string, source string, shard int, block int, slots binary, counts binary")
+        place = ("lang", "source", "shard", "block")
+        summed = blocks.repartition(*place).sortWithinPartitions(*place).mapInArrow(_added, "lang string, source string, shard int, slot int, n long")
+        counts = stage(summed, "divergence-counts", tidy=True)
         counted = counts if counted is None else counted.unionByName(counts)
         sent.destroy()
     return counted if counted is not None else docs.sparkSession.createDataFrame([], "lang string, source string, shard int, slot int, n long")
