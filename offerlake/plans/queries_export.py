@@ -13,7 +13,7 @@ from offerlake.operators import export as X
 from offerlake.operators.amounts import condition_profile
 from offerlake.operators.validate import documents_without_positions
 from offerlake.plans.catalog import query
-from offerlake.plans.queries_links import LINKS_SQL, resolved_links
+from offerlake.plans.queries_links import HEX_SQL, LINKS_SQL, UUID_SQL, resolved_links
 from offerlake.plans.queries_pricing import PROFILE_SQL
 from offerlake.plans.views import Tables
 
@@ -205,11 +205,11 @@ SELECT CAST(d.document_id AS VARCHAR) AS source_document_id, supplier_name,
        CASE WHEN linked_offer_document_id IS NOT NULL THEN CAST(linked_offer_document_id AS VARCHAR) WHEN document_type <> 'auftragsbestaetigung' THEN offer_reference END AS offer_reference,
        CAST(document_date AS VARCHAR) AS document_date, project_ref, currency AS currency_code, CAST(net_total AS DOUBLE) AS net_total,
        CAST(vat_total AS DOUBLE) AS vat_total, CAST(gross_total AS DOUBLE) AS gross_total, COALESCE(a, FALSE) AS is_alternate, '2026-01-02 03:04:05' AS created_at,
-       project_ref AS subject, FALSE AS orderdoc_additional
+       project_ref AS subject, FALSE AS orderdoc_additional, """ + UUID_SQL.format(HEX_SQL.format("'document:' || d.document_id")) + """ AS external_document_id
 FROM docs d LEFT JOIN links l ON l.document_id = d.document_id LEFT JOIN onlyalt o ON o.document_id = d.document_id""")
 def _(t):
     rows = X.header_rows(t.documents, resolved_links(t), _prepared(t), F.lit(EXPORTED_AT).cast("timestamp"))
-    return rows.drop("external_document_id", "supplier_id", "tax_type", "customer_id", "orderdoc_destination")
+    return rows.drop("supplier_id", "tax_type", "customer_id", "orderdoc_destination")
 
 
 @query("export_image_warnings", "ALT-11 SNK-08", PREPARED_SQL + """
@@ -240,9 +240,12 @@ def _(t):
     return X.export_summary(_with_images(t), t.documents, documents_without_positions(t.documents, t.positions))
 
 
-@query("export_id_map", "ALT-13", PREPARED_SQL + " SELECT DISTINCT document_id, export_id AS source_line_item_id FROM prepared")
+@query("export_id_map", "ALT-13 FN-17", PREPARED_SQL + """
+, last_of AS (SELECT document_id, export_id, arg_max(source_id, (major, minor, list_idx)) AS source_id FROM prepared GROUP BY ALL
+), named AS (SELECT document_id, export_id, """ + HEX_SQL.format("'document:' || document_id || ':line-item:' || source_id") + """ AS b FROM last_of)
+SELECT document_id, export_id AS source_line_item_id, """ + UUID_SQL.format("b") + """ AS external_line_item_id FROM named""")
 def _(t):
-    return X.line_item_ids(_prepared(t)).select("document_id", "source_line_item_id")
+    return X.line_item_ids(_prepared(t))
 
 
 @query("clean_long_texts", "FLT-06 FN-19 FN-18", """

@@ -264,17 +264,21 @@ def _(t):
     )
 
 
-_HEX = "sha1(CAST(unhex('8f0f8c500f5845d8b8e583a0f7e79a11') AS BLOB) || encode({0}))"
+HEX_SQL = "sha1(CAST(unhex('8f0f8c500f5845d8b8e583a0f7e79a11') AS BLOB) || encode({0}))"
+
+
+UUID_SQL = (
+    "(substr({0}, 1, 8) || '-' || substr({0}, 9, 4) || '-5' || substr({0}, 14, 3) || '-' || translate(substr({0}, 17, 1), '0123456789abcdef', '89ab89ab89ab89ab') || substr({0}, 18, 3) || '-' || substr({0}, 21, 12))"
+)
 
 
 @query("external_ids", "FN-17", """
 , named AS (SELECT document_id, item_seq, 'document:' || document_id AS doc_name, 'document:' || document_id || ':line-item:' || line_item_id AS item_name FROM line_items
 ), hashed AS (
-  SELECT document_id, item_seq, """ + _HEX.format("doc_name") + " AS a, " + _HEX.format("item_name") + """ AS b FROM named
+  SELECT document_id, item_seq, """ + HEX_SQL.format("doc_name") + " AS a, " + HEX_SQL.format("item_name") + """ AS b FROM named
 )
 SELECT document_id, item_seq,
-  substr(a, 1, 8) || '-' || substr(a, 9, 4) || '-5' || substr(a, 14, 3) || '-' || translate(substr(a, 17, 1), '0123456789abcdef', '89ab89ab89ab89ab') || substr(a, 18, 3) || '-' || substr(a, 21, 12) AS external_document_id,
-  substr(b, 1, 8) || '-' || substr(b, 9, 4) || '-5' || substr(b, 14, 3) || '-' || translate(substr(b, 17, 1), '0123456789abcdef', '89ab89ab89ab89ab') || substr(b, 18, 3) || '-' || substr(b, 21, 12) AS external_line_item_id
+  """ + UUID_SQL.format("a") + " AS external_document_id, " + UUID_SQL.format("b") + """ AS external_line_item_id
 FROM hashed""")
 def _(t):
     return t.line_items.select(
