@@ -56,3 +56,14 @@ def test_amount_lines_look_ahead(spark):
     got = amounts.extract_amount_lines(spark.createDataFrame([(1, text)], "document_id long, text string")).orderBy("line_no").collect()
     assert [(r.line_type, r.amount_raw, r.percent_raw) for r in got] == [
         ("subtotal", "1.000,00", None), ("discount", "-50,00", "5"), ("vat", "190,00", "20"), ("net_total", "950,00", None)]
+
+
+def test_effective_discount_rounds_exact_half_cents_up(spark):
+    # 0.15 of 0.30 at 0.01 is half a cent, which 1 / 30 cut to some digits falls short of
+    items = spark.sql("""
+        SELECT 1L AS document_id, seq AS item_seq, false AS is_alternative, CAST(1 AS DECIMAL(14,4)) AS quantity, CAST(0.15 AS DECIMAL(14,2)) AS unit_price,
+               CAST(0.15 AS DECIMAL(14,2)) AS line_total, '1' AS position_no, CAST(NULL AS STRING) AS lv_pos, 'Raffstore' AS description_short
+        FROM VALUES (1), (2) AS v(seq)""")
+    profile = spark.sql("SELECT 1L AS document_id, CAST(0.01 AS DECIMAL(14,2)) AS net_total")
+    rows = pricing.price_by_effective_discount(items, profile).orderBy("item_seq").collect()
+    assert [str(r["line_total"]) for r in rows] == ["0.01", "0.00"]
