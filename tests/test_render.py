@@ -1,0 +1,13 @@
+from offerlake.operators.windows import spread_documents
+
+
+def test_texts_are_not_merged_into_a_few_tasks(spark):
+    rows = spark.range(4000).selectExpr("id % 400 AS document_id", "id AS item").groupBy("document_id").count()
+    want = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.minPartitionSize", "1m")
+    try:
+        spread = spread_documents(rows)
+        assert spread.count() == 400 and spread.rdd.getNumPartitions() == want
+        assert rows.repartition("document_id").rdd.getNumPartitions() < want
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
