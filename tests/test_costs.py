@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from offerlake.functions import export_text as E
 from offerlake.functions import text as X
 from offerlake.operators import items
 from offerlake.rules.blocks import _slat_body
@@ -39,3 +40,22 @@ def test_text_of_a_slat_row_in_its_three_shapes(spark):
     ]
     df = spark.createDataFrame([(t,) for t, _ in cases], "t string")
     assert [r[0] for r in df.select(_slat_body(F.col("t"))).collect()] == [body for _, body in cases]
+
+
+def test_long_texts_meet_each_pattern_once(spark):
+    cases = [
+        ("12 Stk Tür\nEP: € 1.250,00 lackiert\nAlternativ: x\nKu.Pos.: 47\n965 1000", "Tür\nlackiert"),
+        ("3 Stk Tür 1,00 2,00\nwww.schlotterer.com\n \u3000\n2 Stk", None), ("12,00 Stück 01.02.03.A:\nweiß ( roh ) , matt", "weiß (roh), matt"), ("", None), (None, None),
+    ]
+    df = spark.createDataFrame([(t, 12) for t, _ in cases], "t string, q int").select("t", F.col("q").cast("decimal(14,4)").alias("q"))
+    clean = df.select(E.clean_long_text(F.col("t"), F.col("q"), F.lit("Stk")))
+    assert [r[0] for r in clean.collect()] == [text for _, text in cases]
+    assert clean._jdf.queryExecution().optimizedPlan().toString().count(E.QUANTITY_PREFIX) <= 4
+
+
+def test_rich_text_escapes_without_a_row_per_sign(spark):
+    df = spark.createDataFrame([("a{b}\\\r\nü😀ü\t|",), (None,)], "t string")
+    rich = df.select(E.rich_text(F.col("t")))
+    body = "a\\{b\\}\\\\\\line \\u252?\\u62976?\\u252?\\u9?|"
+    assert [r[0] for r in rich.collect()] == [E.RTF_HEAD + body + E.RTF_TAIL, E.RTF_HEAD + E.RTF_TAIL]
+    assert "split(" not in rich._jdf.queryExecution().optimizedPlan().toString()
