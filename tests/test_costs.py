@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from offerlake.functions import export_text as E
 from offerlake.functions import text as X
-from offerlake.operators import items
+from offerlake.operators import amounts, items, quality
 from offerlake.rules.blocks import _slat_body
 from offerlake.rules.registry import REGISTRY
 
@@ -48,7 +48,7 @@ def test_long_texts_meet_each_pattern_once(spark):
         ("3 Stk Tür 1,00 2,00\nwww.schlotterer.com\n \u3000\n2 Stk", None), ("12,00 Stück 01.02.03.A:\nweiß ( roh ) , matt", "weiß (roh), matt"), ("", None), (None, None),
     ]
     df = spark.createDataFrame([(t, 12) for t, _ in cases], "t string, q int").select("t", F.col("q").cast("decimal(14,4)").alias("q"))
-    clean = df.select(E.clean_long_text(F.col("t"), F.col("q"), F.lit("Stk")))
+    clean = df.select(E.clean_long_text(F.col("t"), F.col("q"), F.lit("Stk")).alias("clean"))
     assert [r[0] for r in clean.collect()] == [text for _, text in cases]
     assert clean._jdf.queryExecution().optimizedPlan().toString().count(E.QUANTITY_PREFIX) <= 4
 
@@ -59,3 +59,17 @@ def test_rich_text_escapes_without_a_row_per_sign(spark):
     body = "a\\{b\\}\\\\\\line \\u252?\\u62976?\\u252?\\u9?|"
     assert [r[0] for r in rich.collect()] == [E.RTF_HEAD + body + E.RTF_TAIL, E.RTF_HEAD + E.RTF_TAIL]
     assert "split(" not in rich._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_group_rows_are_read_by_one_match(spark):
+    text = "Raffstore 1.250,00 20,00 % 10,00\nMotor 50,00 30 % -15,00 dazu\nRabatte: 5,00 3 % 1,00\nRaffstore 1.250,00 20,00 % 10,00\nMotor 5"
+    df = amounts.discount_groups(spark.createDataFrame([(1, text)], "document_id long, text string"))
+    rows = sorted((r.group_order, r.label, str(r.base_amount), str(r.percent), str(r.discount_amount)) for r in df.collect())
+    assert rows == [(0, "Raffstore", "1250.00", "20.0000", "-10.00"), (1, "Motor", "50.00", "30.0000", "-15.00")]
+    assert df._jdf.queryExecution().optimizedPlan().toString().count(amounts.GROUP_ROW) <= 2
+
+
+def test_leak_audit_cuts_lines_once(spark):
+    df = quality.leak_audit(spark.createDataFrame([(1, "3 Stk\nx 12 34\ny 1,00"), (1, None), (2, "z 4")], "supplier int, description_long string"), "supplier")
+    assert [tuple(r) for r in df.collect()] == [(1, 2, 1, 1, 1, 0, 1), (2, 1, 1, 0, 0, 1, 0)]
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
