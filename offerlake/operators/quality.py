@@ -29,12 +29,11 @@ def compare_fields(expected: DataFrame, actual: DataFrame, key: str, fields: lis
 
 def leak_audit(items: DataFrame, supplier: str) -> DataFrame:
     """Flagged positions per supplier and detector, worst supplier first. Candidates, not findings."""
-    lines = F.filter(X.filled_lines(F.coalesce("description_long", F.lit(""))), lambda line: line != "")
-    def any_line(pattern: str) -> Column:
-        return F.exists(lines, lambda line: F.regexp_like(line, F.lit(pattern)))
-
-    flags = {name: any_line(pattern) for name, pattern in LEAKS.items()}
-    flagged = items.select(supplier, *[v.alias(c) for c, v in flags.items()])
+    any_line = lambda lines, pattern: F.exists(lines, lambda line: F.regexp_like(line, F.lit(pattern)))
+    # the lines are cut once for all detectors
+    flags = X.let(X.filled_lines(F.coalesce("description_long", F.lit(""))), lambda lines: F.struct(
+        *[any_line(lines, pattern).alias(name) for name, pattern in LEAKS.items()]))
+    flagged = items.select(supplier, flags.alias("flags")).select(supplier, "flags.*")
     any_flag = F.greatest(*[F.col(c).cast("int") for c in LEAKS])
     return flagged.groupBy(supplier).agg(
         F.count("*").alias("positions"), F.sum(any_flag).alias("flagged"), *[F.count_if(F.col(c)).alias(c) for c in LEAKS]
