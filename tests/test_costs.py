@@ -7,6 +7,7 @@ from offerlake.functions import text as X
 from offerlake.operators import amounts, items, quality
 from offerlake.rules.blocks import _slat_body
 from offerlake.rules.registry import REGISTRY
+from offerlake.sources import layout
 
 
 def plan_of(df) -> str:
@@ -73,3 +74,14 @@ def test_leak_audit_cuts_lines_once(spark):
     df = quality.leak_audit(spark.createDataFrame([(1, "3 Stk\nx 12 34\ny 1,00"), (1, None), (2, "z 4")], "supplier int, description_long string"), "supplier")
     assert [tuple(r) for r in df.collect()] == [(1, 2, 1, 1, 1, 0, 1), (2, 1, 1, 0, 0, 1, 0)]
     assert df._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+
+
+def test_description_columns_read_words_once_for_heads_and_prices(spark):
+    page = lambda n, cells: [(1, n, x, y, text, 595.0) for x, y, text in cells]
+    heads = [(190.0, 40.0, "Bezeichnung"), (430.0, 40.0, "E-Preis")]
+    # the leftmost price stands on the other page and ends the column there
+    rows = page(1, [*heads, (30.0, 80.0, "Pos."), (200.0, 81.0, "Fenster"), (410.0, 81.0, "rechts")]) + page(2, [*heads, (400.0, 90.0, "1.265,40")])
+    words = spark.createDataFrame(rows, "document_id long, page_ref int, x0 double, y0 double, text string, page_width double")
+    blocks = layout.description_blocks(words)
+    assert [tuple(r) for r in blocks.collect()] == [(1, 1, "Fenster")]
+    assert blocks._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") <= 4  # two of them for the bands
