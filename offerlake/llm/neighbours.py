@@ -7,7 +7,8 @@ point and keeps the distance range of each side. A side is left out when ``facto
 distance that the triangle inequality allows exceeds the distance of the worst result so far; factor
 one gives the exact result, a larger one visits less. Distances are taken between vectors scaled by a power
 of two; scores are inner products of the vectors as they are, so they may be infinite. Queries search all shards in blocks, near side
-first, with numpy over the whole block; the best of all shards are merged by a window.
+first, with numpy over the whole block; in a leaf a matrix product leaves out the rows that rounding cannot lift among the best, and only the
+rest are summed row by row. The best of all shards are merged by a window.
 
 Vectors that are null, zero, of another length than most, or with null or non-finite components take
 no part, nor do rows without an id. Rows with the same id count once (the greatest vector). Equal
@@ -74,19 +75,36 @@ def search(tree: dict, queries: np.ndarray, own: np.ndarray, k: int, factor: flo
     base = tree["norm"] ** 2 + (small**2).sum(1)
     best, which = np.full((n, k), -np.inf), np.full((n, k), -1)
 
+    # how far a score of a matrix product may be from the row-wise sum; without such a bound every row is summed
+    sure = 2 * exponent + np.log2(vectors.shape[1]) <= 1000
+    slack = 4 * vectors.shape[1] * (np.finfo(float).eps * np.ldexp(np.sqrt((small**2).sum(1)) * tree["norm"], 2 * exponent if sure else 0) + np.finfo(float).tiny)
+
+    def promising(at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in ``at``, place in ``rows``) of the pairs that may be among the k best, by a matrix product with room for rounding."""
+        if not sure:
+            return np.indices((len(at), len(rows))).reshape(2, -1)
+        rough, least = queries[at] @ vectors[rows].T, best[at, k - 1] - slack[at]
+        if len(rows) > k + 1 and np.isneginf(least).any():
+            # k + 1 rows at or above this one, at most one of them the query itself
+            least = np.maximum(least, np.partition(rough, -k - 1, axis=1)[:, -k - 1] - 2 * slack[at])
+        return np.nonzero(rough >= least[:, None])
+
     def offer(at: np.ndarray, rows: np.ndarray) -> None:
+        query, row = promising(at, rows)
+        other = ~(single[rows[row]] & (smallest[rows[row]] == own[at[query]]))
+        query, row = query[other], row[other]
         # row-wise sums: the same pair gives the same number wherever it is met
-        scores = np.einsum("qd,rd->qr", queries[at], vectors[rows], optimize=False)
-        self_only = single[rows][None, :] & (smallest[rows][None, :] == own[at][:, None])
-        scores[self_only] = -np.inf
+        sums = np.einsum("nd,nd->n", queries[at[query]], vectors[rows[row]], optimize=False)
         # most queries hold k better ones already; only a score below the worst held is out, so neither a tie nor a not-a-number
-        open_ = ~(scores.max(axis=1) < best[at, k - 1])
-        at, scores, self_only = at[open_], scores[open_], self_only[open_]
-        if not len(at):
+        open_ = ~(sums < best[at[query], k - 1])
+        query, row, sums = query[open_], row[open_], sums[open_]
+        if not len(query):
             return
-        entry = np.where(self_only, -1, rows[None, :])
-        scores = np.concatenate([best[at], scores], axis=1)
-        entry = np.concatenate([which[at], entry], axis=1)
+        changed, line, count = np.unique(query, return_inverse=True, return_counts=True)
+        at, place = at[changed], k + np.arange(len(query)) - np.repeat(np.cumsum(count) - count, count)
+        scores, entry = np.full((len(at), k + count.max()), -np.inf), np.full((len(at), k + count.max()), -1)
+        scores[:, :k], entry[:, :k] = best[at], which[at]
+        scores[line, place], entry[line, place] = sums, rows[row]
         name = np.where(entry >= 0, smallest[entry], np.iinfo(np.int64).max)
         # as Spark and SQL order doubles: not-a-number above infinity
         missing = np.isnan(scores)
@@ -100,22 +118,42 @@ def search(tree: dict, queries: np.ndarray, own: np.ndarray, k: int, factor: flo
         small = np.ldexp(np.where(full & np.isfinite(worst), worst, 0), -2 * exponent)
         return np.sqrt(np.maximum(base[at] - 2 * small, 0)) * (1 + 1e-9) + 1e-7 + np.where(full & np.isfinite(worst), 0, np.inf)
 
-    def visit(node: int, at: np.ndarray) -> None:
+    def apart(node: int, at: np.ndarray) -> np.ndarray:
+        return np.sqrt(((flat[at] - lifted[nodes[node][0]]) ** 2).sum(1))
+
+    home = np.full(n, -1)
+
+    def settle(node: int, at: np.ndarray) -> None:
+        """Every query takes the leaf on its own side of all splits first, so that the walk begins with near bounds."""
         if not len(at):
             return
         entry = nodes[node]
         if len(entry) == 1:
+            home[at] = node
             if len(entry[0]):
                 offer(at, entry[0])
             return
+        inside = apart(node, at) <= (entry[2] + entry[3]) / 2
+        settle(entry[5], at[inside])
+        settle(entry[6], at[~inside])
+
+    def visit(node: int, at: np.ndarray) -> None:
+        """All queries that a node may serve meet it at once."""
+        entry = nodes[node]
+        if len(entry) == 1:
+            at = at[home[at] != node]
+            if len(at) and len(entry[0]):
+                offer(at, entry[0])
+            return
+        if not len(at):
+            return
         point, near_low, near_high, far_low, far_high, near, far = entry
         offer(at, np.array([point]))
-        d = np.sqrt(((flat[at] - lifted[point]) ** 2).sum(1))
-        inside = d <= (near_high + far_low) / 2
-        bound_near, bound_far = np.maximum(np.maximum(near_low - d, d - near_high), 0), np.maximum(np.maximum(far_low - d, d - far_high), 0)
-        for child, rows, bound in ((near, inside, bound_near), (far, ~inside, bound_far), (far, inside, bound_far), (near, ~inside, bound_near)):
-            visit(child, at[rows & (bound * factor <= reach(at))])
+        d = apart(node, at)
+        for child, low, high in ((near, near_low, near_high), (far, far_low, far_high)):
+            visit(child, at[np.maximum(np.maximum(low - d, d - high), 0) * factor <= reach(at)])
 
+    settle(0, np.arange(n))
     visit(0, np.arange(n))
     row, slot = np.nonzero(which >= 0)
     entry = which[row, slot]

@@ -542,3 +542,25 @@ def test_pipeline_keeps_what_plain_python_keeps(llm, tmp_path, monkeypatch):
     encoding = reference_encoding()
     want = sorted((r.doc_id or -1, np.array(encoding.encode_ordinary(r.text or ""), np.uint32).tobytes()) for r in drawn)
     assert sorted((r.doc_id or -1, bytes(r.ids)) for r in results[5].collect()) == want
+
+
+def test_neighbour_search_meets_each_node_once_a_block(monkeypatch):
+    """A block of queries is not cut into ever smaller groups on its way down a tree."""
+    rng = np.random.default_rng(5)
+    vectors, ids = rng.normal(size=(3000, 24)), rng.permutation(3000)
+    vectors[50:90] = vectors[50]
+    exponent = int(np.frexp(np.abs(vectors).max())[1])
+    tree = neighbours.build(vectors, ids, float(np.sqrt((np.ldexp(vectors, -exponent) ** 2).sum(1)).max()), 20, exponent=exponent)
+    calls, einsum = [], np.einsum
+    monkeypatch.setattr(np, "einsum", lambda *a, **k: calls.append(1) or einsum(*a, **k))
+    asked = ids % 5 == 0
+    row, found, scores = neighbours.search(tree, vectors[asked], ids[asked], 20)
+    assert len(calls) <= 2 * len(tree["nodes"])
+    monkeypatch.undo()
+    true = einsum("qd,rd->qr", vectors[asked], vectors, optimize=False)
+    for q, own in enumerate(ids[asked]):
+        true[q, ids == own] = -np.inf
+        best = np.lexsort((ids, -true[q]))[:20]
+        mine = row == q
+        order = np.lexsort((found[mine], -scores[mine]))[:20]
+        assert (found[mine][order] == ids[best]).all() and (scores[mine][order] == true[q, best]).all()
