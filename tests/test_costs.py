@@ -1,10 +1,12 @@
 """Steps that were too dear a row: what they may not do again, and that results stayed."""
 
+import itertools
+
 from pyspark.sql import functions as F
 
 from offerlake.functions import export_text as E
 from offerlake.functions import text as X
-from offerlake.operators import amounts, items, quality
+from offerlake.operators import amounts, images, items, quality
 from offerlake.rules.blocks import _slat_body
 from offerlake.rules.registry import REGISTRY
 from offerlake.sources import layout
@@ -85,3 +87,25 @@ def test_description_columns_read_words_once_for_heads_and_prices(spark):
     blocks = layout.description_blocks(words)
     assert [tuple(r) for r in blocks.collect()] == [(1, 1, "Fenster")]
     assert blocks._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") <= 4  # two of them for the bands
+
+
+def test_next_windows_share_one_exchange(spark):
+    rows = [(1, 1, 1, 0.1), (1, 2, 1, 0.5), (1, 3, 1, 0.5), (1, 4, 3, 0.2), (1, 5, None, 0.3), (1, 6, 3, None), (2, 1, 1, 0.4)]
+    out = items.next_windows(spark.createDataFrame(rows, "document_id long, item_seq int, page_ref int, item_top_ratio double"))
+    plan = plan_of(out)
+    assert "Join" not in plan and plan.count("Exchange") == 1
+    cells = ("next_position_page_ref", "next_position_top_ratio", "next_item_top_ratio", "next_page_first_item_top_ratio")
+    assert sorted((r.document_id, r.item_seq, *(r[c] for c in cells)) for r in out.collect()) == [
+        (1, 1, 1, 0.5, 0.5, None), (1, 2, 1, 0.5, 0.5, 0.2), (1, 3, 3, 0.2, None, None), (1, 4, None, None, None, None),
+        (1, 5, None, None, None, None), (1, 6, None, None, None, None), (2, 1, None, None, None, None),
+    ]
+
+
+def test_window_bounds_say_what_the_window_says(spark):
+    values = {"page": (1, 2), "top": (None, 0.0, 0.4), "np": (None, 1, 2, 3), "nt": (None, 0.3), "ni": (None, 0.6), "nf": (None, 0.2)}
+    rows = [(p, t, np_, nt, ni, nf, a, p + gap) for p, t, np_, nt, ni, nf in itertools.product(*values.values()) for a in (None, 0.0, 0.25, 0.39, 0.5, 0.9) for gap in (0, 1)]
+    df = spark.createDataFrame(rows, "page_ref int, item_top_ratio double, next_position_page_ref int, next_position_top_ratio double, next_item_top_ratio double, next_page_first_item_top_ratio double, a double, image_page int")
+    image = F.struct(F.col("image_page").alias("page_ref"), F.col("a").alias("center_y_ratio"), F.lit(None).cast("double").alias("top_ratio"), F.col("a").alias("anchor"))
+    bounds = images.with_bounds(df)
+    found = F.when(F.col("image_page") == F.col("page_ref"), images._here(F.col("image"))).otherwise(images._next(F.col("image")))
+    assert bounds.withColumn("image", image).where(~found.eqNullSafe(images.within_window(F.col("image")))).count() == 0
