@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from offerlake.functions import export_text as E
 from offerlake.functions import text as X
-from offerlake.operators import amounts, images, items, quality
+from offerlake.operators import amounts, images, items, pricing, quality
 from offerlake.rules.blocks import _slat_body
 from offerlake.rules.registry import REGISTRY
 from offerlake.sources import layout
@@ -109,3 +109,38 @@ def test_window_bounds_say_what_the_window_says(spark):
     bounds = images.with_bounds(df)
     found = F.when(F.col("image_page") == F.col("page_ref"), images._here(F.col("image"))).otherwise(images._next(F.col("image")))
     assert bounds.withColumn("image", image).where(~found.eqNullSafe(images.within_window(F.col("image")))).count() == 0
+
+
+def test_group_discounts_and_their_fallback_pass_the_positions_once(spark):
+    money = "CAST({} AS DECIMAL(14,2))".format
+    items = spark.sql(f"""
+        SELECT doc AS document_id, seq AS item_seq, false AS is_alternative, CAST(1 AS DECIMAL(14,4)) AS quantity, {money(100)} AS unit_price, {money(100)} AS line_total,
+               '1' AS position_no, CAST(NULL AS STRING) AS lv_pos, text AS description_short, CAST(array() AS ARRAY<STRUCT<label:STRING,amount_raw:STRING>>) AS components
+        FROM VALUES (1L, 1, ' Röd  tür'), (1L, 2, 'Griff'), (2L, 1, 'Röd tür'), (2L, 2, 'Verpackungsbeitrag'), (3L, 1, NULL) AS v(doc, seq, text)""")
+    groups = spark.sql("SELECT doc AS document_id, 0 AS group_order, 'roed' AS key, CAST(20 AS DECIMAL(8,4)) AS percent FROM VALUES (1L), (2L) AS v(doc)")
+    profile = spark.sql(f"SELECT doc AS document_id, CAST(net AS DECIMAL(14,2)) AS net_total FROM VALUES (1L, 180.05), (2L, 150.00) AS v(doc, net)")
+    priced = pricing.price_with_fallback(items, profile, groups)
+    rows = {(r["document_id"], r["item_seq"]): (str(r["line_total"]), r["pricing_applied"], r["pricing_adjustment_source"]) for r in priced.collect()}
+    by_group, by_net = "schlotterer_discount_groups", "schlotterer_effective_discount"
+    assert rows == {
+        (1, 1): ("80.05", True, by_group), (1, 2): ("100.00", False, None),
+        (2, 1): ("50.00", True, by_net), (2, 2): ("100.00", False, None), (3, 1): ("100.00", False, None),
+    }
+    optimized = priced._jdf.queryExecution().optimizedPlan().toString()
+    # no second pass for the documents without accepted groups; one key a position, not one a group name
+    assert "LeftAnti" not in optimized and "Union" not in optimized
+    assert optimized.count("[^a-z0-9]+") <= 3
+
+
+def test_runs_are_folded_once_a_page_and_lines_normalised_once(spark):
+    lines = spark.createDataFrame([(1, 1, 30.0, 80.0, "\r001 ", 842.0), (1, 1, 70.0, 80.5, "2\u00a0Stk", 842.0), (1, 1, 120.0, 81.0, "Element K7", 842.0),
+                                   (1, 1, 400.0, 81.2, "10,00 €", 842.0), (1, 1, 120.0, 94.0, " \u00a0\r\u3000", 842.0), (1, 1, 9.0, None, "x", 842.0)],
+                                  "document_id long, page_ref int, x0 double, y0 double, text string, page_height double")
+    hints = layout.row_hints(lines)
+    assert [r["position_no"] for r in hints.collect()] == ["001"]
+    optimized = hints._jdf.queryExecution().optimizedPlan().toString()
+    assert optimized.count(X.UNEVEN_BLANKS) == 1
+    # below the explode, not anew for each exploded row
+    assert "filter(aggregate(" not in optimized
+    filled = lines.select(X.is_filled(F.col("text")).alias("a"), (X.normalize_line(F.col("text")) != "").alias("b"), (X.strip(F.col("text")) != "").alias("c"))
+    assert all(r["a"] == r["b"] == r["c"] for r in filled.collect())
