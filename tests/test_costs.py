@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from offerlake.functions import export_text as E
 from offerlake.functions import text as X
-from offerlake.operators import amounts, images, items, pricing, quality
+from offerlake.operators import amounts, images, items, pricing, quality, validate
 from offerlake.rules.blocks import _slat_body
 from offerlake.rules.registry import REGISTRY
 from offerlake.sources import layout
@@ -144,3 +144,27 @@ def test_runs_are_folded_once_a_page_and_lines_normalised_once(spark):
     assert "filter(aggregate(" not in optimized
     filled = lines.select(X.is_filled(F.col("text")).alias("a"), (X.normalize_line(F.col("text")) != "").alias("b"), (X.strip(F.col("text")) != "").alias("c"))
     assert all(r["a"] == r["b"] == r["c"] for r in filled.collect())
+
+
+def test_issues_of_positions_read_them_once_for_rules_and_once_for_drawings(spark):
+    items = spark.sql("""
+        SELECT 1L AS document_id, seq AS item_seq, pos AS position_no, 'Tür' AS description_short, '' AS description_long, '' AS lv_pos, false AS is_alternative, page AS page_ref,
+               CAST(1 AS DECIMAL(14,4)) AS quantity, CAST(5 AS DECIMAL(14,2)) AS unit_price, CAST(5 AS DECIMAL(14,2)) AS line_total, ids AS image_ids,
+               true AS image_auto_match_allowed, CAST(NULL AS STRING) AS image_assignment_source, checked AS review_checked
+        FROM VALUES (1, '1', 1, array(7L, 7L), true), (2, '2', 2, array(7L), true), (3, '3', 1, CAST(array() AS ARRAY<BIGINT>), false), (4, NULL, 1, array(8L), true),
+                    (5, '5', 3, array(9L, CAST(NULL AS BIGINT)), false) AS v(seq, pos, page, ids, checked)""")
+    images = spark.sql("SELECT 1L AS document_id, id AS image_id, page AS page_ref FROM VALUES (7L, 1), (7L, 4), (8L, 1), (9L, 3), (CAST(NULL AS BIGINT), 1) AS v(id, page)")
+    modes = spark.sql("SELECT 1L AS document_id, 'muigg' AS provider_key, 'strict' AS mode")
+    issues = validate.position_issues(items, images, modes)
+    rows = sorted((r["item_seq"] or 0, r["code"], r["severity"], r["resolved"]) for r in issues.collect())
+    assert rows == [
+        (0, "duplicate_image_assignments", "error", False), (1, "duplicate_image_assignment", "error", False),
+        (2, "duplicate_image_assignment", "error", False), (2, "image_before_item_page", "warning", True),
+        (3, "missing_image_assignment", "warning", False), (4, "missing_position_no", "error", False),
+    ]
+    per_document, per_item = validate.duplicate_image_issues(items)
+    old = validate.item_issues(items, modes).unionByName(validate.image_issues(items, images, modes)).unionByName(per_item)
+    assert sorted(tuple(r) for r in validate.resolve_reviewed(old, items).select("item_seq", "code", "severity", "resolved").collect()) == rows[1:]
+    assert [r["code"] for r in per_document.collect()] == ["duplicate_image_assignments"]
+    # items only meet their modes; drawings and review marks need no join
+    assert issues._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
