@@ -32,3 +32,27 @@ def test_a_block_is_trimmed_once(spark, key):
     texts = spark.createDataFrame([(1, "a")], "document_id long, text string").repartition(2)
     plan = items.shaped_items(texts, REGISTRY.get(key))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("lupre ai solutions") == 1
+
+
+def test_tokens_of_the_short_pattern(spark):
+    money = "[0-9]{1,3}(?:[ .][0-9]{3})*,[0-9]{2}"
+    before = rf"-?\s*(?:EUR|€)?\s*{money}|-?\s*(?:EUR|€)?\s*[0-9]+,[0-9]{{2}}"
+    texts = ["EP: € 1.250,00 GP: EUR 12 500,00", "- 5,00-6,00", "1234,50 12345,678 1,2", "EUREUR 5,00 €€7,00", "a, b", "12.50", "  3,00", "--\t€ 1.2.3,45", "E 4,00", ",,00 ,50", "", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    found = F.transform(F.regexp_extract_all(X.normalize_text(F.col("t")), F.lit(before), F.lit(0)), lambda token: X.strip(F.regexp_replace(token, "[ \t]+", " ")))
+    for got in rows.select(X.amount_tokens(F.col("t")).alias("a"), found.alias("b")).collect():
+        assert got.a == got.b
+
+
+def test_last_of(spark):
+    rows = spark.createDataFrame([([],), (["a"],), (["a", "b"],), (None,)], "v array<string>")
+    assert [tuple(r) for r in rows.select(X.last_of(F.col("v")), X.last_of(F.col("v"), 2)).collect()] == [(None, None), ("a", None), ("b", "a"), (None, None)]
+
+
+def test_a_price_pair_is_searched_once(spark):
+    from offerlake.rules.blocks import ENTHOLZER_PAIR
+
+    texts = spark.createDataFrame([(1, "a")], "document_id long, text string").repartition(2)
+    plan = items.shaped_items(texts, REGISTRY.get("entholzer"))._jdf.queryExecution().optimizedPlan().toString()
+    # one search of lines, one removal, two groups
+    assert plan.count(ENTHOLZER_PAIR) == 6
