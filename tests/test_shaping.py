@@ -56,3 +56,19 @@ def test_a_price_pair_is_searched_once(spark):
     plan = items.shaped_items(texts, REGISTRY.get("entholzer"))._jdf.queryExecution().optimizedPlan().toString()
     # one search of lines, one removal, two groups
     assert plan.count(ENTHOLZER_PAIR) == 6
+
+
+@pytest.mark.parametrize("key,pattern,times", [
+    ("rekord_vomp", r"(?:\s+[0-9]{3,4}){2,}$", 1),  # what is left of a line: once for three tests of it
+])
+def test_a_step_runs_once(spark, key, pattern, times):
+    texts = spark.createDataFrame([(1, "a")], "document_id long, text string").repartition(2)
+    plan = items.shaped_items(texts, REGISTRY.get(key))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(pattern) == times
+
+
+def test_headings_before_a_block(spark):
+    text = "Kopf\n" + "\n".join(f"{n:03d} 1 Stk Türelement Nummer {n} EUR 1,00 EUR 2,00" for n in range(1, 10))
+    rows = items.blocks(spark.createDataFrame([(1, text)], "document_id long, text string"), REGISTRY.get("alu_one")).orderBy("block_no").collect()
+    bodies = ["Kopf\n"] + [r.block for r in rows]
+    assert [r.before for r in rows] == ["".join(bodies[max(0, n - 6):n]) for n in range(1, 10)]
