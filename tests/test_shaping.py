@@ -72,3 +72,10 @@ def test_headings_before_a_block(spark):
     rows = items.blocks(spark.createDataFrame([(1, text)], "document_id long, text string"), REGISTRY.get("alu_one")).orderBy("block_no").collect()
     bodies = ["Kopf\n"] + [r.block for r in rows]
     assert [r.before for r in rows] == ["".join(bodies[max(0, n - 6):n]) for n in range(1, 10)]
+
+
+def test_positions_are_not_written_for_parents_nobody_reads(spark):
+    import __spark_entry__ as entry
+
+    plan = entry.queries()["extract_schlotterer"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "LogicalRDD" not in plan and "ExistingRDD" not in plan
